@@ -1,0 +1,492 @@
+"""Registered queries: each operator over the whole given tables.
+
+Instants are returned as RFC 3339 text and open JSON as JSON text, so that results compare
+by value with any other engine.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.functions.sensitive import SECRET_ALPHABET, shannon_entropy
+from sessionloom.operators import audit, contracts, gate, query, sessions
+from sessionloom.operators.canonical import event_documents, rfc3339_text
+from sessionloom.operators.logs import log_events
+from sessionloom.operators.privacy import provenance_rows, sanitise_column
+from sessionloom.operators.traces import decode_traces, rejected_documents, trace_events
+from sessionloom.plans import derived
+from sessionloom.plans.derived import QUERY_SALT
+from sessionloom.plans.pipelines import (
+    classify_payloads,
+    ingest_payloads,
+    inspect_latest,
+    replay_documents,
+    safe_log_events,
+)
+from sessionloom.session import configure, work_dir
+from sessionloom.sources.store import EventStore
+from sessionloom.streaming.ingest import stream_events
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+ARRIVAL = ["ingest_seq"]
+PAGE_CURSOR = query.Cursor(datetime(2024, 1, 15, 12, tzinfo=timezone.utc), "s-75-2024-01-15")
+TIMELINE_SESSION = "s-42-2024-01-12"
+
+
+def registered(run: Query) -> Query:
+    def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(configure(spark), sf_dir)
+
+    _QUERIES[run.__name__] = configured
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def _texts(frame: DataFrame, *instants: str) -> DataFrame:
+    return frame.withColumns({name: rfc3339_text(F.col(name)) for name in instants})
+
+
+def _session_texts(frame: DataFrame) -> DataFrame:
+    return _texts(frame, "started_at", "completed_at")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.canonical_events(spark, sf_dir)
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.rebuild_sessions(_events(spark, sf_dir))
+
+
+# --- sessions ------------------------------------------------------------------------------
+
+
+@registered
+def sessions_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplicate events that all arrive twice, then fold them into sessions."""
+    unique = sessions.deduplicate(derived.arriving_events(spark, sf_dir), ARRIVAL)
+    return _session_texts(sessions.rebuild_sessions(unique))
+
+
+@registered
+def events_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arriving = derived.arriving_events(spark, sf_dir)
+    columns = arriving.select("event_id", "event_type", "session_id", "ingest_seq")
+    return sessions.deduplicate(columns, ARRIVAL)
+
+
+@registered
+def event_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per type with the session state each type announces."""
+    from sessionloom.functions.lifecycle import is_terminal, lifecycle_state
+
+    counted = _events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    state = lifecycle_state(F.col("event_type"))
+    return counted.withColumns({"state": state, "terminal": F.coalesce(is_terminal(state), F.lit(False))})
+
+
+@registered
+def sessions_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-fold the sessions touched by failure events from all stored events."""
+    events = _events(spark, sf_dir)
+    batch = events.filter(F.col("event_type").endswith(".failed"))
+    return _session_texts(sessions.rebuild_touched(events, batch))
+
+
+@registered
+def sessions_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge the folds of lifecycle and other events; equals the fold of all events."""
+    events = _events(spark, sf_dir)
+    observed = F.col("event_type") == "tool.observed"
+    parts = [sessions.fold_events(events.filter(~observed)), sessions.fold_events(events.filter(observed))]
+    return _session_texts(sessions.finish_sessions(sessions.merge_folds(*parts)))
+
+
+@registered
+def session_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timeline = sessions.session_timeline(_events(spark, sf_dir), TIMELINE_SESSION)
+    return _texts(timeline.select("session_id", "event_id", "event_type", "occurred_at"), "occurred_at")
+
+
+@registered
+def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session_texts(query.session_by_id(_sessions(spark, sf_dir), TIMELINE_SESSION))
+
+
+@registered
+def sessions_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of failed sessions of one tool in a time range."""
+    wanted = query.SessionFilter(
+        tool="tool-1",
+        outcome="failed",
+        started_after=datetime(2024, 1, 5, tzinfo=timezone.utc),
+        started_before=datetime(2024, 1, 25, 6, tzinfo=timezone.utc),
+        limit=25,
+    )
+    page = query.session_page(_sessions(spark, sf_dir), wanted)
+    return _texts(page, "started_at", "completed_at", "next_started_at")
+
+
+@registered
+def sessions_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page below a cursor, without filters."""
+    wanted = query.SessionFilter(cursor=PAGE_CURSOR)
+    page = query.session_page(_sessions(spark, sf_dir), wanted)
+    return _texts(page, "started_at", "completed_at", "next_started_at")
+
+
+@registered
+def sessions_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions in which a model was observed (the semi join without the page)."""
+    wanted = query.SessionFilter(model="model-3")
+    events = _events(spark, sf_dir)
+    found = query.filter_sessions(sessions.rebuild_sessions(events), wanted, events)
+    return _session_texts(found)
+
+
+@registered
+def sessions_by_model_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    wanted = query.SessionFilter(model="model-2", outcome="completed", limit=100)
+    listed = query.list_sessions(sessions.rebuild_sessions(events), wanted, events)
+    return _session_texts(listed)
+
+
+@registered
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per table that survive the deletion of all failed sessions."""
+    from sessionloom.sources.store import delete_cascade as cascade
+
+    events = _events(spark, sf_dir)
+    found = sessions.rebuild_sessions(events)
+    deleted = found.filter(F.col("state") == "failed")
+    kept = cascade(deleted, events=events.select("session_id"), sessions=found.select("session_id"))
+    counts = [
+        rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+        for name, rows in kept.items()
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+@registered
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.outcome_counts(_sessions(spark, sf_dir))
+
+
+@registered
+def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.outcome_summary(_sessions(spark, sf_dir))
+
+
+@registered
+def newest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the newest hundred sessions, as the overview shows them."""
+    return query.outcome_counts(query.newest_first(_sessions(spark, sf_dir), query.MAXIMUM_LIMIT))
+
+
+@registered
+def observed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.observed_tools(_sessions(spark, sf_dir))
+
+
+@registered
+def session_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.labelled_sessions(_sessions(spark, sf_dir))
+
+
+# --- store and streaming -------------------------------------------------------------------
+
+
+@registered
+def store_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a store that took the events in two appends and a repeated one."""
+    store = EventStore.create(spark, work_dir(spark, "store"))
+    arriving = _with_provenance(derived.arriving_events(spark, sf_dir))
+    failed = F.col("event_type").endswith(".failed")
+    original = F.col("session_id").startswith("s-")
+    store.append(arriving.filter(original & ~failed), ARRIVAL, "load", 0)
+    store.append(arriving.filter(original & ~failed), ARRIVAL, "load", 0)
+    store.append(arriving.filter(original), ARRIVAL)
+    store.append(arriving.filter(~original), ARRIVAL)
+    return _session_texts(store.sessions())
+
+
+@registered
+def store_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per session left in a store after deleting completed sessions and compacting."""
+    store = EventStore.create(spark, work_dir(spark, "store"))
+    store.append(_with_provenance(_events(spark, sf_dir)), ARRIVAL)
+    store.delete_sessions(store.sessions().filter(F.col("state") == "completed"))
+    store.compact()
+    return store.events().groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@registered
+def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload ingest into a store: counters of the gate and of what was stored."""
+    store = EventStore.create(spark, work_dir(spark, "store"))
+    ingest_payloads(derived.raw_payloads(spark, sf_dir), store, QUERY_SALT)
+    stored = store.events().agg(F.count(F.lit(1)).alias("events"))
+    folded = store.sessions().agg(F.count(F.lit(1)).alias("sessions"))
+    recorded = store.provenance().agg(F.count(F.lit(1)).alias("provenance_entries"))
+    # Four one-row frames; the joins have nothing to match on and cannot grow.
+    return store.counters().join(stored).join(folded).join(recorded)
+
+
+@registered
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a store fed by a stream over a written copy of the arriving events."""
+    root = work_dir(spark, "stream")
+    landing = f"{root}/landing"
+    arriving = _with_provenance(derived.arriving_events(spark, sf_dir))
+    arriving.repartition(4, "ingest_seq").write.parquet(landing)
+    reader = spark.readStream.schema(spark.read.parquet(landing).schema)
+    # Copies arrive in the same micro-batch or a later one than their originals.
+    stream = reader.option("maxFilesPerTrigger", 1000).parquet(landing)
+    store = EventStore.create(spark, f"{root}/store")
+    running = stream_events(stream, store, ARRIVAL, "arriving", f"{root}/checkpoint")
+    running.awaitTermination()
+    return _session_texts(store.sessions())
+
+
+def _with_provenance(events: DataFrame) -> DataFrame:
+    from sessionloom.operators.privacy import sanitise_events
+
+    return sanitise_events(events, QUERY_SALT)
+
+
+# --- payload gate and logs -----------------------------------------------------------------
+
+
+@registered
+def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classified = classify_payloads(derived.raw_payloads(spark, sf_dir))
+    return classified.select("payload_id", "signal", "status", "error_code", "http_status", "log_verdict")
+
+
+@registered
+def gate_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.gate_counters(classify_payloads(derived.raw_payloads(spark, sf_dir)))
+
+
+@registered
+def latest_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = inspect_latest(derived.raw_payloads(spark, sf_dir), QUERY_SALT)
+    return _texts(latest, "received_at").select(
+        "payload_id",
+        "signal",
+        "received_at",
+        F.size("provenance").alias("entries"),
+        F.size(F.filter("provenance", lambda row: row["action"] == "removed")).alias("removed"),
+    )
+
+
+@registered
+def logs_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical log events before sanitising, without their salted ids."""
+    events = log_events(classify_payloads(derived.raw_payloads(spark, sf_dir)), QUERY_SALT)
+    allowed = F.try_variant_get("attributes", "$.input_token_count", "string")
+    return _texts(
+        events.select(
+            "payload_id",
+            "record_index",
+            "schema_version",
+            "event_type",
+            "occurred_at",
+            "occurred_at_unix_nano",
+            "provider",
+            "tool",
+            "source_version",
+            "actor_id",
+            "privacy_level",
+            "model",
+            allowed.alias("input_token_count"),
+            F.to_json(F.variant_get("attributes", "$.unavailable_fields", "variant")).alias("unavailable_fields"),
+            F.to_json("provider_extensions").alias("extensions"),
+        ),
+        "occurred_at",
+    )
+
+
+@registered
+def logs_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = log_events(classify_payloads(derived.raw_payloads(spark, sf_dir)), QUERY_SALT)
+    return events.select("payload_id", "record_index", "event_id", "session_id")
+
+
+# --- traces and audit ----------------------------------------------------------------------
+
+
+@registered
+def traces_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_traces(audit.audit_documents(derived.wrapped_documents(spark, sf_dir)))
+    events = trace_events(decoded).select(
+        "document_id",
+        "record_index",
+        "event_id",
+        "session_id",
+        "event_type",
+        "occurred_at",
+        "occurred_at_unix_nano",
+        "received_at",
+        "provider",
+        "tool",
+        "source_version",
+        F.to_json("attributes").alias("attributes"),
+        F.to_json("provider_extensions").alias("extensions"),
+    )
+    return _texts(events, "occurred_at", "received_at")
+
+
+@registered
+def traces_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_traces(audit.audit_documents(derived.wrapped_documents(spark, sf_dir)))
+    return rejected_documents(decoded)
+
+
+@registered
+def trace_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of replayed documents."""
+    replayed = replay_documents(derived.wrapped_documents(spark, sf_dir), QUERY_SALT)
+    unique = sessions.deduplicate(replayed.events, ["document_id", "record_index"])
+    return _session_texts(sessions.rebuild_sessions(unique))
+
+
+@registered
+def document_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_report(audit.audit_documents(derived.wrapped_documents(spark, sf_dir)))
+
+
+def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents, conversations and pages under one key."""
+
+    def part(name: str, *keys: str, text: str) -> DataFrame:
+        key = F.concat_ws("/", F.lit(name), *[F.col(column).cast("string") for column in keys])
+        return derived.table(spark, sf_dir, name).select(key.alias("text_id"), F.col(text).alias("text"))
+
+    return (
+        part("documents", "doc_id", text="text")
+        .unionByName(part("conversations", "conv_id", "turn", text="text"))
+        .unionByName(part("pages", "page_id", text="html"))
+    )
+
+
+@registered
+def secret_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors over all texts, in which long hexadecimal tokens are presented as credentials."""
+    presented = F.regexp_replace("text", r"\b([0-9a-f]{40})\b", "Bearer $1")
+    texts = _long_texts(spark, sf_dir).withColumn("text", presented)
+    return audit.secret_hits(texts, "text_id", "text")
+
+
+@registered
+def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of every distinct key-like token of 32 or more characters in all texts."""
+    tokens = _long_texts(spark, sf_dir).select(F.explode(F.split("text", r"[^a-zA-Z0-9.+/=_-]+")).alias("token"))
+    keys = tokens.filter(F.col("token").rlike(SECRET_ALPHABET)).distinct()
+    return keys.select("token", F.round(shannon_entropy(F.col("token")), 6).alias("entropy"))
+
+
+# --- privacy -------------------------------------------------------------------------------
+
+
+@registered
+def sanitised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = safe_log_events(classify_payloads(derived.raw_payloads(spark, sf_dir)), QUERY_SALT)
+    return safe.select(
+        "payload_id",
+        "record_index",
+        F.to_json("provider_extensions").alias("extensions"),
+        F.size("provenance").alias("entries"),
+    )
+
+
+@registered
+def event_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = safe_log_events(classify_payloads(derived.raw_payloads(spark, sf_dir)), QUERY_SALT)
+    return provenance_rows(safe, "payload_id", "record_index")
+
+
+@registered
+def sanitised_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole accepted payloads through the privacy boundary, attribute pairs included."""
+    gated = gate.gate_payloads(derived.raw_payloads(spark, sf_dir))
+    safe = sanitise_column(gated.filter(F.col("payload").isNotNull()), "payload", QUERY_SALT)
+    return safe.select("payload_id", F.to_json("payload").alias("payload"))
+
+
+@registered
+def payload_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each action and reason was applied over all accepted payloads."""
+    gated = gate.gate_payloads(derived.raw_payloads(spark, sf_dir))
+    safe = sanitise_column(gated.filter(F.col("payload").isNotNull()), "payload", QUERY_SALT)
+    rows = provenance_rows(safe, "payload_id")
+    return rows.groupBy("action", "reason").agg(F.count(F.lit(1)).alias("entries"))
+
+
+# --- contracts -----------------------------------------------------------------------------
+
+
+def _violations(documents: DataFrame, contract, key: str) -> DataFrame:
+    judged = contracts.contract_violations(documents, contract)
+    return judged.select(key, F.concat_ws(" ", "violations").alias("violations"))
+
+
+@registered
+def event_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = derived.contract_documents(spark, sf_dir, "event")
+    return _violations(documents, contracts.EVENT_CONTRACT, "event_id")
+
+
+@registered
+def policy_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = derived.contract_documents(spark, sf_dir, "policy")
+    return _violations(documents, contracts.POLICY_CONTRACT, "event_id")
+
+
+@registered
+def settings_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = derived.contract_documents(spark, sf_dir, "settings")
+    return _violations(documents, contracts.SETTINGS_CONTRACT, "event_id")
+
+
+@registered
+def settings_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First broken safety rule per settings row, on typed columns."""
+    documents = derived.contract_documents(spark, sf_dir, "settings")
+    names = [name.strip().split(" ")[0] for name in ("schema_version", "mode", "collection", "storage", "sharing")]
+    typed = F.from_json(F.to_json("document"), contracts.SETTINGS_TYPE)
+    settings = documents.select("event_id", typed.alias("typed")).select(
+        "event_id", *[F.col(f"typed.{name}").alias(name) for name in names]
+    )
+    return contracts.first_settings_violation(settings).select("event_id", "violation")
+
+
+@registered
+def session_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract check of all rebuilt sessions, those of one tool given a state it forbids."""
+    rebuilt = _sessions(spark, sf_dir)
+    state: Column = F.when(F.col("tool") == "tool-2", F.concat(F.lit("in_"), "state")).otherwise(F.col("state"))
+    documents = sessions.session_documents(rebuilt.withColumn("state", state))
+    return _violations(documents, contracts.SESSION_CONTRACT, "session_id")
+
+
+@registered
+def canonical_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of both adapters as documents: every one of them meets the event contract."""
+    logs = safe_log_events(classify_payloads(derived.raw_payloads(spark, sf_dir)), QUERY_SALT)
+    traces = replay_documents(derived.wrapped_documents(spark, sf_dir), QUERY_SALT).events
+    from sessionloom.operators.canonical import unite_events
+
+    judged = contracts.contract_violations(event_documents(unite_events(logs, traces)), contracts.EVENT_CONTRACT)
+    sound = F.size("violations") == 0
+    return judged.groupBy(sound.alias("conforms")).agg(F.count(F.lit(1)).alias("events"))
