@@ -1,0 +1,517 @@
+"""SQL counterparts of the registered queries, for an independent engine on the same tables.
+
+They state the expected results directly from the flat table columns; none of them reads or
+builds the payloads and documents the queries parse.
+"""
+
+from __future__ import annotations
+
+from sessionloom.plans.derived import QUERY_SALT
+
+_PAD = QUERY_SALT.ljust(64, b"\0")
+
+
+def _blob(fill: int) -> str:
+    return "'" + "".join(f"\\x{byte ^ fill:02X}" for byte in _PAD) + "'::BLOB"
+
+
+def _hmac(text: str) -> str:
+    inner = f"unhex(sha256({_blob(0x36)} || encode({text})))"
+    return f"('hmac-sha256:' || sha256({_blob(0x5C)} || {inner}))"
+
+
+def _instant(column: str) -> str:
+    text = f"strftime({column}, '%Y-%m-%dT%H:%M:%S.%f')"
+    return f"(regexp_replace({text}, '\\.?0+$', '') || 'Z')"
+
+
+_EV = """ev AS (
+  SELECT event_id, ts, user_id, event_type,
+         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k
+  FROM events
+)"""
+
+_CANON = f"""{_EV},
+canon AS (
+  SELECT 'e-' || event_id AS event_id, event_id AS ingest_seq, ts,
+         CASE event_type WHEN 'signup' THEN 'session.created' WHEN 'view' THEN 'session.started'
+              WHEN 'purchase' THEN 'session.completed'
+              WHEN 'error' THEN 'genai.model.request.failed' ELSE 'tool.observed' END AS event_type,
+         date_trunc('hour', ts) AS occurred,
+         'tool-' || (user_id % 3) AS tool,
+         's-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id,
+         CASE WHEN k % 7 <> 0 THEN 'model-' || (k % 5) END AS model
+  FROM ev
+)"""
+
+_STATES = """states AS (
+  SELECT *, CASE WHEN event_type LIKE '%.created' THEN 'created' WHEN event_type LIKE '%.started' THEN 'active'
+                 WHEN event_type LIKE '%.completed' THEN 'completed' WHEN event_type LIKE '%.failed' THEN 'failed'
+            END AS state
+  FROM canon
+)"""
+
+_FOLD = """firsts AS (
+  SELECT session_id, tool, occurred AS started, event_count FROM (
+    SELECT session_id, tool, occurred,
+           row_number() OVER (PARTITION BY session_id ORDER BY occurred, event_id) AS n,
+           count(*) OVER (PARTITION BY session_id) AS event_count
+    FROM states) WHERE n = 1
+),
+lasts AS (
+  SELECT session_id, state, occurred AS ended FROM (
+    SELECT session_id, state, occurred,
+           row_number() OVER (PARTITION BY session_id ORDER BY occurred DESC, event_id DESC) AS n
+    FROM states WHERE state IS NOT NULL) WHERE n = 1
+),
+ses AS (
+  SELECT f.session_id, '0.1.0' AS schema_version, 'openai' AS provider, f.tool,
+         coalesce(l.state, 'unknown') AS state, f.started,
+         CASE WHEN l.state IN ('completed', 'failed') THEN l.ended END AS completed, f.event_count
+  FROM firsts f LEFT JOIN lasts l ON f.session_id = l.session_id
+)"""
+
+_SES = f"WITH {_CANON}, {_STATES}, {_FOLD}"
+_SESSION_TEXTS = (
+    "session_id, schema_version, provider, tool, state, "
+    f"{_instant('started')} AS started_at, {_instant('completed')} AS completed_at, event_count"
+)
+_ALL_SESSIONS = f"{_SES} SELECT {_SESSION_TEXTS} FROM ses"
+
+
+def _page(where: str, limit: int) -> str:
+    return f"""{_SES},
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY started DESC, session_id DESC) AS page_rank,
+         count(*) OVER () AS matching
+  FROM ses WHERE {where}
+)
+SELECT {_SESSION_TEXTS}, CAST(page_rank AS INTEGER) AS page_rank,
+       CASE WHEN page_rank = {limit} AND matching > {limit} THEN {_instant('started')} END AS next_started_at,
+       CASE WHEN page_rank = {limit} AND matching > {limit} THEN session_id END AS next_session_id
+FROM ranked WHERE page_rank <= {limit}"""
+
+
+# Payload kinds are event_id % 12, document kinds event_id % 11, contract kinds event_id % 8.
+_ERROR_CODE = """CASE event_id % 12
+    WHEN 3 THEN 'malformed_payload' WHEN 4 THEN 'malformed_payload' WHEN 5 THEN 'invalid_payload'
+    WHEN 6 THEN 'invalid_payload' WHEN 7 THEN 'unsupported_media_type' WHEN 8 THEN 'normalization_failed'
+    WHEN 10 THEN 'invalid_payload'
+    WHEN 11 THEN CASE WHEN event_id % 996 = 11 THEN 'payload_too_large' ELSE 'invalid_payload' END END"""
+
+_GATE = f"""WITH coded AS (SELECT event_id, {_ERROR_CODE} AS error_code FROM events)
+SELECT 'p-' || event_id AS payload_id,
+       CASE WHEN event_id % 12 IN (6, 9) THEN 'traces' ELSE 'logs' END AS signal,
+       CASE WHEN error_code IS NULL THEN 'accepted' ELSE 'rejected' END AS status,
+       error_code,
+       CASE error_code WHEN 'unsupported_media_type' THEN 415 WHEN 'payload_too_large' THEN 413
+            WHEN 'malformed_payload' THEN 400 WHEN 'invalid_payload' THEN 400
+            WHEN 'normalization_failed' THEN 422 ELSE 202 END AS http_status,
+       CASE WHEN event_id % 12 IN (0, 1) THEN 'normalised' WHEN event_id % 12 = 2 THEN 'unsupported'
+            WHEN event_id % 12 = 8 THEN 'failed' END AS log_verdict
+FROM coded"""
+
+# Stored log records: kind 0 gives one, kind 1 gives that one and an empty second one.
+_RECORDS = f"""{_EV},
+records AS (
+  SELECT *, 0 AS record_index FROM ev WHERE event_id % 12 IN (0, 1)
+  UNION ALL
+  SELECT *, 1 AS record_index FROM ev WHERE event_id % 12 = 1
+)"""
+_HAS_MODEL = "record_index = 0 AND k % 7 <> 0"
+_NANOS = "CAST(epoch_us(ts) * 1000 AS BIGINT)"
+_FLAGS = '{"arrayValue":{"values":[{"boolValue":true}]}}'
+_RESOURCE = """'{"service.name":"codex_cli_rs","service.version":"0.' || k || '.0"}'"""
+_MODEL_MEMBER = """CASE WHEN k % 7 <> 0 THEN '"model":"model-' || (k % 5) || '",' ELSE '' END"""
+_RAW_FIELDS = f"""'{{"arguments":"raw arguments ' || event_id || '","event.name":"codex.' || event_type
+  || '","file.path":"/home/u' || user_id || '/main.py","flags":{_FLAGS},"input_token_count":"' || k || '",'
+  || {_MODEL_MEMBER} || '"retries":false,"user.email":"u' || user_id || '@example.test"}}'"""
+_PATH_HASH = _hmac("'/home/u' || user_id || '/main.py'")
+_SAFE_FIELDS = f"""'{{"event.name":"codex.' || event_type || '","file.path":"' || {_PATH_HASH}
+  || '","flags":{_FLAGS},"input_token_count":"' || k || '",' || {_MODEL_MEMBER} || '"retries":false}}'"""
+
+
+def _extensions(fields: str) -> str:
+    return f"""'{{"log_attributes":' || CASE WHEN record_index = 0 THEN {fields} ELSE '{{}}' END
+  || ',"resource_attributes":' || {_RESOURCE} || ',"severity":"' || CASE WHEN record_index = 0 THEN 'INFO' ELSE '' END
+  || '"}}'"""
+
+
+_UNAVAILABLE = (
+    '["session_lifecycle","cache_usage","reasoning_tokens","tool_calls","file_operations","command_execution",'
+    '"approvals","prompt_content","response_content","repository_context","task_outcome","provider_cost"]'
+)
+
+_LOGS = f"""WITH {_RECORDS}
+SELECT 'p-' || event_id AS payload_id, CAST(record_index AS INTEGER) AS record_index, '0.1.0' AS schema_version,
+       CASE WHEN record_index = 0 THEN 'codex.' || event_type ELSE 'codex.log.received' END AS event_type,
+       {_instant('ts')} AS occurred_at, {_NANOS} AS occurred_at_unix_nano,
+       'openai' AS provider, 'codex' AS tool, '0.' || k || '.0' AS source_version,
+       'unavailable' AS actor_id, 'operational' AS privacy_level,
+       CASE WHEN {_HAS_MODEL} THEN 'model-' || (k % 5) END AS model,
+       CASE WHEN record_index = 0 THEN CAST(k AS VARCHAR) END AS input_token_count,
+       '{_UNAVAILABLE}' AS unavailable_fields,
+       {_extensions(_RAW_FIELDS)} AS extensions
+FROM records"""
+
+_MODEL_PAIR = (
+    """CASE WHEN k % 7 <> 0 THEN '{"key":"model","value":{"stringValue":"model-' || (k % 5) || '"}},' ELSE '' END"""
+)
+# The text a record's fingerprint covers; a member without a value is left out.
+_RECORD_TEXT = f"""CASE WHEN record_index = 0 THEN
+  '{{"attributes":[{{"key":"event.name","value":{{"stringValue":"codex.' || event_type || '"}}}},' || {_MODEL_PAIR}
+  || '{{"key":"input_token_count","value":{{"intValue":"' || k || '"}}}},'
+  || '{{"key":"arguments","value":{{"stringValue":"raw arguments ' || event_id || '"}}}},'
+  || '{{"key":"user.email","value":{{"stringValue":"u' || user_id || '@example.test"}}}},'
+  || '{{"key":"file.path","value":{{"stringValue":"/home/u' || user_id || '/main.py"}}}},'
+  || '{{"key":"flags","value":{_FLAGS}}},{{"key":"flags","value":{{"kvlistValue":{{}}}}}},'
+  || '{{"key":"retries","value":{{"doubleValue":1.5}}}},{{"key":"retries","value":{{"boolValue":false}}}},'
+  || '{{"key":"empty","value":{{}}}},{{"key":"conversation.id"}}],"body":{{"stringValue":"text of ' || event_id
+  || '"}},"observedTimeUnixNano":"","severityText":"INFO","timeUnixNano":"' || {_NANOS} || '"}}'
+ELSE '{{"attributes":[],"observedTimeUnixNano":"' || {_NANOS} || '","severityText":"","timeUnixNano":""}}' END"""
+_RECORD_KEY = f"('codex-log:' || {_hmac(_RECORD_TEXT)})"
+
+_FINGERPRINT = f"""WITH {_RECORDS}
+SELECT 'p-' || event_id AS payload_id, CAST(record_index AS INTEGER) AS record_index,
+       {_RECORD_KEY} AS event_id, {_RECORD_KEY} AS session_id
+FROM records"""
+
+# Expected provenance of one record: position, path, action, reason, and when it applies.
+_ALWAYS, _FIRST_ONLY, _MODEL_ONLY = "TRUE", "record_index = 0", _HAS_MODEL
+_PROVENANCE = [
+    ("actor_id", "retained", _ALWAYS),
+    ("attributes", "retained", _ALWAYS),
+    ("attributes.input_token_count", "retained", _FIRST_ONLY),
+    ("attributes.model", "retained", _MODEL_ONLY),
+    ("attributes.unavailable_fields", "retained", _ALWAYS),
+    ("device_id", "retained", _ALWAYS),
+    ("event_id", "retained", _ALWAYS),
+    ("event_type", "retained", _ALWAYS),
+    ("occurred_at", "retained", _ALWAYS),
+    ("privacy_level", "retained", _ALWAYS),
+    ("provider", "retained", _ALWAYS),
+    ("provider_extensions", "retained", _ALWAYS),
+    ("provider_extensions.log_attributes", "retained", _ALWAYS),
+    ("provider_extensions.log_attributes.arguments", "removed", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.event.name", "retained", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.file.path", "hashed", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.flags", "retained", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.flags.arrayValue", "retained", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.flags.arrayValue.values", "retained", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.flags.arrayValue.values[0].boolValue", "retained", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.input_token_count", "retained", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.model", "retained", _MODEL_ONLY),
+    ("provider_extensions.log_attributes.retries", "retained", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.user.email", "removed", _FIRST_ONLY),
+    ("provider_extensions.resource_attributes", "retained", _ALWAYS),
+    ("provider_extensions.resource_attributes.service.name", "retained", _ALWAYS),
+    ("provider_extensions.resource_attributes.service.version", "retained", _ALWAYS),
+    ("provider_extensions.severity", "retained", _ALWAYS),
+    ("received_at", "retained", _ALWAYS),
+    ("repository_id", "retained", _ALWAYS),
+    ("schema_version", "retained", _ALWAYS),
+    ("session_id", "retained", _ALWAYS),
+    ("source_schema", "retained", _ALWAYS),
+    ("source_version", "retained", _ALWAYS),
+    ("task_id", "retained", _ALWAYS),
+    ("tool", "retained", _ALWAYS),
+]
+_REASONS = {"retained": "operational_metadata", "removed": "sensitive_value", "hashed": "file_path"}
+_PROVENANCE_SQL = " UNION ALL ".join(
+    f"SELECT event_id, record_index, {at} AS slot, '{path}' AS path, '{action}' AS action, "
+    f"'{_REASONS[action]}' AS reason FROM records WHERE {applies}"
+    for at, (path, action, applies) in enumerate(_PROVENANCE)
+)
+_EVENT_PROVENANCE = f"""WITH {_RECORDS}, listed AS ({_PROVENANCE_SQL})
+SELECT 'p-' || event_id AS payload_id, CAST(record_index AS INTEGER) AS record_index,
+       CAST(row_number() OVER (PARTITION BY event_id, record_index ORDER BY slot) - 1 AS INTEGER) AS ord,
+       path, action, reason
+FROM listed"""
+_SANITISED_EVENTS = f"""WITH {_RECORDS}, listed AS ({_PROVENANCE_SQL}),
+sizes AS (SELECT event_id, record_index, count(*) AS entries FROM listed GROUP BY ALL)
+SELECT 'p-' || r.event_id AS payload_id, CAST(r.record_index AS INTEGER) AS record_index,
+       {_extensions(_SAFE_FIELDS).replace('event_id', 'r.event_id').replace('record_index', 'r.record_index')}
+       AS extensions, CAST(s.entries AS INTEGER) AS entries
+FROM records r JOIN sizes s ON r.event_id = s.event_id AND r.record_index = s.record_index"""
+
+# Whole payloads after the privacy boundary. Key order inside objects is alphabetical.
+_SAFE_RECORD = f"""'{{"attributes":[{{"key":"event.name","value":{{"stringValue":"codex.' || event_type || '"}}}},'
+  || {_MODEL_PAIR} || '{{"key":"input_token_count","value":{{"intValue":"' || k || '"}}}},'
+  || '{{"key":"arguments","value":{{}}}},{{"key":"user.email","value":{{}}}},'
+  || '{{"key":"file.path","value":{{"stringValue":"'
+  || {_hmac("'{\"stringValue\":\"/home/u' || user_id || '/main.py\"}'")} || '"}}}},'
+  || '{{"key":"flags","value":{_FLAGS}}},{{"key":"flags","value":{{"kvlistValue":{{}}}}}},'
+  || '{{"key":"retries","value":{{"doubleValue":1.5}}}},{{"key":"retries","value":{{"boolValue":false}}}},'
+  || '{{"key":"empty","value":{{}}}},{{"key":"conversation.id"}}],"severityText":"INFO","timeUnixNano":'
+  || CASE WHEN event_id % 12 = 8 THEN CAST({_NANOS} AS VARCHAR) ELSE '"' || {_NANOS} || '"' END || '}}'"""
+_SANITISED_PAYLOADS = f"""WITH {_EV}
+SELECT 'p-' || event_id AS payload_id,
+  CASE WHEN event_id % 12 = 9 THEN
+    '{{"resourceSpans":[{{"scopeSpans":[{{"spans":[{{"name":"span","spanId":"' || event_id || '","traceId":"t'
+    || user_id || '"}}]}}]}}]}}'
+  ELSE
+    '{{"resourceLogs":[{{"resource":{{"attributes":[{{"key":"service.name","value":{{"stringValue":"'
+    || CASE WHEN event_id % 12 = 2 THEN 'other_service' ELSE 'codex_cli_rs' END
+    || '"}}}},{{"key":"service.version","value":{{"stringValue":"0.' || k || '.0"}}}}]}},'
+    || '"scopeLogs":[{{"logRecords":[' || {_SAFE_RECORD}
+    || CASE WHEN event_id % 12 = 1 THEN ',{{"attributes":[],"observedTimeUnixNano":"' || {_NANOS} || '"}}' ELSE '' END
+    || '],"scope":{{"name":"otel"}}}},{{"logRecords":[]}}]}},'
+    || '{{"resource":{{"attributes":[]}},"scopeLogs":[{{"logRecords":[{{"attributes":[]}}]}}]}}]}}'
+  END AS payload
+FROM ev WHERE event_id % 12 IN (0, 1, 2, 8, 9)"""
+
+# Entries per accepted log payload, counted from its shape: resourceLogs 1; first resource 2 + 1
+# (resource, scopeLogs, resource.attributes), its two attributes 3 each; first scope: logRecords,
+# scope, scope.name; the record and its pairs below; second scope: logRecords; second resource:
+# resource, scopeLogs, resource.attributes, logRecords, attributes.
+_RETAINED_LOG = f"""(1 + 3 + 6 + 3 + 1 + 5
+  + 3 + 3 + CASE WHEN k % 7 <> 0 THEN 3 ELSE 0 END + 3 + 1 + 1 + 1 + 5 + 3 + 3 + 3 + 2 + 1
+  + CASE WHEN event_id % 12 = 1 THEN 2 ELSE 0 END)"""
+_PAYLOAD_ACTIONS = f"""WITH {_EV},
+counts AS (
+  SELECT CASE WHEN event_id % 12 = 9 THEN 6 ELSE {_RETAINED_LOG} END AS retained,
+         CASE WHEN event_id % 12 = 9 THEN 0 WHEN event_id % 12 = 1 THEN 4 ELSE 3 END AS removed,
+         CASE WHEN event_id % 12 = 9 THEN 0 ELSE 1 END AS hashed
+  FROM ev WHERE event_id % 12 IN (0, 1, 2, 8, 9)
+)
+SELECT 'retained' AS action, 'operational_metadata' AS reason, CAST(sum(retained) AS BIGINT) AS entries FROM counts
+UNION ALL SELECT 'removed', 'sensitive_value', CAST(sum(removed) AS BIGINT) FROM counts
+UNION ALL SELECT 'hashed', 'file_path', CAST(sum(hashed) AS BIGINT) FROM counts"""
+
+_LATEST = f"""WITH {_EV},
+newest AS (SELECT * FROM ev WHERE event_id % 12 IN (0, 1, 2, 8, 9) ORDER BY ts DESC, event_id DESC LIMIT 1)
+SELECT 'p-' || event_id AS payload_id, CASE WHEN event_id % 12 = 9 THEN 'traces' ELSE 'logs' END AS signal,
+       {_instant('ts')} AS received_at,
+       CAST(CASE WHEN event_id % 12 = 9 THEN 6
+            ELSE {_RETAINED_LOG} + 1 + CASE WHEN event_id % 12 = 1 THEN 4 ELSE 3 END END AS INTEGER) AS entries,
+       CAST(CASE WHEN event_id % 12 = 9 THEN 0 WHEN event_id % 12 = 1 THEN 4 ELSE 3 END AS INTEGER) AS removed
+FROM newest"""
+
+_STORE_INGEST = f"""WITH coded AS (SELECT event_id, {_ERROR_CODE} AS error_code FROM events), {_RECORDS},
+listed AS ({_PROVENANCE_SQL})
+SELECT (SELECT count(*) FROM coded WHERE error_code IS NULL) AS accepted_payloads,
+       (SELECT count(*) FROM coded WHERE error_code IS NOT NULL) AS rejected_payloads,
+       (SELECT count(*) FROM records) AS events, (SELECT count(*) FROM records) AS sessions,
+       (SELECT count(*) FROM listed) AS provenance_entries"""
+
+# Documents: kind 0 one span, kind 1 two spans, all other kinds are rejected.
+_SPANS = f"""{_EV},
+spans AS (
+  SELECT *, 0 AS record_index, '' AS suffix FROM ev WHERE event_id % 11 IN (0, 1)
+  UNION ALL
+  SELECT *, 1 AS record_index, 'b' AS suffix FROM ev WHERE event_id % 11 = 1
+)"""
+_SPAN_TYPE = "CASE WHEN record_index = 0 THEN 'span.' || event_type ELSE 'session.started' END"
+_TRACES = f"""WITH {_SPANS}
+SELECT 'd-' || event_id AS document_id, CAST(record_index AS INTEGER) AS record_index,
+       'codex:t' || user_id || ':' || event_id || suffix AS event_id, 'codex:t' || user_id AS session_id,
+       {_SPAN_TYPE} AS event_type, {_instant('ts')} AS occurred_at, {_NANOS} AS occurred_at_unix_nano,
+       {_instant('ts')} AS received_at, 'openai' AS provider, 'codex' AS tool, 'v' || k AS source_version,
+       '{{"unavailable_fields":["model","token_usage","cache_usage","tool_calls","file_operations",'
+       || '"command_execution","approvals","prompt_content","response_content","repository_context",'
+       || '"task_outcome","provider_cost"]}}' AS attributes,
+       CASE WHEN event_id % 11 = 0 THEN '{{"resource":{{}},"scope":{{}},"span":{{}}}}'
+            WHEN record_index = 0 THEN '{{"resource":{{"region":"r' || k
+              || '"}},"scope":{{"scope":{{"name":"lib"}}}},"span":{{"status":{{"code":' || k || '}}}}}}'
+            ELSE '{{"resource":{{"region":"r' || k || '"}},"scope":{{}},"span":{{}}}}' END AS extensions
+FROM spans"""
+_REJECTED = """SELECT 'd-' || event_id AS document_id,
+       CASE event_id % 11 WHEN 2 THEN 'tool_version' WHEN 3 THEN 'provider'
+            WHEN 4 THEN 'payload.resourceSpans[0].scopeSpans[0].spans[0].spanId'
+            WHEN 5 THEN 'payload.resourceSpans[0].scopeSpans[0].spans[0].startTimeUnixNano'
+            WHEN 6 THEN 'payload.resourceSpans[0].scopeSpans[0].spans' WHEN 7 THEN 'payload.notes[0].Source-Code'
+            WHEN 8 THEN 'payload.note' WHEN 9 THEN '' WHEN 10 THEN 'captured_at' END AS error_path,
+       CASE event_id % 11 WHEN 2 THEN 'missing' WHEN 3 THEN 'unsupported_provider' WHEN 4 THEN 'invalid_span_field'
+            WHEN 5 THEN 'invalid_span_field' WHEN 6 THEN 'not_a_filled_array' WHEN 7 THEN 'prohibited_field'
+            WHEN 8 THEN 'authorization_header' WHEN 9 THEN 'invalid_json' WHEN 10 THEN 'invalid_time' END AS error_code
+FROM events WHERE event_id % 11 NOT IN (0, 1)"""
+_AUDIT = f"""SELECT document_id, error_path AS path, error_code AS code FROM ({_REJECTED})
+WHERE error_code IN ('missing', 'prohibited_field', 'authorization_header', 'invalid_json', 'invalid_time')"""
+
+_TRACE_SESSIONS = f"""WITH {_SPANS},
+first_seen AS (
+  SELECT *, 'codex:t' || user_id AS session_id, event_id || suffix AS span_id FROM spans
+),
+ends AS (
+  SELECT session_id, min(ts) AS started, count(*) AS event_count,
+         max(CASE WHEN record_index = 1 THEN 1 END) AS any_started
+  FROM first_seen GROUP BY session_id
+)
+SELECT session_id, '0.1.0' AS schema_version, 'openai' AS provider, 'codex' AS tool,
+       CASE WHEN any_started = 1 THEN 'active' ELSE 'unknown' END AS state,
+       {_instant('started')} AS started_at, CAST(NULL AS VARCHAR) AS completed_at, event_count
+FROM ends"""
+
+_TEXTS = """texts AS (
+  SELECT 'documents/' || doc_id AS text_id, text FROM documents
+  UNION ALL SELECT 'conversations/' || conv_id || '/' || turn, text FROM conversations
+  UNION ALL SELECT 'pages/' || page_id, html FROM pages
+)"""
+
+
+def _shown(form: str) -> str:
+    return f"regexp_replace(text, '\\b([0-9a-f]{{40}})\\b', '{form}', 'g')"
+
+
+_SECRETS = f"""WITH {_TEXTS},
+shown AS (
+  SELECT text_id || '/header' AS key, {_shown('Bearer \\1')} AS shown FROM texts
+  UNION ALL SELECT text_id || '/key', {_shown('sk-\\1')} FROM texts
+  UNION ALL SELECT text_id || '/block', {_shown('-----BEGIN RSA PRIVATE KEY-----\\1')} FROM texts
+  UNION ALL SELECT text_id || '/plain', text FROM texts
+),
+judged AS (
+  SELECT key, CASE
+    WHEN regexp_matches(shown, '(?i)\\b(?:bearer|basic)\\s+[a-z0-9._~+/=-]{{12,}}\\b') THEN 'authorization_header'
+    WHEN regexp_matches(shown, '\\b(?:sk|ghp|github[_-]pat)[_-][a-zA-Z0-9_-]{{16,}}\\b') THEN 'service_key'
+    WHEN regexp_matches(shown, '\\bAKIA[0-9A-Z]{{16}}\\b') THEN 'cloud_key_id'
+    WHEN regexp_matches(shown, '-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----') THEN 'private_key' END AS detector
+  FROM shown
+)
+SELECT key, detector FROM judged WHERE detector IS NOT NULL"""
+
+_ENTROPY = f"""WITH {_TEXTS},
+tokens AS (
+  SELECT DISTINCT token FROM (
+    SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z0-9.+/=_-]+')) AS token FROM texts)
+  WHERE regexp_full_match(token, '[a-zA-Z0-9.+/=_-]{{32,}}')
+),
+forms AS (SELECT token, 0 AS form, token AS word FROM tokens
+          UNION ALL SELECT token, 1, token || 'GHJKLMNPQRSTUVWXYZ' FROM tokens),
+chars AS (SELECT token, form, length(word) AS size, unnest(string_split(word, '')) AS letter FROM forms),
+shares AS (SELECT token, form, CAST(count(*) AS DOUBLE) / any_value(size) AS share
+           FROM chars GROUP BY token, form, letter),
+bits AS (SELECT token, form, -sum(share * log2(share)) AS entropy FROM shares GROUP BY token, form)
+SELECT token, round(max(CASE WHEN form = 0 THEN entropy END), 6) AS entropy,
+       round(max(CASE WHEN form = 1 THEN entropy END), 6) AS longer,
+       max(CASE WHEN form = 1 THEN entropy END) >= 4.3 AS flagged
+FROM bits GROUP BY token"""
+
+
+def _kinds(names: dict[int, str], column: str) -> str:
+    cases = " ".join(f"WHEN {kind} THEN '{codes}'" for kind, codes in names.items())
+    return f"SELECT event_id, CASE event_id % 8 {cases} ELSE '' END AS {column} FROM events"
+
+
+_EVENT_CONTRACT = _kinds(
+    {
+        1: "value:schema_version",
+        2: "missing:provider",
+        3: "text:tool",
+        4: "type:task_id",
+        5: "value:privacy_level",
+        6: "type:attributes",
+        7: "unknown:cost unknown:prompt_text",
+    },
+    "violations",
+)
+_SETTINGS_CONTRACT = _kinds(
+    {
+        1: "value:mode",
+        2: "value:collection.level",
+        3: "value:collection.file_paths value:collection.prompts",
+        4: "value:collection.file_paths",
+        5: "value:storage.retention_days",
+        6: "value:sharing.anonymous_analytics",
+        7: "unknown:sharing.upload",
+    },
+    "violations",
+)
+_POLICY_CONTRACT = _kinds(
+    {1: "text:policy_id", 2: "value:outcome", 3: "items:evidence", 4: "items:evidence"}, "violations"
+)
+_SETTINGS_RULES = _kinds(
+    {
+        1: "mode",
+        2: "collection.level",
+        3: "collection.prompts",
+        4: "collection.file_paths",
+        5: "storage.retention_days",
+        6: "sharing.anonymous_analytics",
+    },
+    "violation",
+).replace("ELSE ''", "ELSE NULL")
+
+_ORACLES = {
+    "sessions_rebuild": _ALL_SESSIONS,
+    "events_deduplicated": f"WITH {_CANON} SELECT event_id, event_type, session_id, ingest_seq FROM canon",
+    "event_lifecycle": f"""WITH {_CANON}, {_STATES}
+SELECT event_type, count(*) AS events, any_value(state) AS state,
+       coalesce(any_value(state) IN ('completed', 'failed'), FALSE) AS terminal
+FROM states GROUP BY event_type""",
+    "sessions_touched": f"""{_SES} SELECT {_SESSION_TEXTS} FROM ses
+WHERE session_id IN (SELECT session_id FROM canon WHERE event_type LIKE '%.failed')""",
+    "sessions_incremental": _ALL_SESSIONS,
+    "session_timeline": f"""WITH {_CANON} SELECT session_id, event_id, event_type, {_instant('occurred')} AS occurred_at
+FROM canon WHERE session_id = 's-42-2024-01-12'""",
+    "session_lookup": f"{_SES} SELECT {_SESSION_TEXTS} FROM ses WHERE session_id = 's-42-2024-01-12'",
+    "sessions_page": _page(
+        "tool = 'tool-1' AND state = 'failed' AND started >= TIMESTAMP '2024-01-05 00:00:00' "
+        "AND started < TIMESTAMP '2024-01-25 06:00:00'",
+        25,
+    ),
+    "sessions_next_page": _page(
+        "started < TIMESTAMP '2024-01-15 12:00:00' "
+        "OR (started = TIMESTAMP '2024-01-15 12:00:00' AND session_id < 's-75-2024-01-15')",
+        50,
+    ),
+    "sessions_by_model": f"""{_SES} SELECT {_SESSION_TEXTS} FROM ses
+WHERE EXISTS (SELECT 1 FROM canon c WHERE c.session_id = ses.session_id AND c.model = 'model-3')""",
+    "sessions_by_model_page": f"""{_SES} SELECT {_SESSION_TEXTS} FROM ses
+WHERE state = 'completed'
+  AND EXISTS (SELECT 1 FROM canon c WHERE c.session_id = ses.session_id AND c.model = 'model-2')
+ORDER BY started DESC, session_id DESC LIMIT 101""",
+    "delete_cascade": f"""{_SES}
+SELECT session_id, count(*) AS rows, 'events' AS table_name FROM canon
+WHERE session_id NOT IN (SELECT session_id FROM ses WHERE state = 'failed') GROUP BY session_id
+UNION ALL SELECT session_id, count(*), 'sessions' FROM ses WHERE state <> 'failed' GROUP BY session_id""",
+    "outcome_counts": f"{_SES} SELECT state, count(*) AS sessions FROM ses GROUP BY state",
+    "outcome_summary": f"""{_SES}
+SELECT count(*) AS sessions, count(*) FILTER (WHERE state = 'completed') AS completed,
+       count(*) FILTER (WHERE state = 'failed') AS failed,
+       count(*) FILTER (WHERE state = 'abandoned') AS abandoned
+FROM ses""",
+    "newest_outcomes": f"""{_SES}
+SELECT state, count(*) AS sessions
+FROM (SELECT state FROM ses ORDER BY started DESC, session_id DESC LIMIT 100) GROUP BY state""",
+    "observed_tools": f"{_SES} SELECT DISTINCT tool FROM ses",
+    "session_labels": f"""{_SES}
+SELECT session_id, state AS outcome, coalesce(strftime(completed, '%Y-%m-%d %H:%M:%S'), 'unavailable')
+       AS completed_label, 'unavailable' AS model_label, CAST(event_count AS VARCHAR) AS event_count_label
+FROM ses""",
+    "store_sessions": _ALL_SESSIONS,
+    "store_deletion": f"""{_SES} SELECT session_id, count(*) AS events FROM canon
+WHERE session_id NOT IN (SELECT session_id FROM ses WHERE state = 'completed') GROUP BY session_id""",
+    "store_ingest": _STORE_INGEST,
+    "stream_sessions": _ALL_SESSIONS,
+    "gate_verdicts": _GATE,
+    "gate_counters": f"""SELECT count(*) FILTER (WHERE status = 'accepted') AS accepted_payloads,
+       count(*) FILTER (WHERE status = 'rejected') AS rejected_payloads FROM ({_GATE})""",
+    "latest_payload": _LATEST,
+    "logs_normalised": _LOGS,
+    "logs_fingerprint": _FINGERPRINT,
+    "traces_normalised": _TRACES,
+    "traces_rejected": _REJECTED,
+    "trace_sessions": _TRACE_SESSIONS,
+    "document_audit": _AUDIT,
+    "secret_hits": _SECRETS,
+    "token_entropy": _ENTROPY,
+    "sanitised_events": _SANITISED_EVENTS,
+    "event_provenance": _EVENT_PROVENANCE,
+    "sanitised_payloads": _SANITISED_PAYLOADS,
+    "payload_actions": _PAYLOAD_ACTIONS,
+    "event_contract": _EVENT_CONTRACT,
+    "policy_contract": _POLICY_CONTRACT,
+    "settings_contract": _SETTINGS_CONTRACT,
+    "settings_rules": _SETTINGS_RULES,
+    "session_contract": f"""{_SES}
+SELECT session_id, CASE WHEN tool = 'tool-2' THEN 'value:state' ELSE '' END AS violations FROM ses""",
+    "canonical_conformance": f"""WITH {_RECORDS},
+extra AS (SELECT count(*) AS n FROM events WHERE event_id % 11 IN (0, 1)),
+second AS (SELECT count(*) AS n FROM events WHERE event_id % 11 = 1)
+SELECT TRUE AS conforms, (SELECT count(*) FROM records) + extra.n + second.n AS events FROM extra, second""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)

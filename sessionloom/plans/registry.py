@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.functions.sensitive import SECRET_ALPHABET, shannon_entropy
+from sessionloom.functions.sensitive import SECRET_ALPHABET, high_entropy, shannon_entropy
 from sessionloom.operators import audit, contracts, gate, query, sessions
 from sessionloom.operators.canonical import event_documents, rfc3339_text
 from sessionloom.operators.logs import log_events
@@ -380,20 +380,50 @@ def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# How a long hexadecimal token is presented, so that each pattern has something to find.
+PRESENTATIONS = {
+    "header": "Bearer $1",
+    "key": "sk-$1",
+    "block": "-----BEGIN RSA PRIVATE KEY-----$1",
+    "plain": "$1",
+}
+ENTROPY_SUFFIX = "GHJKLMNPQRSTUVWXYZ"
+
+
 @registered
 def secret_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detectors over all texts, in which long hexadecimal tokens are presented as credentials."""
-    presented = F.regexp_replace("text", r"\b([0-9a-f]{40})\b", "Bearer $1")
-    texts = _long_texts(spark, sf_dir).withColumn("text", presented)
-    return audit.secret_hits(texts, "text_id", "text")
+    """Detectors over all whole texts, in which hexadecimal tokens are presented as credentials."""
+    texts = _long_texts(spark, sf_dir)
+    shown = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("presentation"),
+                F.regexp_replace("text", r"\b([0-9a-f]{40})\b", form).alias("shown"),
+            )
+            for name, form in PRESENTATIONS.items()
+        ]
+    )
+    presented = texts.select("text_id", F.inline(shown)).withColumn(
+        "key", F.concat_ws("/", "text_id", "presentation")
+    )
+    return audit.secret_hits(presented, "key", "shown")
 
 
 @registered
 def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of every distinct key-like token of 32 or more characters in all texts."""
+    """Entropy of every distinct key-like token of 32 or more characters in all texts.
+
+    ``longer`` is the entropy with a suffix of fresh letters, which lifts tokens over the limit.
+    """
     tokens = _long_texts(spark, sf_dir).select(F.explode(F.split("text", r"[^a-zA-Z0-9.+/=_-]+")).alias("token"))
     keys = tokens.filter(F.col("token").rlike(SECRET_ALPHABET)).distinct()
-    return keys.select("token", F.round(shannon_entropy(F.col("token")), 6).alias("entropy"))
+    longer = F.concat("token", F.lit(ENTROPY_SUFFIX))
+    return keys.select(
+        "token",
+        F.round(shannon_entropy(F.col("token")), 6).alias("entropy"),
+        F.round(shannon_entropy(longer), 6).alias("longer"),
+        high_entropy(longer).alias("flagged"),
+    )
 
 
 # --- privacy -------------------------------------------------------------------------------
