@@ -12,9 +12,9 @@ import hmac
 import json
 import sys
 from collections.abc import Callable
-from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +29,9 @@ from sessionloom.functions.sensitive import (
 )
 from sessionloom.schemas import PROVENANCE_TYPE
 
+# Ship these helpers with the job, so that executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REDACTED = "[REDACTED]"
 SANITISED_TYPE = (
     T.StructType().add("value", T.StringType()).add("provenance", PROVENANCE_TYPE)
@@ -52,7 +55,6 @@ def _child_path(path: str, key: str) -> str:
     return f"{path}.{key}" if path else key
 
 
-@lru_cache(maxsize=4096)
 def key_action(name: str) -> str:
     """What the privacy boundary does with a field of this name."""
     plain = name.lower().translate(_SEPARATORS)
@@ -100,6 +102,17 @@ def sanitiser(salt: bytes) -> Callable[[Column, Column], Column]:
     """
     check_salt(salt)
 
+    actions: dict[str, str] = {}
+
+    def action_of(name: str) -> str:
+        # Field names repeat from row to row; the cache is bounded against open-ended names.
+        known = actions.get(name)
+        if known is None:
+            if len(actions) >= 4096:
+                actions.clear()
+            known = actions[name] = key_action(name)
+        return known
+
     def keyed_hash(value: object) -> str:
         digest = hmac.new(salt, _hash_text(value).encode("utf-8", "surrogatepass"), hashlib.sha256)
         return "hmac-sha256:" + digest.hexdigest()
@@ -116,7 +129,7 @@ def sanitiser(salt: bytes) -> Callable[[Column, Column], Column]:
             pair = value.get("key") if key == "value" else None
             named = isinstance(pair, str) and pair != ""
             name = pair if named else key
-            action = key_action(name)
+            action = action_of(name)
             if action == "retained":
                 rows.append((here, action, "operational_metadata"))
                 safe[key] = clean(value[key], here, rows)

@@ -120,6 +120,5 @@ def audit_report(audited: DataFrame) -> DataFrame:
 
 def secret_hits(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of a text table in which a secret detector fires, with the detector's name."""
-    return texts.select(F.col(key), secret_detector(F.col(text)).alias("detector")).filter(
-        F.col("detector").isNotNull()
-    )
+    judged = evaluate_once(texts.select(key, text), {"detector": secret_detector(F.col(text))})
+    return judged.filter(F.col("detector").isNotNull()).select(key, "detector")

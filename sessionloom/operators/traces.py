@@ -62,27 +62,34 @@ def _rest(members: Column, known: Sequence[str]) -> Column:
 
 
 def _span(value: Column, path: Column, resource_rest: Column, scope_rest: Column) -> Column:
-    texts = {key: string_or_null(member(value, key)) for key in SPAN_KEYS}
-    bad_key = F.coalesce(
-        *[F.when(~not_blank(text), key) for key, text in texts.items()],
-        F.when(parse_unix_nanos(texts["startTimeUnixNano"]).isNull(), "startTimeUnixNano"),
-    )
-    is_object = as_object(value).isNotNull()
-    code = F.when(~is_object, "not_an_object").when(bad_key.isNotNull(), "invalid_span_field")
-    return _span_row(
-        error_path=F.when(~is_object, path).when(
-            bad_key.isNotNull(), F.concat(path, F.lit("."), bad_key)
-        ),
-        error_code=code,
-        trace_id=texts["traceId"],
-        span_id=texts["spanId"],
-        name=texts["name"],
-        start_nano=parse_unix_nanos(texts["startTimeUnixNano"]),
-        resource_rest=resource_rest,
-        scope_rest=scope_rest,
-        span_rest=_rest(as_object(value), SPAN_KEYS),
+    read = F.struct(
+        as_object(value).alias("members"),
+        *[string_or_null(member(value, key)).alias(key) for key in SPAN_KEYS],
+        parse_unix_nanos(string_or_null(member(value, "startTimeUnixNano"))).alias("nano"),
     )
 
+    def judged(span: Column) -> Column:
+        bad_key = F.coalesce(
+            *[F.when(~not_blank(span[key]), key) for key in SPAN_KEYS],
+            F.when(span["nano"].isNull(), "startTimeUnixNano"),
+        )
+        is_object = span["members"].isNotNull()
+        return _span_row(
+            error_path=F.when(~is_object, path).otherwise(F.concat(path, F.lit("."), bad_key)),
+            error_code=F.when(~is_object, "not_an_object").when(
+                bad_key.isNotNull(), "invalid_span_field"
+            ),
+            trace_id=span["traceId"],
+            span_id=span["spanId"],
+            name=span["name"],
+            start_nano=span["nano"],
+            resource_rest=resource_rest,
+            scope_rest=scope_rest,
+            span_rest=_rest(span["members"], SPAN_KEYS),
+        )
+
+    return bind(read, judged)
+
 
 def _level(value: Column, path: Column, name: str, per_item) -> Column:
     """Rows of the items in list ``name`` of an object, or one failure row.
@@ -102,21 +109,28 @@ def _level(value: Column, path: Column, name: str, per_item) -> Column:
 
 
 def _document_spans(payload: Column) -> Column:
+    # What a resource or scope keeps beside its list is taken once, not once per span below it.
     def scopes(resource: Column, path: Column) -> Column:
-        resource_rest = _rest(as_object(resource), ["scopeSpans"])
+        return bind(
+            _rest(as_object(resource), ["scopeSpans"]),
+            lambda resource_rest: _level(
+                resource,
+                path,
+                "scopeSpans",
+                lambda scope, scope_path: spans(scope, scope_path, resource_rest),
+            ),
+        )
 
-        def spans(scope: Column, scope_path: Column) -> Column:
-            scope_rest = _rest(as_object(scope), ["spans"])
-            return _level(
+    def spans(scope: Column, path: Column, resource_rest: Column) -> Column:
+        return bind(
+            _rest(as_object(scope), ["spans"]),
+            lambda scope_rest: _level(
                 scope,
-                scope_path,
+                path,
                 "spans",
-                lambda span, span_path: F.array(
-                    _span(span, span_path, resource_rest, scope_rest)
-                ),
-            )
-
-        return _level(resource, path, "scopeSpans", spans)
+                lambda span, span_path: F.array(_span(span, span_path, resource_rest, scope_rest)),
+            ),
+        )
 
     return _level(payload, F.lit("payload"), "resourceSpans", scopes)
 

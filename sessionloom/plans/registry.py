@@ -371,7 +371,7 @@ def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def part(name: str, *keys: str, text: str) -> DataFrame:
         key = F.concat_ws("/", F.lit(name), *[F.col(column).cast("string") for column in keys])
-        return derived.table(spark, sf_dir, name).select(key.alias("text_id"), F.col(text).alias("text"))
+        return derived.spread(derived.table(spark, sf_dir, name)).select(key.alias("text_id"), F.col(text).alias("text"))
 
     return (
         part("documents", "doc_id", text="text")
