@@ -115,7 +115,11 @@ def session_page(sessions: DataFrame, wanted: SessionFilter, events: DataFrame |
 
 
 def without_sessions(table: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Rows of any table with a ``session_id`` that survive the deletion of sessions."""
+    """Rows of any table with a ``session_id`` that survive the deletion of sessions.
+
+    The deleted ids are distinct, so only the table side can be skewed; adaptive execution
+    splits that side of an anti join when one session makes a partition too large.
+    """
     return table.join(deleted.select("session_id").distinct(), "session_id", "left_anti")
 
 

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.lifecycle import is_terminal, lifecycle_state
+from sessionloom.operators.canonical import rfc3339_text
 from sessionloom.schemas import SESSION_COLUMNS
 
+TOUCHED_SALTS = 16
+
 FOLD_INPUT = [
     "session_id",
     "event_id",
@@ -110,16 +113,20 @@ def rebuild_touched(events: DataFrame, batch: DataFrame) -> DataFrame:
     """Sessions that ``batch`` touches, folded again from all stored ``events``.
 
     The touched ids are reduced to distinct values before they meet the event table; whether
-    they are broadcast is left to Spark's size check.
+    they are broadcast is left to Spark's size check. Where they are not, a hot session would
+    send all its events to one join task, so both sides carry a salt: the ids once per salt
+    value, each event under the one its own id falls on. The fold combines again by session.
     """
-    touched = batch.select("session_id").distinct()
-    return rebuild_sessions(events.select(*FOLD_INPUT).join(touched, "session_id", "left_semi"))
+    salts = F.explode(F.array(*[F.lit(salt) for salt in range(TOUCHED_SALTS)]))
+    touched = batch.select("session_id").distinct().withColumn("_salt", salts)
+    salted = events.select(*FOLD_INPUT).withColumn(
+        "_salt", F.pmod(F.xxhash64("event_id"), F.lit(TOUCHED_SALTS)).cast("int")
+    )
+    return rebuild_sessions(salted.join(touched, ["session_id", "_salt"], "left_semi"))
 
 
 def session_documents(sessions: DataFrame) -> DataFrame:
     """Sessions as the open JSON documents their contract describes (one VARIANT column)."""
-    from sessionloom.operators.canonical import rfc3339_text
-
     texts = ["schema_version", "session_id", "provider", "tool", "state"]
     null = F.parse_json(F.lit("null"))
     members = [F.struct(F.lit(name).alias("key"), F.col(name).cast("variant").alias("value")) for name in texts]

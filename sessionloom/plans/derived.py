@@ -39,9 +39,9 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
-def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_events(rows: DataFrame) -> DataFrame:
     """The events table with its time as an instant and ``k`` taken out of ``props``."""
-    return spread(table(spark, sf_dir, "events")).select(
+    return rows.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",
@@ -69,7 +69,7 @@ def _event_type(kind: Column) -> Column:
 
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One canonical event per row. Times are cut to the hour, so sessions have ties."""
-    rows = source_events(spark, sf_dir).withColumn("at", F.date_trunc("hour", "ts"))
+    rows = source_events(table(spark, sf_dir, "events")).withColumn("at", F.date_trunc("hour", "ts"))
     attributes = F.map_filter(
         F.create_map(F.lit("model"), _model(F.col("k")).cast("variant")),
         lambda name, value: value.isNotNull(),
@@ -144,7 +144,7 @@ TRACES = (
 
 def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw payload per row in the payload schema, plus ``kind`` (which fault, if any)."""
-    rows = source_events(spark, sf_dir).withColumn("kind", F.col("event_id") % PAYLOAD_KINDS)
+    rows = source_events(spread(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % PAYLOAD_KINDS)
     model = F.when(F.col("k") % 7 == 0, "").otherwise(
         fill('{"key":"model","value":{"stringValue":"model-<m>"}},', m=F.col("k") % 5)
     )
@@ -213,7 +213,7 @@ TWO_SPANS = (
 
 def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wrapped trace document per row, plus ``kind`` (which fault, if any)."""
-    rows = source_events(spark, sf_dir).withColumn("kind", F.col("event_id") % DOCUMENT_KINDS)
+    rows = source_events(spread(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % DOCUMENT_KINDS)
     kind = F.col("kind")
     values = {
         "event_type": F.col("event_type"),
@@ -267,7 +267,7 @@ POLICY_DOCUMENT = (
 
 def contract_documents(spark: SparkSession, sf_dir: str, contract: str) -> DataFrame:
     """One event, settings or policy document per row with planted contract faults."""
-    rows = source_events(spark, sf_dir).withColumn("kind", F.col("event_id") % CONTRACT_KINDS)
+    rows = source_events(spread(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % CONTRACT_KINDS)
     kind = F.col("kind")
 
     def either(number: int, faulty: str, sound: str) -> Column:

@@ -12,15 +12,17 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions.lifecycle import is_terminal, lifecycle_state
 from sessionloom.functions.sensitive import SECRET_ALPHABET, high_entropy, shannon_entropy
 from sessionloom.operators import audit, contracts, gate, query, sessions
-from sessionloom.operators.canonical import event_documents, rfc3339_text
+from sessionloom.operators.canonical import event_documents, rfc3339_text, unite_events
 from sessionloom.operators.logs import log_events
-from sessionloom.operators.privacy import provenance_rows, sanitise_column
+from sessionloom.operators.privacy import provenance_rows, sanitise_column, sanitise_events
 from sessionloom.operators.traces import decode_traces, rejected_documents, trace_events
 from sessionloom.plans import derived
 from sessionloom.plans.derived import QUERY_SALT
 from sessionloom.plans.pipelines import (
+    TRACE_ARRIVAL,
     classify_payloads,
     ingest_payloads,
     inspect_latest,
@@ -28,6 +30,7 @@ from sessionloom.plans.pipelines import (
     safe_log_events,
 )
 from sessionloom.session import configure, work_dir
+from sessionloom.sources import store as stores
 from sessionloom.sources.store import EventStore
 from sessionloom.streaming.ingest import stream_events
 
@@ -73,8 +76,8 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def sessions_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicate events that all arrive twice, then fold them into sessions."""
-    unique = sessions.deduplicate(derived.arriving_events(spark, sf_dir), ARRIVAL)
-    return _session_texts(sessions.rebuild_sessions(unique))
+    arriving = derived.arriving_events(spark, sf_dir).select(*sessions.FOLD_INPUT, *ARRIVAL)
+    return _session_texts(sessions.rebuild_sessions(sessions.deduplicate(arriving, ARRIVAL)))
 
 
 @registered
@@ -87,8 +90,6 @@ def events_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def event_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per type with the session state each type announces."""
-    from sessionloom.functions.lifecycle import is_terminal, lifecycle_state
-
     counted = _events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
     state = lifecycle_state(F.col("event_type"))
     return counted.withColumns({"state": state, "terminal": F.coalesce(is_terminal(state), F.lit(False))})
@@ -164,12 +165,10 @@ def sessions_by_model_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per table that survive the deletion of all failed sessions."""
-    from sessionloom.sources.store import delete_cascade as cascade
-
     events = _events(spark, sf_dir)
     found = sessions.rebuild_sessions(events)
     deleted = found.filter(F.col("state") == "failed")
-    kept = cascade(deleted, events=events.select("session_id"), sessions=found.select("session_id"))
+    kept = stores.delete_cascade(deleted, events=events.select("session_id"), sessions=found.select("session_id"))
     counts = [
         rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
         for name, rows in kept.items()
@@ -259,9 +258,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_provenance(events: DataFrame) -> DataFrame:
-    from sessionloom.operators.privacy import sanitise_events
-
-    return sanitise_events(events, QUERY_SALT)
+    return sanitise_events(derived.spread(events), QUERY_SALT)
 
 
 # --- payload gate and logs -----------------------------------------------------------------
@@ -357,7 +354,8 @@ def traces_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of replayed documents."""
     replayed = replay_documents(derived.wrapped_documents(spark, sf_dir), QUERY_SALT)
-    unique = sessions.deduplicate(replayed.events, ["document_id", "record_index"])
+    events = replayed.events.select(*sessions.FOLD_INPUT, *TRACE_ARRIVAL)
+    unique = sessions.deduplicate(events, TRACE_ARRIVAL)
     return _session_texts(sessions.rebuild_sessions(unique))
 
 
@@ -493,11 +491,8 @@ def settings_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settings_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First broken safety rule per settings row, on typed columns."""
     documents = derived.contract_documents(spark, sf_dir, "settings")
-    names = [name.strip().split(" ")[0] for name in ("schema_version", "mode", "collection", "storage", "sharing")]
     typed = F.from_json(F.to_json("document"), contracts.SETTINGS_TYPE)
-    settings = documents.select("event_id", typed.alias("typed")).select(
-        "event_id", *[F.col(f"typed.{name}").alias(name) for name in names]
-    )
+    settings = documents.select("event_id", typed.alias("typed")).select("event_id", "typed.*")
     return contracts.first_settings_violation(settings).select("event_id", "violation")
 
 
@@ -515,8 +510,6 @@ def canonical_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of both adapters as documents: every one of them meets the event contract."""
     logs = safe_log_events(classify_payloads(derived.raw_payloads(spark, sf_dir)), QUERY_SALT)
     traces = replay_documents(derived.wrapped_documents(spark, sf_dir), QUERY_SALT).events
-    from sessionloom.operators.canonical import unite_events
-
     judged = contracts.contract_violations(event_documents(unite_events(logs, traces)), contracts.EVENT_CONTRACT)
     sound = F.size("violations") == 0
     return judged.groupBy(sound.alias("conforms")).agg(F.count(F.lit(1)).alias("events"))
