@@ -9,7 +9,12 @@ from sessionloom.operators.privacy import sanitise_events
 from sessionloom.operators.sessions import rebuild_sessions
 from sessionloom.plans.pipelines import ingest_payloads, inspect_latest
 from sessionloom.schemas import PAYLOAD_SCHEMA
-from sessionloom.sources.payloads import read_document_files, read_payload_files, stream_payload_table
+from sessionloom.sources.payloads import (
+    read_document_files,
+    read_payload_files,
+    stream_payload_files,
+    stream_payload_table,
+)
 from sessionloom.sources.store import EventStore
 from sessionloom.streaming.ingest import gate_counts_by_minute, recent_unique_events, stream_events, stream_payloads
 
@@ -177,3 +182,15 @@ def test_file_sources(spark, tmp_path):
     assert read_document_files(spark, str(folder)).first().document_id == row.payload_id
     with pytest.raises(ValueError, match="signal"):
         read_payload_files(spark, str(folder), "metrics")
+
+
+def test_file_stream_feeds_the_store(spark, store, tmp_path):
+    folder = tmp_path / "landing"
+    os.makedirs(folder)
+    for number in (1, 2):
+        (folder / f"{number}.json").write_text(good(number) + "\n")
+    (folder / "bad.json").write_text("{")
+    stream = stream_payload_files(spark, str(folder), "logs")
+    stream_payloads(stream, store, SALT, "files", str(tmp_path / "checkpoint")).awaitTermination()
+    assert store.sessions().count() == 2
+    assert store.counters().first().asDict() == {"accepted_payloads": 2, "rejected_payloads": 1}
