@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Nested higher-order expressions need more analyzer passes than the default 100.
     "spark.sql.analyzer.maxIterations": "1000",
+    # Parquet keeps min/max statistics for this timestamp form, so time filters prune row groups.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # Keyed-hash pads are 64-byte literals; keep them out of plans, the UI and event logs.
     "spark.sql.redaction.string.regex": "(?i)(0x|X')[0-9a-f]{128}'?",
 }

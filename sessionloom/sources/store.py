@@ -129,10 +129,13 @@ class EventStore:
         return self._surviving(rows, self._deleted(commits))
 
     def _folds(self, commits: list) -> DataFrame:
-        rows = self._table("folds", self._visible(commits, "base", "events"))
+        batches = self._visible(commits, "base", "events")
+        rows = self._table("folds", batches)
         if rows is None:
             return fold_events(self._events(commits))
-        return merge_folds(self._surviving(rows, self._deleted(commits)).drop("batch"))
+        surviving = self._surviving(rows, self._deleted(commits)).drop("batch")
+        # One batch holds one fold per session; nothing is left to merge after compaction.
+        return surviving if len(batches) == 1 else merge_folds(surviving)
 
     def events(self) -> DataFrame:
         """Stored events with their provenance."""
@@ -247,13 +250,16 @@ class EventStore:
         return found
 
     def compact(self) -> None:
-        """Fold all batches into one base without deleted rows, then empty the old folders."""
+        """Fold all batches into one base without deleted rows, then empty the old folders.
+
+        The base's folds are range-sorted by start time, and with nothing left to merge, time
+        filters and page cursors on :meth:`sessions` are pushed down to the scan.
+        """
         commits = self._commits()
         batch = commits[-1].batch + 1
         self._write_events(self._events(commits).drop("batch", "session_bucket"), batch)
-        fold_events(self._batch_events(batch)).write.mode("overwrite").parquet(
-            f"{self.root}/folds/batch={batch}"
-        )
+        folds = fold_events(self._batch_events(batch)).orderBy("first.occurred_at", "session_id")
+        folds.write.mode("overwrite").parquet(f"{self.root}/folds/batch={batch}")
         self._commit(batch, kind="base")
         for name, kinds in (("events", ("base", "events")), ("folds", ("base", "events")), ("deleted", ("delete",))):
             for old in self._visible(commits, *kinds):

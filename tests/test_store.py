@@ -2,10 +2,11 @@ import json
 import os
 
 import pytest
-from helpers import SALT, by, events, log_payload, pair, payloads
+from helpers import SALT, by, events, log_payload, pair, payloads, utc
 from pyspark.sql import functions as F
 
 from sessionloom.operators.privacy import sanitise_events
+from sessionloom.operators.query import SessionFilter, list_sessions
 from sessionloom.operators.sessions import rebuild_sessions
 from sessionloom.plans.pipelines import ingest_payloads, inspect_latest
 from sessionloom.schemas import PAYLOAD_SCHEMA
@@ -93,6 +94,20 @@ def test_session_lookup_reads_one_bucket(spark, store):
     assert "PartitionFilters: [isnotnull(session_bucket" in plan and "EqualTo(session_id,a)" in plan
 
 
+def test_time_filters_reach_the_scan_after_compaction(spark, store):
+    store.append(safe(spark, ROWS[:2]), ARRIVAL)
+    store.append(safe(spark, ROWS[2:]), ARRIVAL)
+    store.compact()
+    wanted = SessionFilter(started_after=utc("2026-01-02T10:30:00"))
+    page = list_sessions(store.sessions(), wanted)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(first.occurred_at" in plan and "Aggregate" not in plan
+    assert [row.session_id for row in page.collect()] == ["b"]
+    by_model = list_sessions(store.sessions(), SessionFilter(model="m"), store.events())
+    assert "EqualTo(model,m)" in by_model._jdf.queryExecution().executedPlan().toString()
+    assert [row.session_id for row in by_model.collect()] == ["a"]
+
+
 def test_reopened_store_keeps_its_buckets(spark, store):
     assert EventStore(spark, store.root).buckets == 4
 
