@@ -17,7 +17,7 @@ SHARDS = 40
 ROW_OVERHEAD = 16
 TOLERANCE = 0.001
 PROBE_BITS = 10
-PIECE_BYTES = 256 << 20
+PIECE_BYTES = 64 << 20
 MAX_OFFSETS = 1_000_000
 KEY_BITS = 128
 _HASHED = ("string", "binary", "boolean", "date", "timestamp", "timestamp_ntz")
