@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from sessionloom.llm.licences import LICENCE_SQL, op9_licences
 from sessionloom.llm.near_dedup import op1_probminhash
 from sessionloom.llm.quality import QUALITY_SQL, op4_quality_rules
 from sessionloom.llm.sharding import op10_histogram_sort
 
-_ALL = (op1_probminhash, op4_quality_rules, op10_histogram_sort)
+_ALL = (op1_probminhash, op4_quality_rules, op9_licences, op10_histogram_sort)
 
-_SQL = {"op4_quality_rules": QUALITY_SQL}
+_SQL = {"op4_quality_rules": QUALITY_SQL, "op9_licences": LICENCE_SQL}
 
 
 def queries() -> dict:
