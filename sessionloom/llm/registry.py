@@ -9,10 +9,11 @@ from sessionloom.llm.near_dedup import op1_probminhash
 from sessionloom.llm.quality import QUALITY_SQL, op4_quality_rules
 from sessionloom.llm.sharding import op10_histogram_sort
 from sessionloom.llm.toxicity import op5_ordinal_toxicity
+from sessionloom.llm.warc import WARC_SQL, op3_chunked_warc
 
-_ALL = (op1_probminhash, op4_quality_rules, op5_ordinal_toxicity, op6_block_mixing, op7_containment, op9_licences, op10_histogram_sort)
+_ALL = (op1_probminhash, op3_chunked_warc, op4_quality_rules, op5_ordinal_toxicity, op6_block_mixing, op7_containment, op9_licences, op10_histogram_sort)
 
-_SQL = {"op4_quality_rules": QUALITY_SQL, "op7_containment": CONTAINMENT_SQL, "op9_licences": LICENCE_SQL}
+_SQL = {"op3_chunked_warc": WARC_SQL, "op4_quality_rules": QUALITY_SQL, "op7_containment": CONTAINMENT_SQL, "op9_licences": LICENCE_SQL}
 
 
 def queries() -> dict:
