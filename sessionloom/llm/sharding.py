@@ -31,7 +31,7 @@ def row_keys(frame: DataFrame, text: str) -> tuple[Column, Column]:
         for name, kind in frame.dtypes
         if name != text and (kind in _HASHED or kind.startswith(_NUMBERS))
     ]
-    content = F.coalesce(F.col(text), F.lit(""))
+    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return F.xxhash64(content), F.xxhash64(*others, F.length(content))
 
 
@@ -138,8 +138,9 @@ def shard_by_bytes(
     are kept as they are.
     """
     high, low = row_keys(frame, text)
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + ROW_OVERHEAD
-    keys = written(frame.select(high.alias("_k1"), low.alias("_k2"), size.alias("_size")), "shard-keys")
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("bigint") + ROW_OVERHEAD
+    keyed = high.alias("_k1"), low.alias("_k2"), size.alias("_size")
+    keys = written(frame.select(*keyed), "shard-keys")
     cuts = find_cuts(keys, shards, tolerance)
     total = keys.agg(F.sum("_size")).first()[0] or 0
     # Pieces of a shard bound what one task numbers; the row hash deals them evenly.
@@ -151,15 +152,16 @@ def shard_by_bytes(
     if shards * pieces <= MAX_OFFSETS:
         offsets = F.broadcast(offsets)
     kept = [name for name in frame.columns if name not in ("size", "shard", "slot")]
+    # The columns travel as one, so that no name of theirs can clash.
     rows = (
-        frame.select(*[F.col(f"`{name}`") for name in kept], high.alias("_k1"), low.alias("_k2"), size.alias("size"))
+        frame.select(F.struct(*[f"`{name}`" for name in kept]).alias("_row"), *keyed)
         .withColumns({"_shard": shard, "_piece": piece})
         .join(offsets, ["_shard", "_piece"])
     )
     ordered = Window.partitionBy("_shard", "_piece").orderBy("_k1", "_k2")
     return rows.select(
-        *[F.col(f"`{name}`") for name in kept],
-        "size",
+        "_row.*",
+        F.col("_size").alias("size"),
         F.col("_shard").alias("shard"),
         (F.col("_offset") + F.row_number().over(ordered) - 1).alias("slot"),
     )
