@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.components import connected_components
@@ -33,10 +33,15 @@ from sessionloom.llm.text import (
 BANDS = 25
 BAND_ROWS = 5
 REGISTERS = BANDS * BAND_ROWS
+# Registers of the finer estimate for texts in shared buckets.
+FINE_REGISTERS = 512
 ELEMENT_BITS = 44
 # Members that one task compares with a pivot before the pivot's text is sent to another task.
 MEMBERS_PER_SALT = 256
-PIVOT_GROWTH = 8
+# Bits kept of every register to estimate similarities, and the estimate below which a pair is not
+# verified: 4.5 standard errors under the threshold.
+NIBBLE = 4
+ERRORS_BELOW = 4.5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,15 +58,17 @@ def weighted_elements(column: pa.Array):
     return packed & np.uint64((1 << ELEMENT_BITS) - 1), 1.0 + np.log(counts), owners
 
 
-def registers(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, texts: int) -> np.ndarray:
+def registers(
+    elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, texts: int, count: int = REGISTERS
+) -> np.ndarray:
     """The element that arrives first in each register; texts without elements keep zeros.
 
     All elements advance together. Arrival ``n`` of an element depends only on the element and
     ``n``, so the result does not depend on how many arrivals a round takes; rounds get longer
     because few elements, those of short texts, need many arrivals.
     """
-    earliest = np.full(texts * REGISTERS, np.inf)
-    holder = np.zeros(texts * REGISTERS, dtype=np.uint64)
+    earliest = np.full(texts * count, np.inf)
+    holder = np.zeros(texts * count, dtype=np.uint64)
     limit = np.full(texts, np.inf)
     clock = np.zeros(len(elements))
     done, size = 0, 1
@@ -70,21 +77,21 @@ def registers(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, tex
         draw = mix64(elements[:, None] + nth)
         waits = -np.log1p(-((draw >> np.uint64(11)).astype(np.float64) / (1 << 53))) / weights[:, None]
         times = clock[:, None] + np.cumsum(waits, axis=1)
-        place = (mix64(draw ^ GOLDEN) >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)
-        slot = owners[:, None] * REGISTERS + place.astype(np.int64)
+        place = (mix64(draw ^ GOLDEN) >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+        slot = owners[:, None] * count + place.astype(np.int64)
         near = times < earliest[slot]
         at, when = slot[near], times[near]
         np.minimum.at(earliest, at, when)
         won = earliest[at] == when
         holder[at[won]] = np.broadcast_to(elements[:, None], slot.shape)[near][won]
         touched = np.unique(owners)
-        limit[touched] = earliest.reshape(texts, REGISTERS)[touched].max(axis=1)
+        limit[touched] = earliest.reshape(texts, count)[touched].max(axis=1)
         clock = times[:, -1]
         alive = clock < limit[owners]
         elements, weights, owners, clock = elements[alive], weights[alive], owners[alive], clock[alive]
         done += size
         size = min(done, 256)
-    return holder.reshape(texts, REGISTERS)
+    return holder.reshape(texts, count)
 
 
 def band_values(sketch: np.ndarray) -> np.ndarray:
@@ -96,17 +103,57 @@ def band_values(sketch: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
+def packed_registers(sketch: np.ndarray) -> np.ndarray:
+    """Four hashed bits of every register, sixteen registers to a number."""
+    bits = mix64(sketch) >> np.uint64(64 - NIBBLE)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(NIBBLE)
+    return np.bitwise_or.reduce(bits.reshape(len(sketch), -1, 16) << shifts, axis=2).view(np.int64)
+
+
+def _agreeing(left: Column, right: Column) -> Column:
+    """Fine registers whose packed bits agree in two rows."""
+    differing = F.lit(0)
+    for at in range(FINE_REGISTERS // 16):
+        apart = F.get(left, F.lit(at)).bitwiseXOR(F.get(right, F.lit(at)))
+        folded = apart.bitwiseOR(F.shiftrightunsigned(apart, 2))
+        folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        differing = differing + F.bit_count(folded)
+    return F.lit(FINE_REGISTERS) - differing
+
+
+def least_agreement(threshold: float) -> int:
+    """Agreeing fine registers below which a pair is taken to be under the threshold."""
+    share = threshold + (1 - threshold) / (1 << NIBBLE)
+    return int(FINE_REGISTERS * share - ERRORS_BELOW * (FINE_REGISTERS * share * (1 - share)) ** 0.5)
+
+
+def _lists(values: np.ndarray, filled: np.ndarray) -> pa.Array:
+    """A list per text, empty for texts without words."""
+    ends = np.concatenate([[0], np.cumsum(filled) * values.shape[1]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch, "text"):
-            elements, weights, owners = weighted_elements(part.column("text"))
-            filled = np.bincount(owners, minlength=part.num_rows) > 0
-            values = band_values(registers(elements, weights, owners, part.num_rows))[filled]
-            ends = np.concatenate([[0], np.cumsum(filled) * BANDS]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+            elements = weighted_elements(part.column("text"))
+            filled = np.bincount(elements[2], minlength=part.num_rows) > 0
+            bands = _lists(band_values(registers(*elements, part.num_rows)[filled]), filled)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), bands], ["id", "node", "bands"])
 
 
+def _fine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in steps(batch, "text"):
+            elements = weighted_elements(part.column("text"))
+            filled = np.ones(part.num_rows, dtype=bool)
+            bands = _lists(band_values(registers(*elements, part.num_rows)), filled)
+            bits = _lists(packed_registers(registers(*elements, part.num_rows, FINE_REGISTERS)), filled)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), part.column("text"), bands, bits], ["node", "text", "bands", "bits"]
+            )
+
+
 def similarity(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact probability Jaccard of two weighted sets, each given as sorted hashes and weights."""
     (a, wa), (b, wb) = left, right
@@ -145,46 +192,50 @@ def _verifier(threshold: float):
         for batch in batches:
             for part in steps(batch, "text"):
                 sets = _weighted_sets(part.column("text"))
-                left, right = [], []
+                left, right, weight = [], [], []
                 rows = zip(
                     part.column("pivot").to_pylist(),
                     part.column("salt").to_pylist(),
                     part.column("member").to_pylist(),
                     part.column("node").to_pylist(),
+                    part.column("popularity").to_pylist(),
                     sets,
                 )
-                for of, salt, member, node, own in rows:
+                for of, salt, member, node, popularity, own in rows:
                     if not member:
                         current, pivot = (of, salt), own
                     elif current == (of, salt) and similarity(pivot, own) >= threshold:
                         left.append(node)
                         right.append(of)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                        weight.append(popularity)
+                columns = [pa.array(values, pa.int64()) for values in (left, right, weight)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "popularity"])
 
     return run
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) among ``pairs`` (node, pivot) whose texts are similar enough.
+    """Links (a, b, popularity) among ``pairs`` (node, pivot, popularity) whose texts are similar enough.
 
     The members of a pivot are dealt over salts; every salt gets the pivot's text once.
     """
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS_PER_SALT).cast("int").alias("salts"))
     members = pairs.join(salts, "pivot").select(
-        "pivot", F.pmod(F.xxhash64("node", "pivot"), "salts").cast("int").alias("salt"), F.lit(True).alias("member"), "node"
+        "pivot", F.pmod(F.xxhash64("node", "pivot"), "salts").cast("int").alias("salt"), F.lit(True).alias("member"), "node", "popularity"
     )
     pivots = salts.select(
         "pivot",
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         F.lit(False).alias("member"),
         F.col("pivot").alias("node"),
+        F.lit(0).cast("bigint").alias("popularity"),
     )
     rows = members.union(pivots).join(texts, "node")
     return (
-        rows.select("pivot", "salt", "member", "node", "text")
+        rows.select("pivot", "salt", "member", "node", "popularity", "text")
         .repartition("pivot", "salt")
         .sortWithinPartitions("pivot", "salt", "member")
-        .mapInArrow(_verifier(threshold), "a bigint, b bigint")
+        .mapInArrow(_verifier(threshold), "a bigint, b bigint, popularity bigint")
     )
 
 
@@ -202,20 +253,25 @@ def near_duplicate_classes(
     a class of null ids only has a null class id, and repeated rows count as copies. Other columns
     are ignored.
 
-    Which pairs are verified: in every band bucket first all members against two pivots. Buckets
-    whose members are then still in different components go on with eight times as many pivots in
-    each round, until all pairs across components are verified. A group of copies is thus
-    connected with a few comparisons per text, and no link between different texts is lost but to
-    the bands themselves: two texts of similarity 0.8 share none with probability 0.00005. A node
-    is a 64-bit hash of the text.
+    Which pairs are verified: first every text with the most popular text of each of its band
+    buckets, the one that shares most buckets with others and so is in the middle of its group; this
+    connects a group of near copies with a few comparisons per text. Then all other pairs that
+    share a bucket and are not linked to the same such text, each in the first bucket they share,
+    unless fewer of 512 registers agree than 4.5 standard errors below the threshold allow. Two texts of
+    similarity 0.8 share no bucket with probability 0.00005, and are under the estimate with
+    probability 0.000004. A node is a 64-bit hash of the text.
     """
     source = frame.select(
         F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     ).select("id", F.xxhash64("text").alias("node"), "text")
     sketches = written(source.mapInArrow(_sketch_batches, "id bigint, node bigint, bands array<bigint>"), "sketches")
-    rows = sketches.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    members = written(rows.join(shared, "bucket").select("bucket", "node", "low", "high").distinct(), "buckets")
+    rows = sketches.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = (
+        rows.groupBy("bucket")
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
+        .where("low != high")
+    )
+    members = written(rows.join(shared.select("bucket", "size"), "bucket").distinct(), "buckets")
     # The text of one row for every node in a shared bucket: the one with the smallest id.
     chosen = (
         sketches.groupBy("node")
@@ -225,49 +281,48 @@ def near_duplicate_classes(
     )
     texts = written(
         source.join(chosen, (source.node == chosen.node) & source.id.eqNullSafe(chosen.chosen))
-        .select(source.node, source.text),
+        .select(source.node, source.text)
+        .mapInArrow(_fine_batches, "node bigint, text string, bands array<bigint>, bits array<bigint>"),
         "texts",
     )
-    tried = members.select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node != pivot")
-    pairs = written(tried.distinct(), "pairs")
-    links = written(_verify(pairs, texts, threshold), "links")
-    pivots = PIVOT_GROWTH
-    while True:
-        roots = connected_components(links)
-        placed = members.select("bucket", "node").join(roots, "node", "left")
-        placed = placed.select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = (
-            placed.groupBy("bucket")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-            .where("low != high")
-        )
-        open_rows = placed.join(mixed.select("bucket", "size"), "bucket")
-        chance = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20)) * F.col("size")
-        chosen_pivots = open_rows.where(chance <= pivots * (1 << 20)).select(
-            "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")
-        )
-        reached = open_rows.join(chosen_pivots, "bucket").where("root != pivot_root and node != pivot")
-        # One direction of each pair; pairs of two pivots come once.
-        fresh = written(
-            reached.select(F.least("node", "pivot").alias("pivot"), F.greatest("node", "pivot").alias("node"))
-            .distinct()
-            .join(
-                pairs.select(F.least("node", "pivot").alias("pivot"), F.greatest("node", "pivot").alias("node")),
-                ["pivot", "node"],
-                "left_anti",
-            ),
-            "pairs",
-        )
-        largest = mixed.agg(F.max("size")).first()[0]
-        if not largest:
-            break
-        if not fresh.isEmpty():
-            links = written(links.union(_verify(fresh.select("node", "pivot"), texts, threshold)), "links")
-            pairs = written(pairs.union(fresh.select("node", "pivot")), "pairs")
-        if pivots >= largest:
-            roots = connected_components(links)
-            break
-        pivots *= PIVOT_GROWTH
+    popular = members.groupBy("node").agg(F.sum("size").alias("popularity"))
+    pivots = (
+        members.join(popular, "node")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("popularity", "node")).alias("top"))
+        .select("bucket", F.col("top.node").alias("pivot"), F.col("top.popularity").alias("popularity"))
+    )
+    pairs = written(
+        members.join(pivots, "bucket").where("node != pivot").select("node", "pivot", "popularity").distinct(), "pairs"
+    )
+    links = written(_verify(pairs, texts.select("node", "text"), threshold), "links")
+    # Texts that are linked to the same pivot need not be compared with each other.
+    label = links.groupBy("a").agg(F.max(F.struct("popularity", "b")).alias("top"))
+    label = label.select(F.col("a").alias("node"), F.col("top.b").alias("label"))
+    placed = members.join(label, "node", "left").select(
+        "bucket", "band", "node", F.coalesce("label", "node").alias("label")
+    )
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    signatures = texts.select("node", "bands", "bits").dropDuplicates(["node"])
+    open_rows = written(placed.join(mixed.select("bucket"), "bucket").join(signatures, "node"), "open")
+    left, right = open_rows.alias("l"), open_rows.alias("r")
+    earlier = F.arrays_overlap(
+        F.slice("l.bands", F.lit(1), F.col("l.band")), F.slice("r.bands", F.lit(1), F.col("r.band"))
+    )
+    fresh = left.join(
+        right,
+        (F.col("l.bucket") == F.col("r.bucket"))
+        & (F.col("l.node") < F.col("r.node"))
+        & (F.col("l.label") != F.col("r.label"))
+        & (_agreeing(F.col("l.bits"), F.col("r.bits")) >= least_agreement(threshold))
+        & ~earlier,
+    ).select(F.col("l.node").alias("node"), F.col("r.node").alias("pivot"))
+    known = pairs.select("node", "pivot").union(pairs.select("pivot", "node"))
+    fresh = written(
+        fresh.join(known, ["node", "pivot"], "left_anti").withColumn("popularity", F.lit(0).cast("bigint")), "pairs"
+    )
+    links = written(links.union(_verify(fresh, texts.select("node", "text"), threshold)).select("a", "b"), "links")
+    roots = connected_components(links)
     degree = (
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
