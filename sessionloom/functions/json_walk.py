@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from sessionloom.functions.hashing import check_salt
 from sessionloom.functions.sensitive import (
+    FOLDED_LETTERS,
     HASHED_NAMES,
     PROHIBITED_CONTENT_WORDS,
     REDACTED_NAMES,
@@ -43,6 +44,7 @@ FIELDS_TYPE = T.ArrayType(
     .add("text", T.StringType())
 )
 
+_FOLD = str.maketrans(FOLDED_LETTERS)
 _SEPARATORS = str.maketrans("", "", "_- .")
 
 
@@ -55,9 +57,14 @@ def _child_path(path: str, key: str) -> str:
     return f"{path}.{key}" if path else key
 
 
+def fold_name(name: str) -> str:
+    """A field name in lower case, letter by letter, so that no letter becomes two."""
+    return name.translate(_FOLD).lower()
+
+
 def key_action(name: str) -> str:
     """What the privacy boundary does with a field of this name."""
-    plain = name.lower().translate(_SEPARATORS)
+    plain = fold_name(name).translate(_SEPARATORS)
     if plain in REDACTED_NAMES:
         return "redacted"
     if plain in HASHED_NAMES:
@@ -68,7 +75,7 @@ def key_action(name: str) -> str:
 
 
 def removal_reason(name: str) -> str:
-    content = any(word in name.lower() for word in PROHIBITED_CONTENT_WORDS)
+    content = any(word in fold_name(name) for word in PROHIBITED_CONTENT_WORDS)
     return "prohibited_content" if content else "sensitive_value"
 
 

@@ -76,10 +76,11 @@ ENTROPY_LIMIT = 4.3
 _ASCII_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
-# Lower case and separators in one cheap pass: ASCII letters and the two other characters whose
-# lower case is an ASCII letter.
-_UPPER = string.ascii_uppercase + "\u0130\u212a"
-_LOWER = string.ascii_lowercase + "ik"
+# Names are compared in lower case, letter by letter. Besides the ASCII letters two others have an
+# ASCII letter as lower case; both checks of names, here and in the walk, share this rule.
+FOLDED_LETTERS = {"\u0130": "i", "\u212a": "k"}
+_UPPER = string.ascii_uppercase + "".join(FOLDED_LETTERS)
+_LOWER = string.ascii_lowercase + "".join(FOLDED_LETTERS.values())
 
 
 def prohibited_document_name(name: Column) -> Column:

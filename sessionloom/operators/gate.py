@@ -24,9 +24,22 @@ ERROR_STATUS = {
 ACCEPTED_STATUS = 202
 
 
+# A media type with parameters: name=token or name="quoted text", white space is blank or tab.
+_TOKEN = r"[!#$%&'*+.^_`|~0-9A-Za-z-]+"
+_PARAMETER = rf'[ \t]*;[ \t]*({_TOKEN})=({_TOKEN}|"(?:[^"\\]|\\.)*")'
+_JSON_TYPE = rf"\A[ \t]*(?i:application/json)(?:{_PARAMETER})*[ \t]*(?:;[ \t]*)?\z"
+
+
 def _media_type_ok(content_type: Column) -> Column:
-    media_type = F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1))))
-    return F.coalesce(media_type == "application/json", F.lit(False))
+    """True for JSON with well-formed parameters; a name may repeat only with an equal value."""
+    names = F.transform(F.regexp_extract_all(content_type, F.lit(_PARAMETER), F.lit(1)), F.lower)
+    values = F.transform(
+        F.regexp_extract_all(content_type, F.lit(_PARAMETER), F.lit(2)),
+        lambda value: F.regexp_replace(F.regexp_replace(value, r'\A"|"\z', ""), r"\\(.)", "$1"),
+    )
+    settings = F.array_distinct(F.arrays_zip(names.alias("name"), values.alias("value")))
+    unique = F.size(settings) == F.size(F.array_distinct(names))
+    return F.coalesce(content_type.rlike(_JSON_TYPE) & unique, F.lit(False))
 
 
 def _resources(payload: Column, signal: Column) -> Column:
@@ -88,6 +101,13 @@ def gate_counters(gated: DataFrame) -> DataFrame:
 
 
 def latest_payload(gated: DataFrame) -> DataFrame:
-    """The newest payload that passed the gate, still unsanitised; at most one row."""
+    """The newest payload that passed the gate, still unsanitised; at most one row.
+
+    Every task reduces its rows to one candidate, so payloads are neither sorted nor shuffled. Of
+    equal times the greatest payload id counts; a payload without time is the oldest.
+    """
     passed = gated.filter(F.col("payload").isNotNull())
-    return passed.orderBy(F.desc("received_at"), F.desc("payload_id")).limit(1)
+    row = F.struct(*[F.col(name) for name in gated.columns])
+    order = F.struct("received_at", "payload_id")
+    newest = passed.agg(F.max_by(row, order).alias("newest"))
+    return newest.filter(F.col("newest").isNotNull()).select("newest.*")

@@ -44,6 +44,8 @@ _LOG_TREE = (
     "observedTimeUnixNano:variant,severityText:variant,timeUnixNano:variant>>>>>>, "
     "_mistyped string"
 )
+# Record bodies once more as the text they were received as, for the identity of a record.
+_BODY_TREE = "resourceLogs array<struct<scopeLogs:array<struct<logRecords:array<struct<body:string>>>>>>"
 
 
 def _string_ok(value: Column) -> Column:
@@ -55,11 +57,21 @@ def _every(items: Column, check) -> Column:
     return F.coalesce(F.forall(items, check), F.lit(True))
 
 
+def _finite(value: Column) -> Column:
+    """False for an attribute value that holds a number beyond the range of a double."""
+    number = F.coalesce(*[member(value, name) for name in SCALAR_VALUE_KEYS])
+    double = F.when(F.schema_of_variant(number) == "DOUBLE", number.try_cast("double"))
+    beyond = F.abs(double) == F.lit(float("inf"))
+    # Only values without a scalar are searched as text; there such a number shows by this name.
+    inside = number.isNull() & F.to_json(value).rlike('[:\\[]"-?Infinity"')
+    return ~F.coalesce(beyond | inside, F.lit(False))
+
+
 def _pairs_ok(pairs: Column) -> Column:
     return _every(
         pairs,
         lambda pair: _string_ok(pair["key"])
-        & (absent(pair["value"]) | as_object(pair["value"]).isNotNull()),
+        & (absent(pair["value"]) | (as_object(pair["value"]).isNotNull() & _finite(pair["value"]))),
     )
 
 
@@ -85,9 +97,9 @@ def _filled(items: Column) -> Column:
 
 
 def attribute_pairs(pairs: Column) -> Column:
-    """Attribute list as ``ARRAY<STRUCT<key STRING, value VARIANT>>`` in its own order."""
+    """Attribute list as ``ARRAY<STRUCT<key STRING, value VARIANT>>`` in its own order; NULL if missing."""
     return F.transform(
-        _filled(pairs),
+        pairs,
         lambda pair: F.struct(
             F.coalesce(string_or_null(pair["key"]), F.lit("")).alias("key"),
             F.when(~absent(pair["value"]), pair["value"]).alias("value"),
@@ -117,7 +129,7 @@ def attribute_map(pairs: Column) -> Column:
     return F.map_from_entries(F.concat(F.reverse(complex_pairs), scalar_pairs))
 
 
-def _record(record: Column) -> Column:
+def _record(record: Column, body_text: Column) -> Column:
     def text(name: str) -> Column:
         return F.coalesce(string_or_null(record[name]), F.lit(""))
 
@@ -127,14 +139,19 @@ def _record(record: Column) -> Column:
         text("observedTimeUnixNano").alias("observedTimeUnixNano"),
         text("severityText").alias("severityText"),
         text("timeUnixNano").alias("timeUnixNano"),
+        F.when(~absent(record["body"]), body_text).alias("body_text"),
     )
 
 
-def _resource(resource: Column) -> Column:
-    records = F.flatten(F.transform(_filled(resource["scopeLogs"]), lambda scope: _filled(scope["logRecords"])))
+def _records(resource: Column) -> Column:
+    return F.flatten(F.transform(_filled(resource["scopeLogs"]), lambda scope: _filled(scope["logRecords"])))
+
+
+def _resource(resource: Column, bodies: Column) -> Column:
     return F.struct(
-        attribute_map(attribute_pairs(resource["resource"]["attributes"])).alias("attributes"),
-        records.alias("records"),
+        attribute_map(_filled(attribute_pairs(resource["resource"]["attributes"]))).alias("attributes"),
+        _records(resource).alias("records"),
+        F.transform(_records(bodies), lambda record: record["body"]).alias("body_texts"),
     )
 
 
@@ -153,7 +170,11 @@ def decode_logs(payloads: DataFrame, services: Sequence[str] = LOG_SERVICES) ->
     is_log = (F.col("signal") == "logs") & F.col("payload").isNotNull()
     options = {"columnNameOfCorruptRecord": "_mistyped"}
     tree = evaluate_once(
-        payloads, {"_tree": F.from_json(F.when(is_log, F.col("body")), _LOG_TREE, options)}
+        payloads,
+        {
+            "_tree": F.from_json(F.when(is_log, F.col("body")), _LOG_TREE, options),
+            "_bodies": F.from_json(F.when(is_log, F.col("body")), _BODY_TREE),
+        },
     )
     mistyped = F.col("_tree._mistyped").isNotNull() | ~_every(F.col("_tree.resourceLogs"), _resource_ok)
 
@@ -164,16 +185,23 @@ def decode_logs(payloads: DataFrame, services: Sequence[str] = LOG_SERVICES) ->
     def with_resource(resource: Column) -> Column:
         return F.transform(
             resource["records"],
-            lambda record: F.struct(
-                resource["attributes"].alias("resource_attributes"), _record(record).alias("record")
+            lambda record, at: F.struct(
+                resource["attributes"].alias("resource_attributes"),
+                _record(record, F.get(resource["body_texts"], at)).alias("record"),
             ),
         )
 
-    resources = F.filter(F.transform(F.col("_tree.resourceLogs"), _resource), supported)
+    resources = F.filter(
+        F.transform(
+            F.col("_tree.resourceLogs"),
+            lambda resource, at: _resource(resource, F.get(F.col("_bodies.resourceLogs"), at)),
+        ),
+        supported,
+    )
     outcome = F.struct(
         mistyped.alias("failed"), F.flatten(F.transform(resources, with_resource)).alias("records")
     )
-    decoded = evaluate_once(tree, {"_outcome": F.when(is_log, outcome)}).drop("_tree")
+    decoded = evaluate_once(tree, {"_outcome": F.when(is_log, outcome)}).drop("_tree", "_bodies")
     verdict = (
         F.when(F.col("_outcome").isNull(), F.lit(None))
         .when(F.col("_outcome.failed"), "failed")
@@ -189,11 +217,21 @@ def decode_logs(payloads: DataFrame, services: Sequence[str] = LOG_SERVICES) ->
     )
 
 
+def _identity(record: Column) -> Column:
+    """What the fingerprint covers: the record without its body as JSON, then the body's kind and text."""
+    envelope = F.struct(
+        *[record[name].alias(name) for name in ("attributes", "observedTimeUnixNano", "severityText", "timeUnixNano")]
+    )
+    kind = F.when(is_string(record["body"]), "\ntext:").otherwise("\njson:")
+    return F.concat(F.to_json(envelope), F.coalesce(F.concat(kind, record["body_text"]), F.lit("")))
+
+
 def log_events(decoded: DataFrame, salt: bytes, keep: Sequence[str] = ("payload_id",)) -> DataFrame:
     """Canonical events of decoded payloads, unsanitised, with ``record_index``.
 
-    The identity of a record is a keyed fingerprint over its attributes, body, times and
-    severity, so identical records collapse to one event when they are stored.
+    The identity of a record is a keyed fingerprint over its attributes, times and severity and
+    the body's text as received, so identical records collapse to one event when they are stored.
+    A missing attribute list differs from an empty one, a string body from the same other text.
     """
     # explode_outer keeps the optimizer from evaluating the decoded column a second time in an
     # inferred "array is not empty" filter.
@@ -206,10 +244,8 @@ def log_events(decoded: DataFrame, salt: bytes, keep: Sequence[str] = ("payload_
         "record_index",
         F.col("entry.resource_attributes").alias("resource"),
         F.col("entry.record.severityText").alias("severity"),
-        attribute_map(F.col("entry.record.attributes")).alias("fields"),
-        F.concat(
-            F.lit(LOG_ID_PREFIX), fingerprint(F.to_json("entry.record"), salt)
-        ).alias("record_key"),
+        attribute_map(_filled(F.col("entry.record.attributes"))).alias("fields"),
+        F.concat(F.lit(LOG_ID_PREFIX), fingerprint(_identity(F.col("entry.record")), salt)).alias("record_key"),
     )
     unavailable = F.create_map(
         F.lit("unavailable_fields"),

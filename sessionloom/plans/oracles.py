@@ -166,8 +166,8 @@ _RECORD_TEXT = f"""CASE WHEN record_index = 0 THEN
   || '{{"key":"file.path","value":{{"stringValue":"/home/u' || user_id || '/main.py"}}}},'
   || '{{"key":"flags","value":{_FLAGS}}},{{"key":"flags","value":{{"kvlistValue":{{}}}}}},'
   || '{{"key":"retries","value":{{"doubleValue":1.5}}}},{{"key":"retries","value":{{"boolValue":false}}}},'
-  || '{{"key":"empty","value":{{}}}},{{"key":"conversation.id"}}],"body":{{"stringValue":"text of ' || event_id
-  || '"}},"observedTimeUnixNano":"","severityText":"INFO","timeUnixNano":"' || {_NANOS} || '"}}'
+  || '{{"key":"empty","value":{{}}}},{{"key":"conversation.id"}}],"observedTimeUnixNano":"","severityText":"INFO","timeUnixNano":"' || {_NANOS}
+  || '"}}' || chr(10) || 'json:{{"stringValue":"text of ' || event_id || '"}}'
 ELSE '{{"attributes":[],"observedTimeUnixNano":"' || {_NANOS} || '","severityText":"","timeUnixNano":""}}' END"""
 _RECORD_KEY = f"('codex-log:' || {_hmac(_RECORD_TEXT)})"
 
