@@ -54,7 +54,7 @@ STORED_FOLD = T.StructType(
 STORED_DELETION = T.StructType([T.StructField("session_id", T.StringType())])
 _COMMIT = (
     "kind string, buckets int, source string, source_batch bigint, "
-    "accepted_payloads bigint, rejected_payloads bigint"
+    "accepted_payloads bigint, rejected_payloads bigint, sources map<string,bigint>"
 )
 
 
@@ -84,7 +84,7 @@ class EventStore:
     # --- batches -----------------------------------------------------------------------
 
     def _commits(self) -> list:
-        """Commit rows in order; one small row per batch since the store began."""
+        """Commit rows in order; one small row for the base and for each batch after it."""
         commits = self.spark.read.schema(f"{_COMMIT}, batch bigint").parquet(f"{self.root}/commits")
         return commits.orderBy("batch").collect()
 
@@ -160,11 +160,31 @@ class EventStore:
     def counters(self) -> DataFrame:
         """Accepted and rejected payloads over all ingested batches."""
         rows = self._commits()
-        totals = tuple(
-            sum(row[name] or 0 for row in rows) for name in ("accepted_payloads", "rejected_payloads")
-        )
+        totals = tuple(self._totals(rows).values())
         return self.spark.createDataFrame([totals], "accepted_payloads bigint, rejected_payloads bigint")
 
+    @staticmethod
+    def _totals(commits: list) -> dict[str, int]:
+        """Counters over the base, which carries those of the batches folded into it, and later batches."""
+        base = max([row.batch for row in commits if row.kind == "base"], default=0)
+        names = ("accepted_payloads", "rejected_payloads")
+        return {name: sum(row[name] or 0 for row in commits if row.batch >= base) for name in names}
+
+    @staticmethod
+    def _sources(commits: list) -> dict[str, int]:
+        """The last committed batch number of every source."""
+        last: dict[str, int] = {}
+        for row in commits:
+            known = dict(row.sources or {})
+            if None not in (row.source, row.source_batch):
+                known[row.source] = row.source_batch
+            for source, number in known.items():
+                last[source] = max(number, last.get(source, number))
+        return last
+
+    def _empty(self, path: str) -> None:
+        self.spark.createDataFrame([], "session_id string").write.mode("overwrite").parquet(f"{self.root}/{path}")
+
     # --- writing -----------------------------------------------------------------------
 
     def append(
@@ -178,13 +198,12 @@ class EventStore:
         """Store the events whose ids are new and update the sessions they belong to.
 
         ``events`` are sanitised and carry ``provenance``; ``arrival`` names the columns that
-        order them, the first event per id winning. A batch of a source that is already
-        committed is skipped (the return value is then false), which makes stream retries safe.
+        order them, the first event per id winning. A source numbers its batches upwards; one
+        that is not above the last committed one is skipped (the return value is then false),
+        which makes stream retries safe.
         """
         commits = self._commits()
-        if source is not None and any(
-            row.source == source and row.source_batch == source_batch for row in commits
-        ):
+        if None not in (source, source_batch) and source_batch <= self._sources(commits).get(source, source_batch - 1):
             return False
         batch = commits[-1].batch + 1
         # The batch is used twice below. A written copy cuts its lineage, so neither use runs
@@ -198,6 +217,7 @@ class EventStore:
         )
         totals = counters.get if counters is not None else {}
         self._commit(batch, kind="events", source=source, source_batch=source_batch, **totals)
+        self._empty("staging")
         return True
 
     def _new_only(self, staged: DataFrame, commits: list) -> DataFrame:
@@ -250,7 +270,11 @@ class EventStore:
         return found
 
     def compact(self) -> None:
-        """Fold all batches into one base without deleted rows, then empty the old folders.
+        """Fold all batches into one base without deleted rows, then empty everything older.
+
+        The base takes over the counters and the last batch number of every source, so one commit
+        remains. If a run dies on the way, its leftovers are still listed and the next compaction
+        empties them.
 
         The base's folds are range-sorted by start time, and with nothing left to merge, time
         filters and page cursors on :meth:`sessions` are pushed down to the scan.
@@ -258,13 +282,17 @@ class EventStore:
         commits = self._commits()
         batch = commits[-1].batch + 1
         self._write_events(self._events(commits).drop("batch", "session_bucket"), batch)
-        folds = fold_events(self._batch_events(batch)).orderBy("first.occurred_at", "session_id")
+        # Deletion removes whole sessions, so merging the surviving folds is enough.
+        folds = self._folds(commits).orderBy("first.occurred_at", "session_id")
         folds.write.mode("overwrite").parquet(f"{self.root}/folds/batch={batch}")
-        self._commit(batch, kind="base")
-        for name, kinds in (("events", ("base", "events")), ("folds", ("base", "events")), ("deleted", ("delete",))):
-            for old in self._visible(commits, *kinds):
-                path = f"{self.root}/{name}/batch={old}"
-                self.spark.createDataFrame([], "session_id string").write.mode("overwrite").parquet(path)
+        self._commit(
+            batch, kind="base", buckets=self.buckets, sources=self._sources(commits), **self._totals(commits)
+        )
+        self._empty("staging")
+        for old in commits:
+            for name in {"created": (), "delete": ("deleted",)}.get(old.kind, ("events", "folds")):
+                self._empty(f"{name}/batch={old.batch}")
+            self._empty(f"commits/batch={old.batch}")
 
 
 def delete_cascade(deleted: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:

@@ -88,6 +88,32 @@ def test_delete_then_compact_removes_the_bytes(spark, store):
     assert by(store.sessions(), "session_id") == expected(spark, [ROWS[0], ROWS[2]])
 
 
+def stored_bytes(spark, store):
+    """Every row of every file below the store's root, as text."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(store.root)
+    return " ".join(str(row) for row in rows.collect())
+
+
+def test_no_file_keeps_deleted_events(spark, store, monkeypatch):
+    store.append(safe(spark, ROWS), ARRIVAL, "stream", 4)
+    assert "a1" in stored_bytes(spark, store)
+    store.delete_sessions(spark.createDataFrame([("a",)], "session_id string"))
+
+    def lost(*args, **values):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(EventStore, "_empty", lost)
+        with pytest.raises(RuntimeError):
+            store.compact()
+    store.compact()
+    assert "a1" not in stored_bytes(spark, store) and "b1" in stored_bytes(spark, store)
+    assert len(store._commits()) == 1
+    # A retried stream batch is still known after its commit was folded into the base.
+    assert not store.append(safe(spark, ROWS), ARRIVAL, "stream", 4)
+    assert store.append(safe(spark, ROWS[:1]), ARRIVAL, "stream", 5)
+
+
 def test_session_lookup_reads_one_bucket(spark, store):
     store.append(safe(spark, ROWS), ARRIVAL)
     plan = store.session_events("a")._jdf.queryExecution().executedPlan().toString()
