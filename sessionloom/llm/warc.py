@@ -25,6 +25,8 @@ from sessionloom.session import work_dir
 
 CHUNK_BYTES = 1 << 20
 REVISIT_BYTES = 100
+# Revisits (about 40 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 # Every record starts with this line; it also separates records when an archive is read.
 VERSION = "WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -64,9 +66,11 @@ def with_roles(payloads: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
     """Add ``role`` (response or revisit), ``refers_no`` and ``refers_to`` by equal payloads.
 
     Of equal payloads of at least ``revisit_bytes`` bytes the one with the smallest page id is the
-    response, null ids last, then the first written. Only digests that occur twice are joined.
+    response, null ids last, then the first written. Only the keys of copied payloads are joined by
+    digest; the payloads themselves meet the list of revisits, which is broadcast if it is short.
     """
-    large = payloads.where(F.col("payload_bytes") >= revisit_bytes)
+    keys = payloads.select("record_no", "page_id", "payload_bytes", "payload_digest")
+    large = keys.where(F.col("payload_bytes") >= revisit_bytes)
     first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "record_no")).alias("first")
     copied = (
         large.groupBy("payload_digest")
@@ -74,9 +78,14 @@ def with_roles(payloads: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
         .where("rows > 1")
         .select("payload_digest", F.col("first.page_id").alias("first_page"), F.col("first.record_no").alias("first_no"))
     )
-    again = F.col("first_no").isNotNull() & (F.col("first_no") != F.col("record_no"))
-    again = again & (F.col("payload_bytes") >= revisit_bytes)
-    return payloads.join(copied, "payload_digest", "left").select(
+    revisits = written(
+        large.join(copied, "payload_digest").where("first_no != record_no").select("record_no", "first_no", "first_page"),
+        "revisits",
+    )
+    if revisits.count() <= BROADCAST_ROWS:
+        revisits = F.broadcast(revisits)
+    again = F.col("first_no").isNotNull()
+    return payloads.join(revisits, "record_no", "left").select(
         *payloads.columns,
         F.when(again, "revisit").otherwise("response").alias("role"),
         F.when(again, F.col("first_no")).alias("refers_no"),
