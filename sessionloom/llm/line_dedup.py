@@ -66,21 +66,21 @@ def _prefix_length(size: Column) -> Column:
 
 
 def _line_rows(source: DataFrame, ranks: Column) -> DataFrame:
-    """Rows (id, node, line, h1, h2, size, bitmap, prefix) for lines with words, h1 and h2 of the set."""
+    """Rows (id, node, line, h1, h2, size, bits0, bits1, prefix) for lines with words, h1 and h2 of the set."""
     lines = source.select("id", "node", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     split = evaluate_once(lines, {"line_words": words(F.col("body"))}).where(F.size("line_words") > 0)
     tokens = evaluate_once(
         split.select("id", "node", "line", "line_words"), {"tokens": token_ids(F.col("line_words"), ranks)}
     )
-    # Each word flips one bit, so two bitmaps differ in at most as many bits as the sets in words.
-    bitmap = F.aggregate(
+    # Each word flips one bit of 128, so two bitmaps differ in at most as many bits as the sets in words.
+    one = lambda token: F.call_function("shiftleft", F.lit(1).cast("bigint"), token.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda number: F.aggregate(
         "tokens",
         F.lit(0).cast("bigint"),
-        lambda bits, token: bits.bitwiseXOR(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), token.bitwiseAND(F.lit(63)).cast("int"))
-        ),
+        lambda bits, token: F.when(token.bitwiseAND(F.lit(64)) == number, bits.bitwiseXOR(one(token))).otherwise(bits),
     )
     size = F.size("tokens")
+    joined = size >= LEAST_SIZE
     return tokens.select(
         "id",
         "node",
@@ -88,28 +88,34 @@ def _line_rows(source: DataFrame, ranks: Column) -> DataFrame:
         F.xxhash64("tokens").alias("h1"),
         F.xxhash64(F.lit(PERCENT), "tokens").alias("h2"),
         size.alias("size"),
-        F.when(size >= LEAST_SIZE, bitmap).otherwise(0).alias("bitmap"),
-        F.when(size >= LEAST_SIZE, F.slice("tokens", F.lit(1), _prefix_length(size))).alias("prefix"),
+        F.when(joined, half(0)).otherwise(0).alias("bits0"),
+        F.when(joined, half(64)).otherwise(0).alias("bits1"),
+        F.when(joined, F.slice("tokens", F.lit(1), _prefix_length(size))).alias("prefix"),
     )
 
 
 def _candidate_pairs(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of set hashes that prefix, length, positional and bitmap filters admit."""
     entries = sets.where("prefix is not null").select(
-        "h1", "size", "bitmap", F.posexplode("prefix").alias("pos", "token")
+        "h1", "size", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token")
     )
+    # Size and place in one number keep the shuffled rows small.
+    entries = entries.select("token", "h1", "bits0", "bits1", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR(F.col("pos")).alias("at"))
     left, right = entries.alias("l"), entries.alias("r")
-    small, large = F.least("l.size", "r.size"), F.greatest("l.size", "r.size")
-    need = _needed_overlap(F.col("l.size"), F.col("r.size"))
-    rest = F.least(F.col("l.size") - F.col("l.pos"), F.col("r.size") - F.col("r.pos"))
-    apart = F.bit_count(F.col("l.bitmap").bitwiseXOR(F.col("r.bitmap")))
+    sizes = [F.shiftright(f"{side}.at", 32) for side in "lr"]
+    rests = [size - F.col(f"{side}.at").bitwiseAND(F.lit(0xFFFFFFFF)) for side, size in zip("lr", sizes)]
+    small, large = F.least(*sizes), F.greatest(*sizes)
+    need, rest = _needed_overlap(*sizes), F.least(*rests)
+    apart = sum(
+        (F.bit_count(F.col(f"l.{bits}").bitwiseXOR(F.col(f"r.{bits}"))) for bits in ("bits0", "bits1")), F.lit(0)
+    )
     met = left.join(
         right,
         (F.col("l.token") == F.col("r.token"))
         & (F.col("l.h1") < F.col("r.h1"))
         & (small * 100 >= large * PERCENT)
         & (rest >= need)
-        & (apart <= F.col("l.size") + F.col("r.size") - need * 2),
+        & (apart <= sizes[0] + sizes[1] - need * 2),
     )
     return met.select(F.col("l.h1").alias("a"), F.col("r.h1").alias("b")).distinct()
 
@@ -127,7 +133,8 @@ def similar_lines(source: DataFrame) -> tuple[DataFrame, DataFrame]:
         lines.groupBy("h1", "h2").agg(
             F.min(place).alias("place"),
             F.first("size").alias("size"),
-            F.first("bitmap").alias("bitmap"),
+            F.first("bits0").alias("bits0"),
+            F.first("bits1").alias("bits1"),
             F.first("prefix").alias("prefix"),
         ),
         "sets",

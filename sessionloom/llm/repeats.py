@@ -36,7 +36,7 @@ ANCHOR = 100
 # Distinct segments of one anchor that one task indexes; larger groups are divided.
 GROUP_SEGMENTS = 2_000
 INDEX_BYTES = 2 << 20
-SCAN_BYTES = 8 << 20
+SCAN_BYTES = 1 << 20
 # Neighbouring windows per piece when a large group is divided, then divided again.
 DIVISIONS = (16, 1)
 PLACE_BITS = 24

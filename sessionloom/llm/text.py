@@ -18,7 +18,7 @@ SHINGLE_WORDS = 5
 NEAR = 0.8
 
 # Bytes of text that one vectorised step handles at a time; a longer text is a step of its own.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 
 def words(text: Column) -> Column:
