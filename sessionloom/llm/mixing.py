@@ -240,8 +240,11 @@ def mix_documents(
     piece = F.when(room >= F.col("n_words"), F.col("piece")).otherwise(
         F.array_join(F.slice(F.regexp_extract_all("piece", F.lit(SPACED_WORD), F.lit(0)), 1, shown.cast("int")), "")
     )
+    # Slots outnumber the source rows they are made from, which the planner cannot know: it must
+    # not take them for a small side.
+    slots = _slots(sources, block_words, shard_slots).hint("merge")
     mixed = (
-        blocks.join(_slots(sources, block_words, shard_slots), ["rank", "block"])
+        blocks.join(slots, ["rank", "block"])
         .where(room > 0)
         .select("row", "id", "rank", "start", "shard", "slot", "pass", "first_word", shown.alias("n_words"), piece.alias("piece"))
     )
