@@ -20,6 +20,7 @@ from sessionloom.functions.variants import (
     string_or_null,
 )
 from sessionloom.schemas import SUPPORTED_TOOL
+from sessionloom.session import require_settings
 
 # Required metadata in the order in which a missing one is reported.
 REQUIRED_METADATA = [
@@ -99,6 +100,7 @@ def audit_documents(documents: DataFrame) -> DataFrame:
 
     Only documents whose metadata is in order are walked.
     """
+    require_settings(documents.sparkSession)
     parsed = evaluate_once(documents, {"document": single_json(F.col("body"))})
     broken_json = as_object(F.col("document")).isNull() & ~F.is_variant_null("document")
     metadata = F.when(

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.variants import as_array, as_object, bind, is_string, member, string_or_null
+from sessionloom.functions.evaluate import evaluate_once
+from sessionloom.functions.variants import as_array, as_object, is_string, member, string_or_null
 from sessionloom.schemas import (
     POLICY_OUTCOMES,
     PRIVACY_LEVELS,
@@ -69,28 +70,11 @@ def one_of(*allowed: str):
     return rule
 
 
-def closed_object(members: dict):
+class ClosedObject:
     """An object with exactly the named members, each under its own rule."""
 
-    def rule(value: Column, path: str) -> list[Column]:
-        prefix = f"{path}." if path else ""
-        found = [_code(as_object(value).isNotNull(), f"type:{path or '$'}")]
-        for name, inner in members.items():
-            held = member(value, name)
-            found.append(F.when(as_object(value).isNotNull() & held.isNull(), f"missing:{prefix}{name}"))
-            found += [F.when(held.isNotNull(), code) for code in inner(held, f"{prefix}{name}")]
-        return found
-
-    rule.members = members
-    return rule
-
-
-def _unknown_members(value: Column, members: dict, path: str) -> Column:
-    unknown = F.filter(F.map_keys(as_object(value)), lambda key: ~key.isin(list(members)))
-    prefix = f"unknown:{path}." if path else "unknown:"
-    return F.coalesce(
-        F.transform(unknown, lambda key: F.concat(F.lit(prefix), key)), F.array().cast("array<string>")
-    )
+    def __init__(self, members: dict) -> None:
+        self.members = members
 
 
 def _evidence(value: Column, path: str) -> list[Column]:
@@ -106,7 +90,7 @@ def _evidence(value: Column, path: str) -> list[Column]:
     return [_code(F.forall(as_array(value), item_ok), f"items:{path}")]
 
 
-EVENT_CONTRACT = closed_object(
+EVENT_CONTRACT = ClosedObject(
     {
         "schema_version": one_of(SCHEMA_VERSION),
         "event_id": text,
@@ -127,7 +111,7 @@ EVENT_CONTRACT = closed_object(
         "provider_extensions": an_object,
     }
 )
-SESSION_CONTRACT = closed_object(
+SESSION_CONTRACT = ClosedObject(
     {
         "schema_version": one_of(SCHEMA_VERSION),
         "session_id": text,
@@ -140,7 +124,7 @@ SESSION_CONTRACT = closed_object(
         "provider_extensions": an_object,
     }
 )
-POLICY_CONTRACT = closed_object(
+POLICY_CONTRACT = ClosedObject(
     {
         "schema_version": one_of(SCHEMA_VERSION),
         "policy_id": text,
@@ -149,11 +133,11 @@ POLICY_CONTRACT = closed_object(
         "evidence": _evidence,
     }
 )
-SETTINGS_CONTRACT = closed_object(
+SETTINGS_CONTRACT = ClosedObject(
     {
         "schema_version": one_of(SCHEMA_VERSION),
         "mode": one_of("local-only"),
-        "collection": closed_object(
+        "collection": ClosedObject(
             {
                 "level": one_of("aggregate", "operational"),
                 "prompts": false,
@@ -165,8 +149,8 @@ SETTINGS_CONTRACT = closed_object(
                 "model_usage": a_boolean,
             }
         ),
-        "storage": closed_object({"destination": one_of("local"), "retention_days": whole_number_from(1)}),
-        "sharing": closed_object(
+        "storage": ClosedObject({"destination": one_of("local"), "retention_days": whole_number_from(1)}),
+        "sharing": ClosedObject(
             {
                 "diagnostics": false,
                 "anonymous_analytics": false,
@@ -177,23 +161,63 @@ SETTINGS_CONTRACT = closed_object(
 )
 
 
-def _closures(value: Column, contract, path: str = "") -> list[Column]:
-    """Arrays of unknown-member codes for a closed object and the closed objects inside it."""
-    found = [_unknown_members(value, contract.members, path)]
+def _path(parent: str, name: str) -> str:
+    return f"{parent}.{name}" if parent else name
+
+
+def _member(held: Column, name: str) -> Column:
+    return F.try_element_at(held, F.lit(name))
+
+
+def _with_objects(documents: DataFrame, contract: ClosedObject, document: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Compute the member map of every closed object once per row, level by level, as columns."""
+    frame = evaluate_once(documents, {"_object": as_object(F.col(document))})
+    objects, level = {"": F.col("_object")}, [("", contract)]
+    while level := [
+        (_path(path, name), inner, _member(objects[path], name))
+        for path, outer in level
+        for name, inner in outer.members.items()
+        if isinstance(inner, ClosedObject)
+    ]:
+        names = {f"_object_{len(objects) + at}": as_object(value) for at, (_, _, value) in enumerate(level)}
+        frame = evaluate_once(frame, names)
+        objects |= {path: F.col(name) for (path, _, _), name in zip(level, names)}
+        level = [(path, inner) for path, inner, _ in level]
+    return frame, objects
+
+
+def _codes(contract: ClosedObject, objects: dict[str, Column], path: str = "") -> list[Column]:
+    """Columns that hold a violation code or NULL, for an object and the closed objects inside it."""
+    held, found = objects[path], []
     for name, inner in contract.members.items():
-        if hasattr(inner, "members"):
-            found += _closures(member(value, name), inner, f"{path}.{name}" if path else name)
+        here, value = _path(path, name), _member(held, name)
+        found.append(F.when(held.isNotNull() & value.isNull(), f"missing:{here}"))
+        if isinstance(inner, ClosedObject):
+            found.append(F.when(value.isNotNull(), _code(objects[here].isNotNull(), f"type:{here}")))
+            found += _codes(inner, objects, here)
+        else:
+            found += [F.when(value.isNotNull(), code) for code in inner(value, here)]
     return found
 
 
-def contract_violations(documents: DataFrame, contract, document: str = "document") -> DataFrame:
-    """Add ``violations``, the sorted codes of every broken rule (empty when conforming)."""
+def _unknown_members(contract: ClosedObject, objects: dict[str, Column], path: str = "") -> list[Column]:
+    """Arrays of unknown-member codes, one for each closed object."""
+    unknown = F.filter(F.map_keys(objects[path]), lambda key: ~key.isin(list(contract.members)))
+    codes = F.transform(unknown, lambda key: F.concat(F.lit(f"unknown:{_path(path, '')}"), key))
+    found = [F.coalesce(codes, F.array().cast("array<string>"))]
+    for name, inner in contract.members.items():
+        if isinstance(inner, ClosedObject):
+            found += _unknown_members(inner, objects, _path(path, name))
+    return found
 
-    def judge(value: Column) -> Column:
-        broken = F.array_compact(F.array(*contract(value, "")))
-        return F.array_sort(F.concat(broken, *_closures(value, contract)))
 
-    return documents.withColumn("violations", bind(F.col(document), judge))
+def contract_violations(documents: DataFrame, contract: ClosedObject, document: str = "document") -> DataFrame:
+    """Add ``violations``, the sorted codes of every broken rule (empty when conforming)."""
+    frame, objects = _with_objects(documents, contract, document)
+    whole = _code(objects[""].isNotNull(), "type:$")
+    broken = F.array_compact(F.array(whole, *_codes(contract, objects)))
+    violations = F.array_sort(F.concat(broken, *_unknown_members(contract, objects)))
+    return frame.select(*documents.columns, violations.alias("violations"))
 
 
 SETTINGS_TYPE = (

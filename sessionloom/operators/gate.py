@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.evaluate import evaluate_once
 from sessionloom.functions.variants import as_array, as_object, single_json
 from sessionloom.schemas import MAX_PAYLOAD_BYTES, SIGNAL_FIELDS
+from sessionloom.session import require_settings
 
 # Error codes and the HTTP status that belongs to each.
 ERROR_STATUS = {
@@ -57,6 +58,7 @@ def gate_payloads(payloads: DataFrame) -> DataFrame:
     Needs the columns ``signal``, ``content_type`` and ``body``; other columns pass through.
     ``payload`` is NULL for rejected rows.
     """
+    require_settings(payloads.sparkSession)
     fits = _media_type_ok(F.col("content_type")) & (F.octet_length("body") <= MAX_PAYLOAD_BYTES)
     parsed = evaluate_once(payloads, {"_parsed": F.when(fits, single_json(F.col("body")))})
     value = F.col("_parsed")

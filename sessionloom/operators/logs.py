@@ -33,6 +33,7 @@ from sessionloom.schemas import (
     SUPPORTED_TOOL,
     UNAVAILABLE,
 )
+from sessionloom.session import require_settings
 
 
 # What the adapter reads of a log payload. Members that must be strings, and attribute values,
@@ -167,6 +168,7 @@ def decode_logs(payloads: DataFrame, services: Sequence[str] = LOG_SERVICES) ->
     service) or ``failed`` (a field has the wrong type anywhere in the payload); it is NULL
     for payloads that are not accepted log payloads.
     """
+    require_settings(payloads.sparkSession)
     is_log = (F.col("signal") == "logs") & F.col("payload").isNotNull()
     options = {"columnNameOfCorruptRecord": "_mistyped"}
     tree = evaluate_once(

@@ -15,13 +15,21 @@ DEFAULT_LIMIT = 50
 MAXIMUM_LIMIT = 100
 
 
+def _zoned(name: str, at: datetime | None) -> None:
+    if at is not None and at.tzinfo is None:
+        raise ValueError(f"{name} must have a time zone")
+
+
 @dataclass(frozen=True)
 class Cursor:
-    """Last session of a page; the next page starts below it."""
+    """Last session of a page; the next page starts below it. Its time has a zone."""
 
     started_at: datetime
     session_id: str
 
+    def __post_init__(self) -> None:
+        _zoned("started_at", self.started_at)
+
 
 @dataclass(frozen=True)
 class SessionFilter:
@@ -41,6 +49,8 @@ class SessionFilter:
     def __post_init__(self) -> None:
         if not 1 <= self.limit <= MAXIMUM_LIMIT:
             raise ValueError(f"limit must be an integer from 1 to {MAXIMUM_LIMIT}")
+        _zoned("started_after", self.started_after)
+        _zoned("started_before", self.started_before)
         both = self.started_after is not None and self.started_before is not None
         if both and not self.started_after < self.started_before:
             raise ValueError("started_after must be before started_before")

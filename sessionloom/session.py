@@ -29,6 +29,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Settings that decide results: without them a repeated key or name would fail a payload.
+DECISIVE_SETTINGS = ("spark.sql.variant.allowDuplicateKeys", "spark.sql.mapKeyDedupPolicy")
+
+
+def require_settings(spark: SparkSession) -> None:
+    """Raise unless the session has the settings on which verdicts depend; see :func:`configure`."""
+    wrong = [name for name in DECISIVE_SETTINGS if spark.conf.get(name, None) != RUNTIME_SETTINGS[name]]
+    if wrong:
+        raise ValueError(f"call sessionloom.session.configure first; not set: {', '.join(wrong)}")
+
+
 def build_session(app_name: str = "sessionloom", master: str | None = None, **settings: str) -> SparkSession:
     """Create (or reuse) a session; ``settings`` are extra Spark configuration entries."""
     builder = SparkSession.builder.appName(app_name)

@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as driver  # noqa: E402
+from sessionloom.plans import oracles, registry  # noqa: E402
 
 TABLES = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="test tables are not mounted")
@@ -29,10 +30,12 @@ def rows(columns, data):
 
 
 def test_every_query_has_a_counterpart():
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert registry.queries().keys() == oracles.oracle_sql().keys()
+    assert registry.queries().keys() <= driver.queries().keys()
+    assert driver.oracle_sql().keys() <= driver.queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_sql(spark, connection, name):
     frame = driver.queries()[name](spark, str(TABLES))
     result = connection.execute(driver.oracle_sql()[name])
