@@ -1,6 +1,7 @@
+import pytest
 from helpers import by, payloads
 
-from sessionloom.operators.gate import gate_counters, gate_payloads
+from sessionloom.operators.gate import gate_counters, gate_payloads, latest_payload
 from sessionloom.schemas import MAX_PAYLOAD_BYTES
 
 TRACES = '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"a","spanId":"b","name":"synthetic"}]}]}]}'
@@ -32,6 +33,32 @@ def test_documented_cases_and_counters(spark):
     assert gate_counters(gated).first().asDict() == {"accepted_payloads": 2, "rejected_payloads": 4}
 
 
+def test_media_type_parameters(spark):
+    good = ["application/json; charset=utf-8", "\tapplication/JSON ;a=b; A=b", 'application/json;q="x\\"; y"', "application/json;"]
+    bad = ["application/json; charset", "application/json; a=b; a=c", "application/json x", "text/json", ""]
+    rows = [(kind, "traces", kind, TRACES) for kind in good + bad]
+    codes = by(gate_payloads(payloads(spark, rows)), "payload_id", "error_code")
+    assert [codes[kind] for kind in good] == [None] * len(good)
+    assert [codes[kind] for kind in bad] == ["unsupported_media_type"] * len(bad)
+
+
+def test_unset_session_is_refused(spark):
+    rows = payloads(spark, [("a", "traces", TRACES)])
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    try:
+        with pytest.raises(ValueError, match="allowDuplicateKeys"):
+            gate_payloads(rows)
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def test_latest_payload_is_not_sorted(spark):
+    gated = gate_payloads(payloads(spark, [("a", "traces", TRACES), ("b", "traces", TRACES)]))
+    latest = latest_payload(gated)
+    assert "rangepartitioning" not in latest._jdf.queryExecution().executedPlan().toString()
+    assert [row.payload_id for row in latest.select("payload_id").collect()] == ["b"]
+
+
 def test_strict_json_and_shape(spark):
     exact = LOGS + " " * (MAX_PAYLOAD_BYTES - len(LOGS))
     cases = {

@@ -40,6 +40,38 @@ def test_identity_covers_body_and_times(spark):
     assert other != ids[0]
 
 
+def test_different_records_have_different_ids(spark):
+    def one(record):
+        return json.dumps({"resourceLogs": [{"resource": LOG_SERVICE, "scopeLogs": [{"logRecords": [record]}]}]})
+
+    records = [
+        {"body": {"a": 1, "b": 2}},
+        {"body": {"b": 2, "a": 1}},
+        {"attributes": []},
+        {},
+        {"body": '{"a": 1}'},
+        {"body": {"a": 1}},
+        {"body": None},
+    ]
+    bodies = {str(at): one(record) for at, record in enumerate(records)}
+    events = by(log_events(classified(spark, bodies), SALT), "payload_id", "event_id")
+    assert len(set(events.values())) == 6 and events["3"] == events["6"]
+
+
+def test_numbers_beyond_a_double_fail(spark):
+    def with_value(text):
+        return log_payload({"attributes": [pair("n", doubleValue=0)]}).replace('"doubleValue": 0', text)
+
+    cases = {
+        "scalar": (with_value('"doubleValue": 1e400'), "failed"),
+        "inside": (with_value('"arrayValue": {"values": [{"doubleValue": -1e999}]}'), "failed"),
+        "largest": (with_value('"doubleValue": 1.7e308'), "normalised"),
+        "text": (with_value('"stringValue": "Infinity"'), "normalised"),
+    }
+    verdicts = by(classified(spark, {name: body for name, (body, _) in cases.items()}), "payload_id", "log_verdict")
+    assert verdicts == {name: verdict for name, (_, verdict) in cases.items()}
+
+
 def test_verdicts_and_type_mismatches(spark):
     service = LOG_SERVICE
 

@@ -23,6 +23,13 @@ def hashed(text, salt=SALT):
     return "hmac-sha256:" + hmac.new(salt, text.encode(), hashlib.sha256).hexdigest()
 
 
+def test_names_fold_letter_by_letter(spark):
+    assert key_action("user.EMA\u0130L") == "removed" and key_action("api_\u212aEY") == "removed"
+    assert key_action("F\u0130LE_PATH") == "hashed" and key_action("COMMAND-L\u0130NE") == "removed"
+    value, _ = safe(spark, {"key": "user.EMA\u0130L", "value": {"stringValue": "canary@x"}, "f\u0130le_path": "canary"})
+    assert "canary" not in json.dumps(value)
+
+
 def test_documented_object(spark):
     value, provenance = safe(
         spark,

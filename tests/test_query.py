@@ -20,6 +20,13 @@ def tables(spark):
     return rebuild_sessions(stored), stored
 
 
+def test_times_need_a_zone():
+    naive = utc("2026-01-02T09:00:00").replace(tzinfo=None)
+    for wrong in (lambda: Cursor(naive, "a"), lambda: SessionFilter(started_after=naive)):
+        with pytest.raises(ValueError, match="time zone"):
+            wrong()
+
+
 def names(frame):
     return [row.session_id for row in frame.collect()]
 
