@@ -166,10 +166,10 @@ def mix_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """The documents with their place in the packed sources, and the mix.
 
-    First frame: one row per input row: ``row`` (all columns), ``id``, ``rank``, ``start`` (first
+    First frame: one row per input row: ``row`` (all columns but the text), ``id``, ``rank``, ``start`` (first
     word in the source's packing; with rank it identifies a row that has words), ``size`` (words),
     ``source_size``, ``target``. Second frame, one row per piece of a document in a slot: ``row``
-    (the columns, text not cut), ``id``, ``rank``, ``start``, ``shard``, ``slot``, ``pass``,
+    (as above), ``id``, ``rank``, ``start``, ``shard``, ``slot``, ``pass``,
     ``first_word`` and ``n_words`` in the document, and ``piece``, the text of these words with its
     white space.
 
@@ -200,7 +200,7 @@ def mix_documents(
         .select("rank", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("part_start"))
     )
     rows = frame.select(
-        F.struct(*[f"`{name}`" for name in frame.columns]).alias("row"),
+        F.struct(*[f"`{name}`" for name in frame.columns if name != text]).alias("row"),
         F.col(f"`{doc_id}`").alias("id"),
         F.col(f"`{source}`").alias("source"),
         F.xxhash64(F.col(f"`{doc_id}`"), body).alias("order"),

@@ -59,9 +59,9 @@ def test_mix(spark):
     documents = placed.collect()
     assert len(documents) == len(rows())
     pieces = mixed.collect()
-    taken = {}
+    taken, texts = {}, {row[0]: row[1] for row in rows()}
     for piece in pieces:
-        text = piece.row.text
+        text = texts[piece.id]
         assert piece.piece.split() == text.split()[piece.first_word : piece.first_word + piece.n_words]
         assert piece.piece in text
         key = (piece.rank, piece.start)
