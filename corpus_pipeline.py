@@ -37,7 +37,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents in the slots of the mix; ``n_chars`` is that of the piece."""
     _, mixed = mix_documents(docs)
     changed = {"text": F.col("piece"), "n_chars": F.length("piece").cast("bigint")}
-    return mixed.select(*[changed.get(name, F.col(f"row.`{name}`")).alias(name) for name in docs.columns])
+    return mixed.select(*[(changed.get(name) if name in changed else F.col(f"row.`{name}`")).alias(name) for name in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
