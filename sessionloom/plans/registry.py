@@ -31,8 +31,9 @@ from sessionloom.plans.pipelines import (
 )
 from sessionloom.session import configure, work_dir
 from sessionloom.sources import store as stores
+from sessionloom.sources.payloads import read_document_lines, read_payload_lines, stream_payload_lines
 from sessionloom.sources.store import EventStore
-from sessionloom.streaming.ingest import stream_events
+from sessionloom.streaming.ingest import stream_events, stream_payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -261,6 +262,46 @@ def _with_provenance(events: DataFrame) -> DataFrame:
     return sanitise_events(derived.spread(events), QUERY_SALT)
 
 
+# --- sources -------------------------------------------------------------------------------
+
+
+def _landed(bodies: DataFrame, purpose: str) -> str:
+    """Folder with a written line-delimited copy of the bodies."""
+    path = f"{work_dir(bodies.sparkSession, purpose)}/lines"
+    bodies.select("body").write.option("lineSep", "\n").text(path)
+    return path
+
+
+@registered
+def payload_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the gate over log payloads read from line-delimited files."""
+    bodies = derived.raw_payloads(spark, sf_dir).filter(F.col("signal") == "logs")
+    gated = gate.gate_payloads(read_payload_lines(spark, _landed(bodies, "payloads"), "logs"))
+    verdict = F.coalesce("error_code", "status")
+    return gated.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("payloads"))
+
+
+@registered
+def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit violations of wrapped documents read from line-delimited files."""
+    path = _landed(derived.wrapped_documents(spark, sf_dir), "documents")
+    report = audit.audit_report(audit.audit_documents(read_document_lines(spark, path)))
+    return report.groupBy("path", "code").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@registered
+def stream_payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and sessions of a store fed by a stream of line-delimited log payloads."""
+    bodies = derived.raw_payloads(spark, sf_dir).filter(F.col("signal") == "logs")
+    root = work_dir(spark, "stream-payloads")
+    stream = stream_payload_lines(spark, _landed(bodies, "payloads"), "logs")
+    store = EventStore.create(spark, f"{root}/store")
+    stream_payloads(stream, store, QUERY_SALT, "landing", f"{root}/checkpoint").awaitTermination()
+    return store.events().agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("session_id").alias("sessions")
+    )
+
+
 # --- payload gate and logs -----------------------------------------------------------------
 
 
