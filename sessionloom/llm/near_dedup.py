@@ -253,9 +253,9 @@ def near_duplicate_classes(
     a class of null ids only has a null class id, and repeated rows count as copies. Other columns
     are ignored.
 
-    Which pairs are verified: first every text with the most popular text of each of its band
-    buckets, the one that shares most buckets with others and so is in the middle of its group; this
-    connects a group of near copies with a few comparisons per text. Then all other pairs that
+    Which pairs are verified: first every text with the most popular other text of its band buckets,
+    the one that shares most buckets with others and so is in the middle of its group; this connects
+    a group of near copies with one comparison per text. Then all other pairs that
     share a bucket and are not linked to the same such text, each in the first bucket they share,
     unless fewer of 512 registers agree than 4.5 standard errors below the threshold allow. Two texts of
     similarity 0.8 share no bucket with probability 0.00005, and are under the estimate with
@@ -293,7 +293,12 @@ def near_duplicate_classes(
         .select("bucket", F.col("top.node").alias("pivot"), F.col("top.popularity").alias("popularity"))
     )
     pairs = written(
-        members.join(pivots, "bucket").where("node != pivot").select("node", "pivot", "popularity").distinct(), "pairs"
+        members.join(pivots, "bucket")
+        .where("node != pivot")
+        .groupBy("node")
+        .agg(F.max(F.struct("popularity", "pivot")).alias("top"))
+        .select("node", "top.pivot", "top.popularity"),
+        "pairs",
     )
     links = written(_verify(pairs, texts.select("node", "text"), threshold), "links")
     # Texts that are linked to the same pivot need not be compared with each other.
