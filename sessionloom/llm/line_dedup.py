@@ -22,7 +22,7 @@ from sessionloom.functions.evaluate import evaluate_once
 from sessionloom.llm.text import documents_table, words, written
 
 PERCENT = 80
-BUCKET_BITS = 12
+BUCKET_BITS = 16
 # Document keys (about 40 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 # Sets smaller than this can only be similar to equal ones.
@@ -90,7 +90,14 @@ def _line_rows(source: DataFrame, ranks: Column) -> DataFrame:
         size.alias("size"),
         F.when(joined, half(0)).otherwise(0).alias("bits0"),
         F.when(joined, half(64)).otherwise(0).alias("bits1"),
-        F.when(joined, F.slice("tokens", F.lit(1), _prefix_length(size))).alias("prefix"),
+        # The upper halves of the words are enough to meet; the filters and the words decide.
+        F.when(
+            joined,
+            F.transform(
+                F.slice("tokens", F.lit(1), _prefix_length(size)),
+                lambda token: F.shiftright(token, 32).cast("int"),
+            ),
+        ).alias("prefix"),
     )
 
 
