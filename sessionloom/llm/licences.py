@@ -4,10 +4,16 @@ Text is lower-cased and cut to letters and digits. The score of a line and a tem
 coefficient of their sets of word bigrams, 2 * shared / (left + right). A score of t needs set
 sizes within t / (2 - t) and its inverse, so a line meets only the templates its size admits: an
 equality join on the size, with the template list written once for every admissible size.
+
+A notice that is wrapped over lines or stands inside a longer one is a passage: a window of the
+whole text's words. The best window starts and ends with a bigram of its template, since a foreign
+bigram at either end only adds to the total, so just windows between such places are scored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,9 +132,161 @@ def licence_lines(
     )
 
 
+def _template_array(spark: SparkSession, templates: tuple[tuple[str, str], ...], percent: int) -> tuple[Column, list]:
+    """The templates with their bigrams and admissible sizes as one constant array, and as rows."""
+    sized = template_table(spark, templates, percent).groupBy("template", "licence", "pairs")
+    rows = sized.agg(F.min("size").alias("low"), F.max("size").alias("high")).orderBy("template").collect()
+    schema = "array<struct<template:int,licence:string,pairs:array<string>,low:int,high:int>>"
+    return F.from_json(F.lit(json.dumps([row.asDict() for row in rows])), schema), rows
+
+
+def _reaches(pairs: Column, template: Column, percent: int) -> Column:
+    shared, total = F.size(F.array_intersect(pairs, template["pairs"])), F.size(pairs) + F.size(template["pairs"])
+    return shared * 200 >= total * percent
+
+
+def licence_passages(
+    frame: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    percent: int = THRESHOLD_PERCENT,
+) -> DataFrame:
+    """One row per passage that reaches the threshold, with the columns of ``licence_lines``.
+
+    A passage is a window of the words of the whole text, across line ends, that starts and ends
+    with a bigram of the template and has no more bigrams than the template's size admits. Of
+    windows of one licence that overlap, the one with the best score stays, then that with more
+    shared bigrams, then the first. ``line`` is the line in which it starts. A passage inside one
+    line that reaches the threshold for the same licence is left to ``licence_lines``. A template
+    of one word is its own only bigram here too. Nothing is shuffled.
+    """
+    listed, rows = _template_array(frame.sparkSession, templates, percent)
+    if not rows:
+        return licence_lines(frame, doc_id=doc_id, text=text, templates=templates, percent=percent).where("false")
+    twos = sorted({pair for row in rows for pair in row.pairs if " " in pair})
+    ones = sorted({pair for row in rows for pair in row.pairs if pair and " " not in pair})
+    firsts = sorted({pair.split(" ")[0] for pair in twos})
+    found = frame.select(
+        F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body")
+    )
+    found = evaluate_once(found, {"all_words": F.split(normalised(F.col("body")), " ")})
+    word = lambda at: F.get(F.col("all_words"), at)
+    pair = lambda at: F.concat(word(at), F.lit(" "), F.coalesce(word(at + 1), F.lit("")))
+    hit = lambda at: (word(at).isin(firsts) & pair(at).isin(twos)) | word(at).isin(ones)
+    found = evaluate_once(
+        found.select("id", "body", "all_words"),
+        {"hits": F.filter(F.sequence(F.lit(0), F.size("all_words") - 1), hit)},
+    ).where(F.size("hits") >= min(row.low for row in rows))
+    # Texts that hold too few of a template's bigrams, wherever they are, cannot reach it.
+    held = F.array_distinct(F.flatten(F.transform("hits", lambda at: F.array(word(at), pair(at)))))
+    found = evaluate_once(found.select("id", "body", "all_words", "hits"), {"held": held})
+    near = F.filter(listed, lambda one: F.size(F.array_intersect(one["pairs"], "held")) >= one["low"])
+    found = evaluate_once(found.select("id", "body", "all_words", "hits", "held"), {"near": near}).where(
+        F.size("near") > 0
+    )
+    # A bigram has one word more than its place says, a template of one word has none.
+    wide = lambda one: F.when(F.get(one["pairs"], F.lit(0)).contains(" "), 1).otherwise(0)
+    own = lambda one: F.filter(
+        "hits", lambda at: F.array_contains(one["pairs"], F.when(wide(one) == 1, pair(at)).otherwise(word(at)))
+    )
+    places = F.transform(
+        "near", lambda one: F.struct(one.alias("one"), wide(one).alias("wide"), own(one).alias("at"))
+    )
+    found = evaluate_once(found.select("id", "body", "all_words", "hits", "near"), {"places": places})
+
+    def windows(place: Column) -> Column:
+        one = place["one"]
+
+        def starting(start: Column, number: Column) -> Column:
+            ends = F.filter(F.slice(place["at"], number + 1, one["high"]), lambda end: end - start < one["high"])
+            spans = F.transform(
+                ends,
+                lambda end, before: F.struct(
+                    one["template"].alias("template"), start.alias("start"), (end + place["wide"]).alias("end"),
+                    (before + 1).alias("hits"),
+                ),
+            )
+            return F.filter(spans, lambda span: span["hits"] >= one["low"])
+
+        return F.flatten(F.transform(place["at"], starting))
+
+    spans = F.flatten(F.transform("places", windows))
+    found = evaluate_once(found.select("id", "body", "all_words", "near", "places"), {"spans": spans})
+
+    def scored(span: Column) -> Column:
+        one = F.get(F.filter("near", lambda other: other["template"] == span["template"]), F.lit(0))
+        pairs = bigrams(F.slice("all_words", span["start"] + 1, span["end"] - span["start"] + 1))
+        return F.struct(
+            F.size(F.array_intersect(pairs, one["pairs"])).alias("shared"),
+            (F.size(pairs) + F.size(one["pairs"])).alias("total"),
+            one["licence"].alias("licence"), span.alias("span"),
+        )
+
+    found = evaluate_once(
+        found.select("id", "body", "all_words", "near", "spans").where(F.size("spans") > 0),
+        {"scores": F.transform("spans", scored)},
+    )
+    ranked = F.transform(
+        F.filter("scores", lambda one: one["shared"] * 200 >= one["total"] * percent),
+        lambda one: F.struct(
+            (-one["shared"] / one["total"]).alias("worse"), (-one["shared"]).alias("fewer"),
+            one["span"]["start"].alias("start"), one["span"]["end"].alias("end"),
+            one["span"]["template"].alias("template"), one["licence"].alias("licence"), one["total"].alias("total"),
+        ),
+    )
+    found = evaluate_once(found.select("id", "body", "scores"), {"ranked": F.sort_array(ranked)}).where(
+        F.size("ranked") > 0
+    )
+    apart = lambda kept, one: ~F.exists(
+        kept,
+        lambda other: (other["licence"] == one["licence"])
+        & (other["start"] <= one["end"])
+        & (one["start"] <= other["end"]),
+    )
+    best = F.aggregate(
+        "ranked",
+        F.slice("ranked", F.lit(1), F.lit(0)),
+        lambda kept, one: F.when(apart(kept, one), F.concat(kept, F.array(one))).otherwise(kept),
+    )
+    lines = F.split("body", "\n")
+    found = evaluate_once(
+        found.select("id", "body", "ranked"),
+        {"best": best, "parts": F.transform(lines, lambda line: F.split(normalised(line), " "))},
+    )
+    numbers = F.flatten(
+        F.transform(
+            "parts", lambda part, at: F.array_repeat(at, F.when(part[0] == "", 0).otherwise(F.size(part)))
+        )
+    )
+    found = evaluate_once(found.select("id", "best", "parts"), {"line_of": numbers})
+    found = found.select("id", "parts", "line_of", F.explode("best").alias("one"))
+    first, last = (F.get("line_of", F.col(f"one.{side}")) for side in ("start", "end"))
+    found = evaluate_once(found, {"place": F.struct(first.alias("first"), last.alias("last"))})
+    whole = evaluate_once(found, {"line_pairs": bigrams(F.get("parts", F.col("place.first")))})
+    told = F.exists(
+        listed,
+        lambda other: (other["licence"] == F.col("one.licence")) & _reaches(F.col("line_pairs"), other, percent),
+    )
+    return whole.where((F.col("place.first") != F.col("place.last")) | ~told).select(
+        "id",
+        (F.col("place.first") + 1).cast("bigint").alias("line"),
+        F.col("one.template").alias("template"),
+        F.col("one.licence").alias("licence"),
+        (-F.col("one.fewer")).cast("bigint").alias("shared"),
+        F.col("one.total").cast("bigint").alias("total"),
+    )
+
+
+def licence_notices(frame: DataFrame, **settings) -> DataFrame:
+    """The rows of ``licence_lines`` and, for notices that no line holds as a whole, of ``licence_passages``."""
+    return licence_lines(frame, **settings).unionByName(licence_passages(frame, **settings))
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence notices in the lines of every document."""
-    return licence_lines(documents_table(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    """Licence notices in the lines and passages of every document."""
+    return licence_notices(documents_table(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def _quoted(value: str) -> str:
