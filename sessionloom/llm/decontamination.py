@@ -6,6 +6,10 @@ partition has bins in proportion to its size, eight to four for each run, so a r
 survives in the signature of a long document as surely as in that of a short one. Items and
 documents that share a bin minimum at the partition's bin count, and whose sizes admit the
 containment, are candidates. They are verified by the exact number of shared runs.
+
+A run that does not lead its bin is in no signature, which an item of many runs survives and one of
+few runs does not. Items of few runs are therefore met by all runs of the documents, and items of
+fewer than five words, where asked for, by all runs of their own length.
 """
 
 from __future__ import annotations
@@ -14,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.evaluate import evaluate_once
-from sessionloom.llm.text import documents_table, shingles, words, written
+from sessionloom.llm.text import SHINGLE_WORDS, documents_table, shingles, words, written
 
 CONTAINMENT_PERCENT = 80
 BIN_BITS = 2
+# Items of fewer runs are met by all runs of the documents instead of their signatures.
+FEW_RUNS = 12
 # Rows of item signatures (about 40 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -40,13 +46,34 @@ def _hashed(texts: DataFrame) -> DataFrame:
     return hashed.select("node", "runs").where(F.size("runs") > 0)
 
 
-def document_signatures(texts: DataFrame) -> DataFrame:
-    """Rows (node, size, bits, value): the bin minima of each document with 2**bits bins."""
+def document_runs(texts: DataFrame) -> DataFrame:
+    """Rows (node, size, bits, value, leads): all runs of each document and which are minima of its 2**bits bins."""
     bits = F.ceil(F.log2(F.size("runs").cast("double"))).cast("int") + BIN_BITS
     sized = evaluate_once(_hashed(texts), {"bits": bits})
     bin_of = lambda value: F.call_function("shiftright", value, 64 - F.col("bits"))
-    minima = F.filter("runs", lambda value, at: ~bin_of(value).eqNullSafe(bin_of(F.get(F.col("runs"), at - 1))))
-    return sized.select("node", F.size("runs").alias("size"), "bits", F.explode(minima).alias("value"))
+    leads = lambda value, at: ~bin_of(value).eqNullSafe(bin_of(F.get(F.col("runs"), at - 1)))
+    marked = F.transform("runs", lambda value, at: F.struct(value.alias("value"), leads(value, at).alias("leads")))
+    return sized.select("node", F.size("runs").alias("size"), "bits", F.inline(marked).alias("value", "leads"))
+
+
+def document_signatures(texts: DataFrame) -> DataFrame:
+    """Rows (node, size, bits, value): the bin minima of each document with 2**bits bins."""
+    return document_runs(texts).where("leads").drop("leads")
+
+
+def _short_runs(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (node, value): the distinct run hashes of each text for runs of so many words, under five."""
+    of_words = F.col("_words")
+    hashed = lambda length: F.when(
+        F.size(of_words) >= length,
+        F.transform(
+            F.sequence(F.lit(1), F.size(of_words) - (length - 1)),
+            lambda at: F.xxhash64(F.array_join(F.slice(of_words, at, length), " ")),
+        ),
+    ).otherwise(F.array().cast("array<bigint>"))
+    split = evaluate_once(texts.select("node", "text"), {"_words": words(F.col("text"))})
+    every = F.array_distinct(F.concat(*[hashed(length) for length in lengths]))
+    return split.select("node", F.explode(every).alias("value"))
 
 
 def item_signatures(texts: DataFrame) -> DataFrame:
@@ -77,6 +104,7 @@ def contained_items(
     text: str = "text",
     item_text: str = "text",
     percent: int = CONTAINMENT_PERCENT,
+    short_inside: bool = False,
 ) -> DataFrame:
     """One row per document row and item that it contains: id, item_id, node, item_runs, shared_runs.
 
@@ -86,8 +114,12 @@ def contained_items(
     repeated and repeated rows each give their own result rows; ``node`` is a hash of the text. An
     empty table on either side gives no rows. Other columns are ignored.
 
-    A shared run is missed only if a smaller hash falls into its bin, which has a chance of at most
-    about an eighth per side and run; a pair is missed only if that happens to all its shared runs.
+    With ``short_inside`` an item of fewer than five words is one run of its own length, and a
+    document contains it if its words stand in the document one after the other.
+
+    Items of fewer than ``FEW_RUNS`` runs are found without fail. For the others a shared run is missed
+    only if a smaller hash falls into its bin, which has a chance of at most about an eighth per side
+    and run; a pair is missed only if that happens to all its shared runs, ten or more.
     """
     body = lambda column: F.coalesce(F.col(f"`{column}`"), F.lit(""))
     documents = frame.select(F.col(f"`{doc_id}`").alias("id"), body(text).alias("text"))
@@ -96,25 +128,43 @@ def contained_items(
     queries = queries.select("item_id", F.xxhash64("text").alias("node"), "text")
     signatures = written(item_signatures(queries.select("node", "text").distinct()), "item-signatures")
     small = signatures.count() <= BROADCAST_ROWS
-    met = document_signatures(documents).join(F.broadcast(signatures) if small else signatures, "value")
-    candidates = written(
-        met.where("bits >= bits_from").where(F.col("size") * 100 >= F.col("item_size") * percent)
+    near = lambda table: F.broadcast(table) if small else table
+    few = F.col("item_size") < FEW_RUNS
+    met = document_runs(documents).join(near(signatures), "value")
+    met = met.where(few | (F.col("leads") & (F.col("bits") >= F.col("bits_from"))))
+    # For an item of few runs the number of met runs is that of shared ones, or more where texts repeat.
+    pairs = (
+        met.where(F.col("size") * 100 >= F.col("item_size") * percent)
+        .groupBy("node", "item", "item_size")
+        .agg(F.count("*").alias("met"))
+        .where(~few | (F.col("met") * 100 >= F.col("item_size") * percent))
         .select("node", "item")
-        .distinct(),
-        "candidates",
     )
+    if short_inside:
+        size = F.size(words(F.col("text"))).alias("size")
+        lengths = sorted(row["size"] for row in queries.select(size).where("size between 1 and 4").distinct().collect())
+        if lengths:
+            single = signatures.where("item_size = 1")
+            inside = _short_runs(documents, lengths).join(near(single), "value").select("node", "item")
+            pairs = pairs.union(inside).distinct()
+    candidates = written(pairs, "candidates")
     of_items = evaluate_once(
         queries.select("item_id", F.col("node").alias("item"), "text"), {"item_words": words(F.col("text"))}
     )
-    of_items = of_items.select("item_id", "item", shingles(F.col("item_words")).alias("item_runs"))
+    of_items = of_items.select("item_id", "item", "item_words", shingles(F.col("item_words")).alias("item_runs"))
     # Only candidate documents are cut into runs again; each with all its candidate items.
     of_documents = evaluate_once(documents.join(candidates, "node"), {"doc_words": words(F.col("text"))})
-    of_documents = evaluate_once(
-        of_documents.select("id", "node", "item", "doc_words"), {"doc_runs": shingles(F.col("doc_words"))}
-    )
-    both = of_documents.select("id", "node", "item", "doc_runs").join(
-        F.broadcast(of_items) if small else of_items, "item"
-    )
+    both = of_documents.select("id", "node", "item", "doc_words").join(near(of_items), "item")
+    doc_runs = shingles(F.col("doc_words"))
+    if short_inside:
+        length = F.size("item_words")
+        starts = F.sequence(F.lit(1), F.size("doc_words") - length + 1)
+        follows = (F.size("doc_words") >= length) & F.exists(
+            starts, lambda at: F.slice("doc_words", at, length) == F.col("item_words")
+        )
+        own = F.when(follows, F.col("item_runs")).otherwise(F.array().cast("array<string>"))
+        doc_runs = F.when(length < SHINGLE_WORDS, own).otherwise(doc_runs)
+    both = evaluate_once(both, {"doc_runs": doc_runs})
     counted = evaluate_once(
         both.select("id", "node", "item_id", "item_runs", "doc_runs"),
         {
@@ -129,7 +179,7 @@ def contained_items(
     )
 
 
-def drop_contaminated(frame: DataFrame, items: DataFrame, *, text: str = "text", **names: str) -> DataFrame:
+def drop_contaminated(frame: DataFrame, items: DataFrame, *, text: str = "text", **names: str | bool) -> DataFrame:
     """The rows whose text contains no item, with all columns."""
     found = contained_items(frame, items, text=text, **names).select("node").distinct()
     rows = frame.select(
@@ -142,7 +192,7 @@ def drop_contaminated(frame: DataFrame, items: DataFrame, *, text: str = "text",
 def op7_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items inside the documents."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contained_items(documents_table(spark, sf_dir), items).select(
+    return contained_items(documents_table(spark, sf_dir), items, short_inside=True).select(
         F.col("id").alias("doc_id"), "item_id", "item_runs", "shared_runs"
     )
 

@@ -62,3 +62,53 @@ def test_empty_tables(spark):
     assert contained_items(frame.where("false"), items).count() == 0
     assert contained_items(frame, items.where("false")).count() == 0
     assert contained_items(frame, items).count() == 1
+
+
+def test_short_items_in_long_documents(spark, monkeypatch):
+    """Items of 1 to 15 words, each inside long documents of its own, over many draws."""
+    docs, items, want = [], [], set()
+    for seed in range(40):
+        draw = random.Random(seed)
+        for length in (*range(1, 9), 15):
+            item = [f"i{seed}x{length}x{at}" for at in range(length)]
+            for _ in range(3):
+                prose = [f"v{draw.randrange(3000)}" for _ in range(draw.randrange(300, 600))]
+                at = draw.randrange(len(prose))
+                want.add((len(docs), len(items), max(1, length - 4), max(1, length - 4)))
+                docs.append(" ".join(prose[:at] + item + prose[at:]))
+            # The same words apart or in another order are not the item.
+            if length > 1:
+                docs.append(" ".join(prose + item[1:] + prose + item[:1]))
+            items.append(" ".join(item))
+    frame = spark.createDataFrame([(at, text, "n", "i") for at, text in enumerate(docs)], DOCS).repartition(4)
+    benchmark = spark.createDataFrame([(at, text, "d") for at, text in enumerate(items)], ITEMS)
+    exact = lambda row: row.shared_runs == row.item_runs
+    read = lambda: {
+        (row.id, row.item_id, row.item_runs, row.shared_runs)
+        for row in filter(exact, contained_items(frame, benchmark, short_inside=True).collect())
+    }
+    assert read() == want
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    assert read() == want
+    left = {row.doc_id for row in drop_contaminated(frame, benchmark, short_inside=True).collect()}
+    assert not left & {row[0] for row in want}
+
+
+def test_few_runs_need_no_signature(spark):
+    """Items of five and six words are found by default too, in every document."""
+    draw = random.Random(7)
+    items = [" ".join(f"i{at}x{step}" for step in range(5 + at % 2)) for at in range(200)]
+    docs = [" ".join([f"v{draw.randrange(3000)}" for _ in range(300)] + [item]) for item in items]
+    frame = spark.createDataFrame([(at, text, "n", "i") for at, text in enumerate(docs)], DOCS)
+    benchmark = spark.createDataFrame([(at, text, "d") for at, text in enumerate(items)], ITEMS)
+    got = {(row.id, row.item_id) for row in contained_items(frame, benchmark).collect()}
+    assert got == {(at, at) for at in range(200)}
+
+
+def test_registered_query_finds_short_items(spark, tmp_path):
+    prose = " ".join(f"v{at}" for at in range(300))
+    rows = [(1, f"{prose} two words {prose}", "", ""), (2, f"{prose} two other words", "", "")]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "two words", "")], ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = decontamination.op7_containment(spark, str(tmp_path)).collect()
+    assert [tuple(row) for row in got] == [(1, 7, 1, 1)]
