@@ -50,7 +50,8 @@ def token_ids(of_words: Column, ranks: Column) -> Column:
     def ranked(word: Column) -> Column:
         value = F.xxhash64(word)
         rank = F.get(ranks, value.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))
-        high = F.shiftleft(rank, 64 - BUCKET_BITS)
+        # Whole numbers are signed: the rarest bucket gets the smallest one.
+        high = F.shiftleft(rank - (1 << (BUCKET_BITS - 1)), 64 - BUCKET_BITS)
         return high.bitwiseOR(F.shiftrightunsigned(value, BUCKET_BITS))
 
     return F.sort_array(F.array_distinct(F.transform(of_words, ranked)))

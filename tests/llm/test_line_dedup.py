@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from sessionloom.llm import line_dedup
-from sessionloom.llm.line_dedup import dedup_lines
+from sessionloom.llm.line_dedup import dedup_lines, rarity_ranks, token_ids
 
 SCHEMA = "doc_id bigint, text string, node string, kept string"
 
@@ -62,3 +64,23 @@ def test_repeated_rows_are_one_document(spark):
     got = dedup_lines(spark.createDataFrame([(*row, "", "") for row in data], SCHEMA)).collect()
     assert sorted((row.id, row.n_removed, row.n_lines) for row in got) == [(1, 0, 2), (1, 0, 2), (2, 1, 2)]
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_order_is_rarity_with_most_buckets_in_use(spark):
+    """A word in 300 texts comes last and the others by the count of their bucket, also beyond 32,768 buckets."""
+    texts = [(" ".join(f"u{at}" for at in range(start, start + 1000)),) for start in range(0, 150_000, 1000)]
+    texts += [("often " * 40 + "u1 u2 u3",)] * 300
+    source = spark.createDataFrame(texts, "text string")
+    bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << line_dedup.BUCKET_BITS) - 1))
+    every = source.select(F.explode(F.split("text", " ")).alias("word")).select("word", bucket.alias("bucket"))
+    counts = {row.bucket: row["count"] for row in every.groupBy("bucket").count().collect()}
+    assert len(counts) > 40_000
+    line = ["often", *(f"u{at}" for at in range(1, 150_000, 500))]
+    ranks = rarity_ranks(source)
+    words = spark.createDataFrame([(word,) for word in line], "word string")
+    one = words.select("word", bucket.alias("bucket"), token_ids(F.array("word"), ranks)[0].alias("token")).collect()
+    ordered = [counts[row.bucket] for row in sorted(one, key=lambda row: row.token)]
+    assert ordered == sorted(ordered)
+    whole = spark.createDataFrame([(line,)], "line array<string>").select(token_ids(F.col("line"), ranks).alias("ids")).first().ids
+    assert whole == sorted(row.token for row in one)
+    assert max(one, key=lambda row: row.token).word == "often"
