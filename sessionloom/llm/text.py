@@ -47,6 +47,12 @@ def written(frame: DataFrame, purpose: str, *, folder: str | None = None) -> Dat
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete the folder of a written table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -31,5 +31,5 @@ def test_query_equals_sql(spark, connection, name):
     assert got == want
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in registry.queries()) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in registry.queries()) == list(range(1, 14))
