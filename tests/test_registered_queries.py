@@ -1,5 +1,7 @@
 """Every registered query against its SQL counterpart on the smallest tables."""
 
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -46,3 +48,15 @@ def test_query_equals_sql(spark, connection, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_everything_else_works_without_the_corpus_operators(tmp_path, left):
+    root = Path(driver.__file__).parent
+    shutil.copytree(root / "sessionloom", tmp_path / "sessionloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *left):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert [line.split() for line in said.stdout.splitlines()] == [sorted(registry.queries())] * 2
