@@ -58,24 +58,45 @@ def _every(items: Column, check) -> Column:
     return F.coalesce(F.forall(items, check), F.lit(True))
 
 
-def _finite(value: Column) -> Column:
-    """False for an attribute value that holds a number beyond the range of a double."""
-    number = F.coalesce(*[member(value, name) for name in SCALAR_VALUE_KEYS])
-    double = F.when(F.schema_of_variant(number) == "DOUBLE", number.try_cast("double"))
-    beyond = F.abs(double) == F.lit(float("inf"))
-    # Only values without a scalar are searched as text; there such a number shows by this name.
-    inside = number.isNull() & F.to_json(value).rlike('[:\\[]"-?Infinity"')
-    return ~F.coalesce(beyond | inside, F.lit(False))
-
-
 def _pairs_ok(pairs: Column) -> Column:
     return _every(
         pairs,
         lambda pair: _string_ok(pair["key"])
-        & (absent(pair["value"]) | (as_object(pair["value"]).isNotNull() & _finite(pair["value"]))),
+        & (absent(pair["value"]) | as_object(pair["value"]).isNotNull()),
     )
 
 
+# A number beyond the range of a double has at least 200 digits or an exponent of three.
+_LONG_NUMBER = r"[eE][+]?[0-9]{3}|[0-9]{200}"
+_BEYOND = '"-?Infinity"(?!:)'
+
+
+def _letter_or_escape(letter: str) -> str:
+    code = "".join(f"[{digit}{digit.upper()}]" if digit.isalpha() else digit for digit in f"{ord(letter):02x}")
+    return rf"(?:{letter}|\\u00{code})"
+
+
+# The JSON string that reads like such a number once the value is written out, escapes included.
+_SAME_TEXT = '"' + _letter_or_escape("-") + "?" + "".join(_letter_or_escape(letter) for letter in "Infinity") + '"'
+
+
+def _beyond_double(resources: Column) -> Column:
+    """True when an attribute value holds, at any depth, a number beyond the range of a double.
+
+    A written value shows such a number as a text; the body it is parsed from must not hold that
+    text itself.
+    """
+
+    def pairs_beyond(pairs: Column) -> Column:
+        return F.exists(_filled(pairs), lambda pair: F.coalesce(F.to_json(pair["value"]).rlike(_BEYOND), F.lit(False)))
+
+    def resource_beyond(resource: Column) -> Column:
+        in_records = F.exists(_records(resource), lambda record: pairs_beyond(record["attributes"]))
+        return pairs_beyond(resource["resource"]["attributes"]) | in_records
+
+    return F.exists(_filled(resources), resource_beyond)
+
+
 def _record_ok(record: Column) -> Column:
     return (
         _pairs_ok(record["attributes"])
@@ -171,14 +192,19 @@ def decode_logs(payloads: DataFrame, services: Sequence[str] = LOG_SERVICES) ->
     require_settings(payloads.sparkSession)
     is_log = (F.col("signal") == "logs") & F.col("payload").isNotNull()
     options = {"columnNameOfCorruptRecord": "_mistyped"}
+    # Bodies with a long number, which are rare, are parsed once more without the text of one.
+    suspect = F.when(is_log & F.col("body").rlike(_LONG_NUMBER), F.regexp_replace("body", _SAME_TEXT, '""'))
     tree = evaluate_once(
         payloads,
         {
             "_tree": F.from_json(F.when(is_log, F.col("body")), _LOG_TREE, options),
             "_bodies": F.from_json(F.when(is_log, F.col("body")), _BODY_TREE),
+            "_beyond": _beyond_double(F.from_json(suspect, _LOG_TREE)["resourceLogs"]),
         },
     )
-    mistyped = F.col("_tree._mistyped").isNotNull() | ~_every(F.col("_tree.resourceLogs"), _resource_ok)
+    mistyped = (
+        F.col("_tree._mistyped").isNotNull() | ~_every(F.col("_tree.resourceLogs"), _resource_ok) | F.col("_beyond")
+    )
 
     def supported(resource: Column) -> Column:
         service = string_or_null(F.try_element_at(resource["attributes"], F.lit("service.name")))
@@ -203,7 +229,7 @@ def decode_logs(payloads: DataFrame, services: Sequence[str] = LOG_SERVICES) ->
     outcome = F.struct(
         mistyped.alias("failed"), F.flatten(F.transform(resources, with_resource)).alias("records")
     )
-    decoded = evaluate_once(tree, {"_outcome": F.when(is_log, outcome)}).drop("_tree", "_bodies")
+    decoded = evaluate_once(tree, {"_outcome": F.when(is_log, outcome)}).drop("_tree", "_bodies", "_beyond")
     verdict = (
         F.when(F.col("_outcome").isNull(), F.lit(None))
         .when(F.col("_outcome.failed"), "failed")

@@ -121,13 +121,15 @@ RECORD = (
     '{"attributes":[{"key":"event.name","value":{"stringValue":"codex.<event_type>"}},<model>'
     '{"key":"input_token_count","value":{"intValue":"<k>"}},'
     '{"key":"arguments","value":{"stringValue":"raw arguments <event_id>"}},'
+    '{"key":"command.args","value":{"stringValue":"--flag <event_id>"}},'
+    '{"key":"prompt","value":{"stringValue":"words <event_id>"}},'
     '{"key":"user.email","value":{"stringValue":"u<user_id>@example.test"}},'
     '{"key":"file.path","value":{"stringValue":"/home/u<user_id>/main.py"}},'
-    '{"key":"flags","value":{"arrayValue":{"values":[{"boolValue":true}]}}},'
+    '{"key":"flags","value":{"arrayValue":{"values":[{"boolValue":true},{"stringValue":"Infinity"}]}}},'
     '{"key":"flags","value":{"kvlistValue":{}}},'
     '{"key":"retries","value":{"doubleValue":1.5}},{"key":"retries","value":{"boolValue":false}},'
     '{"key":"empty","value":{}},{"key":"conversation.id"}],'
-    '"body":{"stringValue":"text of <event_id>"},"severityText":"INFO","timeUnixNano":"<nanos>"}'
+    '"body":{"stringValue":"text of <event_id><long>"},"severityText":"INFO","timeUnixNano":"<nanos>"}'
 )
 SECOND_RECORD = '{"attributes":[],"body":null,"observedTimeUnixNano":"<nanos>"}'
 LOGS = (
@@ -155,6 +157,8 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id": F.col("user_id"),
         "nanos": timestamp_to_nanos(F.col("ts")),
         "model": model,
+        # A text with a number beyond the range of a double, next to a text named like one.
+        "long": F.when(F.col("kind") == 1, " 1e400").otherwise(""),
     }
     record = fill(RECORD, **values)
     second = fill(SECOND_RECORD, **values)

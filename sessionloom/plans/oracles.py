@@ -120,14 +120,14 @@ records AS (
 )"""
 _HAS_MODEL = "record_index = 0 AND k % 7 <> 0"
 _NANOS = "CAST(epoch_us(ts) * 1000 AS BIGINT)"
-_FLAGS = '{"arrayValue":{"values":[{"boolValue":true}]}}'
+_FLAGS = '{"arrayValue":{"values":[{"boolValue":true},{"stringValue":"Infinity"}]}}'
 _RESOURCE = """'{"service.name":"codex_cli_rs","service.version":"0.' || k || '.0"}'"""
 _MODEL_MEMBER = """CASE WHEN k % 7 <> 0 THEN '"model":"model-' || (k % 5) || '",' ELSE '' END"""
-_RAW_FIELDS = f"""'{{"arguments":"raw arguments ' || event_id || '","event.name":"codex.' || event_type
+_RAW_FIELDS = f"""'{{"arguments":"raw arguments ' || event_id || '","command.args":"--flag ' || event_id || '","event.name":"codex.' || event_type
   || '","file.path":"/home/u' || user_id || '/main.py","flags":{_FLAGS},"input_token_count":"' || k || '",'
-  || {_MODEL_MEMBER} || '"retries":false,"user.email":"u' || user_id || '@example.test"}}'"""
+  || {_MODEL_MEMBER} || '"prompt":"words ' || event_id || '","retries":false,"user.email":"u' || user_id || '@example.test"}}'"""
 _PATH_HASH = _hmac("'/home/u' || user_id || '/main.py'")
-_SAFE_FIELDS = f"""'{{"event.name":"codex.' || event_type || '","file.path":"' || {_PATH_HASH}
+_SAFE_FIELDS = f"""'{{"command.args":"[REDACTED]","event.name":"codex.' || event_type || '","file.path":"' || {_PATH_HASH}
   || '","flags":{_FLAGS},"input_token_count":"' || k || '",' || {_MODEL_MEMBER} || '"retries":false}}'"""
 
 
@@ -162,12 +162,14 @@ _RECORD_TEXT = f"""CASE WHEN record_index = 0 THEN
   '{{"attributes":[{{"key":"event.name","value":{{"stringValue":"codex.' || event_type || '"}}}},' || {_MODEL_PAIR}
   || '{{"key":"input_token_count","value":{{"intValue":"' || k || '"}}}},'
   || '{{"key":"arguments","value":{{"stringValue":"raw arguments ' || event_id || '"}}}},'
+  || '{{"key":"command.args","value":{{"stringValue":"--flag ' || event_id || '"}}}},'
+  || '{{"key":"prompt","value":{{"stringValue":"words ' || event_id || '"}}}},'
   || '{{"key":"user.email","value":{{"stringValue":"u' || user_id || '@example.test"}}}},'
   || '{{"key":"file.path","value":{{"stringValue":"/home/u' || user_id || '/main.py"}}}},'
   || '{{"key":"flags","value":{_FLAGS}}},{{"key":"flags","value":{{"kvlistValue":{{}}}}}},'
   || '{{"key":"retries","value":{{"doubleValue":1.5}}}},{{"key":"retries","value":{{"boolValue":false}}}},'
   || '{{"key":"empty","value":{{}}}},{{"key":"conversation.id"}}],"observedTimeUnixNano":"","severityText":"INFO","timeUnixNano":"' || {_NANOS}
-  || '"}}' || chr(10) || 'json:{{"stringValue":"text of ' || event_id || '"}}'
+  || '"}}' || chr(10) || 'json:{{"stringValue":"text of ' || event_id || CASE WHEN event_id % 12 = 1 THEN ' 1e400' ELSE '' END || '"}}'
 ELSE '{{"attributes":[],"observedTimeUnixNano":"' || {_NANOS} || '","severityText":"","timeUnixNano":""}}' END"""
 _RECORD_KEY = f"('codex-log:' || {_hmac(_RECORD_TEXT)})"
 
@@ -193,14 +195,17 @@ _PROVENANCE = [
     ("provider_extensions", "retained", _ALWAYS),
     ("provider_extensions.log_attributes", "retained", _ALWAYS),
     ("provider_extensions.log_attributes.arguments", "removed", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.command.args", "redacted", _FIRST_ONLY),
     ("provider_extensions.log_attributes.event.name", "retained", _FIRST_ONLY),
     ("provider_extensions.log_attributes.file.path", "hashed", _FIRST_ONLY),
     ("provider_extensions.log_attributes.flags", "retained", _FIRST_ONLY),
     ("provider_extensions.log_attributes.flags.arrayValue", "retained", _FIRST_ONLY),
     ("provider_extensions.log_attributes.flags.arrayValue.values", "retained", _FIRST_ONLY),
     ("provider_extensions.log_attributes.flags.arrayValue.values[0].boolValue", "retained", _FIRST_ONLY),
+    ("provider_extensions.log_attributes.flags.arrayValue.values[1].stringValue", "retained", _FIRST_ONLY),
     ("provider_extensions.log_attributes.input_token_count", "retained", _FIRST_ONLY),
     ("provider_extensions.log_attributes.model", "retained", _MODEL_ONLY),
+    ("provider_extensions.log_attributes.prompt", "removed", _FIRST_ONLY),
     ("provider_extensions.log_attributes.retries", "retained", _FIRST_ONLY),
     ("provider_extensions.log_attributes.user.email", "removed", _FIRST_ONLY),
     ("provider_extensions.resource_attributes", "retained", _ALWAYS),
@@ -216,10 +221,21 @@ _PROVENANCE = [
     ("task_id", "retained", _ALWAYS),
     ("tool", "retained", _ALWAYS),
 ]
-_REASONS = {"retained": "operational_metadata", "removed": "sensitive_value", "hashed": "file_path"}
+_REASONS = {
+    "retained": "operational_metadata",
+    "removed": "sensitive_value",
+    "hashed": "file_path",
+    "redacted": "command_arguments",
+}
+
+
+def _reason(path: str, action: str) -> str:
+    return "prohibited_content" if path.endswith(".prompt") else _REASONS[action]
+
+
 _PROVENANCE_SQL = " UNION ALL ".join(
     f"SELECT event_id, record_index, {at} AS slot, '{path}' AS path, '{action}' AS action, "
-    f"'{_REASONS[action]}' AS reason FROM records WHERE {applies}"
+    f"'{_reason(path, action)}' AS reason FROM records WHERE {applies}"
     for at, (path, action, applies) in enumerate(_PROVENANCE)
 )
 _EVENT_PROVENANCE = f"""WITH {_RECORDS}, listed AS ({_PROVENANCE_SQL})
@@ -237,7 +253,8 @@ FROM records r JOIN sizes s ON r.event_id = s.event_id AND r.record_index = s.re
 # Whole payloads after the privacy boundary. Key order inside objects is alphabetical.
 _SAFE_RECORD = f"""'{{"attributes":[{{"key":"event.name","value":{{"stringValue":"codex.' || event_type || '"}}}},'
   || {_MODEL_PAIR} || '{{"key":"input_token_count","value":{{"intValue":"' || k || '"}}}},'
-  || '{{"key":"arguments","value":{{}}}},{{"key":"user.email","value":{{}}}},'
+  || '{{"key":"arguments","value":{{}}}},{{"key":"command.args","value":{{"stringValue":"[REDACTED]"}}}},'
+  || '{{"key":"prompt","value":{{}}}},{{"key":"user.email","value":{{}}}},'
   || '{{"key":"file.path","value":{{"stringValue":"'
   || {_hmac("'{\"stringValue\":\"/home/u' || user_id || '/main.py\"}'")} || '"}}}},'
   || '{{"key":"flags","value":{_FLAGS}}},{{"key":"flags","value":{{"kvlistValue":{{}}}}}},'
@@ -265,26 +282,28 @@ FROM ev WHERE event_id % 12 IN (0, 1, 2, 8, 9)"""
 # scope, scope.name; the record and its pairs below; second scope: logRecords; second resource:
 # resource, scopeLogs, resource.attributes, logRecords, attributes.
 _RETAINED_LOG = f"""(1 + 3 + 6 + 3 + 1 + 5
-  + 3 + 3 + CASE WHEN k % 7 <> 0 THEN 3 ELSE 0 END + 3 + 1 + 1 + 1 + 5 + 3 + 3 + 3 + 2 + 1
+  + 3 + 3 + CASE WHEN k % 7 <> 0 THEN 3 ELSE 0 END + 3 + 1 + 1 + 1 + 1 + 1 + 6 + 3 + 3 + 3 + 2 + 1
   + CASE WHEN event_id % 12 = 1 THEN 2 ELSE 0 END)"""
 _PAYLOAD_ACTIONS = f"""WITH {_EV},
 counts AS (
   SELECT CASE WHEN event_id % 12 = 9 THEN 6 ELSE {_RETAINED_LOG} END AS retained,
          CASE WHEN event_id % 12 = 9 THEN 0 WHEN event_id % 12 = 1 THEN 4 ELSE 3 END AS removed,
-         CASE WHEN event_id % 12 = 9 THEN 0 ELSE 1 END AS hashed
+         CASE WHEN event_id % 12 = 9 THEN 0 ELSE 1 END AS others
   FROM ev WHERE event_id % 12 IN (0, 1, 2, 8, 9)
 )
 SELECT 'retained' AS action, 'operational_metadata' AS reason, CAST(sum(retained) AS BIGINT) AS entries FROM counts
 UNION ALL SELECT 'removed', 'sensitive_value', CAST(sum(removed) AS BIGINT) FROM counts
-UNION ALL SELECT 'hashed', 'file_path', CAST(sum(hashed) AS BIGINT) FROM counts"""
+UNION ALL SELECT 'removed', 'prohibited_content', CAST(sum(others) AS BIGINT) FROM counts
+UNION ALL SELECT 'hashed', 'file_path', CAST(sum(others) AS BIGINT) FROM counts
+UNION ALL SELECT 'redacted', 'command_arguments', CAST(sum(others) AS BIGINT) FROM counts"""
 
 _LATEST = f"""WITH {_EV},
 newest AS (SELECT * FROM ev WHERE event_id % 12 IN (0, 1, 2, 8, 9) ORDER BY ts DESC, event_id DESC LIMIT 1)
 SELECT 'p-' || event_id AS payload_id, CASE WHEN event_id % 12 = 9 THEN 'traces' ELSE 'logs' END AS signal,
        {_instant('ts')} AS received_at,
        CAST(CASE WHEN event_id % 12 = 9 THEN 6
-            ELSE {_RETAINED_LOG} + 1 + CASE WHEN event_id % 12 = 1 THEN 4 ELSE 3 END END AS INTEGER) AS entries,
-       CAST(CASE WHEN event_id % 12 = 9 THEN 0 WHEN event_id % 12 = 1 THEN 4 ELSE 3 END AS INTEGER) AS removed
+            ELSE {_RETAINED_LOG} + 3 + CASE WHEN event_id % 12 = 1 THEN 4 ELSE 3 END END AS INTEGER) AS entries,
+       CAST(CASE WHEN event_id % 12 = 9 THEN 0 WHEN event_id % 12 = 1 THEN 5 ELSE 4 END AS INTEGER) AS removed
 FROM newest"""
 
 _STORE_INGEST = f"""WITH coded AS (SELECT event_id, {_ERROR_CODE} AS error_code FROM events), {_RECORDS},

@@ -66,7 +66,15 @@ def test_numbers_beyond_a_double_fail(spark):
         "scalar": (with_value('"doubleValue": 1e400'), "failed"),
         "inside": (with_value('"arrayValue": {"values": [{"doubleValue": -1e999}]}'), "failed"),
         "largest": (with_value('"doubleValue": 1.7e308'), "normalised"),
+        "later item": (with_value('"arrayValue": [1, 1e400]'), "failed"),
+        "many digits": (with_value('"kvlistValue": {"a": ' + "9" * 310 + "}"), "failed"),
+        "beside a scalar": (with_value('"stringValue": "x", "other": 1e400'), "failed"),
         "text": (with_value('"stringValue": "Infinity"'), "normalised"),
+        "text inside": (with_value('"arrayValue": {"values": [{"stringValue": "Infinity"}, "-Infinity", 1e-400]}'), "normalised"),
+        "escaped text": (with_value('"arrayValue": ["\\u0049nfinit\\u0079", "\\u002DInfinity", 1e200]'), "normalised"),
+        "name": (with_value('"kvlistValue": {"Infinity": 1e200}'), "normalised"),
+        "quoted text": (with_value('"arrayValue": ["say \\"Infinity", "\\"Infinity\\"", "1e400"]'), "normalised"),
+        "text and number": (with_value('"arrayValue": ["Infinity", 1e400]'), "failed"),
     }
     verdicts = by(classified(spark, {name: body for name, (body, _) in cases.items()}), "payload_id", "log_verdict")
     assert verdicts == {name: verdict for name, (_, verdict) in cases.items()}
