@@ -470,7 +470,11 @@ def plausible(text: str, kind: int, start: int, end: int) -> bool:
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    """The span without punctuation at its ends; an opening bracket stays if it is closed inside."""
+    """The span without punctuation at its ends; an opening bracket stays if it is closed inside.
+
+    The last window of a text may reach beyond its end, and so may a span.
+    """
+    end = min(end, len(text))
     while start < end and not (text[start].isalnum() or text[start] in "+("):
         start += 1
     while start < end and not text[end - 1].isalnum():

@@ -113,6 +113,8 @@ def test_overlaps_are_reconciled():
     assert pii.reconciled(text, [], pieces) == [(3, 4, 16), (3, 20, 32)]
     assert pii.reconciled(text, [(0, 15, 18)], pieces) == [(3, 20, 32)]
     assert pii.reconciled(text, [], [(3, 4, 16, -1.0)]) == []
+    assert pii.reconciled(text[:32], [], [(3, 20, 40, 1.0)]) == [(3, 20, 32)]
+    assert pii.reconciled("", [], [(3, 0, 4, 1.0)]) == []
 
 
 def test_rows(spark, model):
