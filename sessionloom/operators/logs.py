@@ -254,9 +254,14 @@ def _identity(record: Column) -> Column:
     return F.concat(F.to_json(envelope), F.coalesce(F.concat(kind, record["body_text"]), F.lit("")))
 
 
-def log_events(decoded: DataFrame, salt: bytes, keep: Sequence[str] = ("payload_id",)) -> DataFrame:
+def log_events(
+    decoded: DataFrame, salt: bytes, keep: Sequence[str] = ("payload_id",), every_payload: bool = False
+) -> DataFrame:
     """Canonical events of decoded payloads, unsanitised, with ``record_index``.
 
+    With ``every_payload`` a payload without events has one row, without ``event_id`` and
+    ``record_index``.
+
     The identity of a record is a keyed fingerprint over its attributes, times and severity and
     the body's text as received, so identical records collapse to one event when they are stored.
     A missing attribute list differs from an empty one, a string body from the same other text.
@@ -265,7 +270,10 @@ def log_events(decoded: DataFrame, salt: bytes, keep: Sequence[str] = ("payload_
     # inferred "array is not empty" filter.
     exploded = decoded.select(
         *keep, "received_at", F.posexplode_outer("log_records").alias("record_index", "entry")
-    ).filter(F.col("entry").isNotNull())
+    )
+    found = F.col("entry").isNotNull()
+    if not every_payload:
+        exploded = exploded.filter(found)
     typed = exploded.select(
         *keep,
         "received_at",
@@ -273,7 +281,9 @@ def log_events(decoded: DataFrame, salt: bytes, keep: Sequence[str] = ("payload_
         F.col("entry.resource_attributes").alias("resource"),
         F.col("entry.record.severityText").alias("severity"),
         attribute_map(_filled(F.col("entry.record.attributes"))).alias("fields"),
-        F.concat(F.lit(LOG_ID_PREFIX), fingerprint(_identity(F.col("entry.record")), salt)).alias("record_key"),
+        F.when(
+            found, F.concat(F.lit(LOG_ID_PREFIX), fingerprint(_identity(F.col("entry.record")), salt))
+        ).alias("record_key"),
     )
     unavailable = F.create_map(
         F.lit("unavailable_fields"),

@@ -503,6 +503,13 @@ FROM ses""",
 WHERE session_id NOT IN (SELECT session_id FROM ses WHERE state = 'completed') GROUP BY session_id""",
     "store_ingest": _STORE_INGEST,
     "stream_sessions": _ALL_SESSIONS,
+    "stream_rejected": f"""SELECT payload_id, signal, {_instant('ts')} AS received_at, error_code
+FROM ({_GATE}) JOIN events ON payload_id = 'p-' || event_id WHERE status = 'rejected'""",
+    "stream_gate_counts": f"""SELECT {_instant('minute')} AS minute,
+       count(*) FILTER (WHERE code IS NULL) AS accepted_payloads, count(code) AS rejected_payloads
+FROM (SELECT date_trunc('minute', ts) AS minute, CASE WHEN event_id % 12 <> 8 THEN {_ERROR_CODE} END AS code FROM events)
+GROUP BY minute""",
+    "stream_deduplicated": f"WITH {_CANON} SELECT event_id FROM canon",
     "gate_verdicts": _GATE,
     "gate_counters": f"""SELECT count(*) FILTER (WHERE status = 'accepted') AS accepted_payloads,
        count(*) FILTER (WHERE status = 'rejected') AS rejected_payloads FROM ({_GATE})""",
@@ -510,12 +517,13 @@ WHERE session_id NOT IN (SELECT session_id FROM ses WHERE state = 'completed') G
     "logs_normalised": _LOGS,
     "logs_fingerprint": _FINGERPRINT,
     # Read from lines, every log payload has the JSON media type.
-    "payload_source": """SELECT verdict, count(*) AS payloads FROM (
-  SELECT CASE WHEN event_id % 12 IN (3, 4) THEN 'malformed_payload'
+    "payload_source": """SELECT signal, verdict, count(*) AS payloads FROM (
+  SELECT CASE WHEN event_id % 12 IN (6, 9) THEN 'traces' ELSE 'logs' END AS signal,
+         CASE WHEN event_id % 12 IN (3, 4) THEN 'malformed_payload'
               WHEN event_id % 996 = 11 THEN 'payload_too_large'
-              WHEN event_id % 12 IN (5, 10, 11) THEN 'invalid_payload' ELSE 'accepted' END AS verdict
-  FROM events WHERE event_id % 12 NOT IN (6, 9)
-) GROUP BY verdict""",
+              WHEN event_id % 12 IN (5, 6, 10, 11) THEN 'invalid_payload' ELSE 'accepted' END AS verdict
+  FROM events
+) GROUP BY signal, verdict""",
     "document_source": f"SELECT path, code, count(*) AS documents FROM ({_AUDIT}) GROUP BY path, code",
     # The second record of a payload differs from others only in its time.
     "stream_payload_counts": """SELECT events, events AS sessions FROM (

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from sessionloom.operators.audit import audit_documents
 from sessionloom.operators.gate import gate_payloads, latest_payload, reject_failed
@@ -38,25 +37,16 @@ def safe_log_events(classified: DataFrame, salt: bytes) -> DataFrame:
 
 
 def ingest_payloads(
-    payloads: DataFrame,
-    store: EventStore,
-    salt: bytes,
-    source: str | None = None,
-    source_batch: int | None = None,
-    services: Sequence[str] = LOG_SERVICES,
-) -> bool:
-    """Gate, normalise, sanitise and store one batch of payloads.
-
-    Accepted and rejected payloads are counted in the same pass and committed with the batch.
+    payloads: DataFrame, store: EventStore, salt: bytes, batch: str, services: Sequence[str] = LOG_SERVICES
+) -> None:
+    """Gate, normalise, sanitise and store one named batch of payloads.
+
+    One pass gives all outputs: new events, the ids and codes of rejected payloads, and the numbers
+    of accepted and rejected ones. A batch that is ingested again replaces its former outputs.
     """
-    counters = Observation()
-    classified = classify_payloads(payloads, services).observe(
-        counters,
-        F.count_if(F.col("status") == "accepted").alias("accepted_payloads"),
-        F.count_if(F.col("status") == "rejected").alias("rejected_payloads"),
-    )
-    events = safe_log_events(classified, salt)
-    return store.append(events, LOG_ARRIVAL, source, source_batch, counters)
+    classified = classify_payloads(payloads, services)
+    keep = ("payload_id", "signal", "error_code")
+    store.append_payloads(sanitise_events(log_events(classified, salt, keep, True), salt), LOG_ARRIVAL, batch)
 
 
 @dataclass(frozen=True)

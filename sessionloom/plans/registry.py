@@ -29,11 +29,23 @@ from sessionloom.plans.pipelines import (
     replay_documents,
     safe_log_events,
 )
+from sessionloom.schemas import PAYLOAD_SCHEMA
 from sessionloom.session import configure, work_dir
 from sessionloom.sources import store as stores
-from sessionloom.sources.payloads import read_document_lines, read_payload_lines, stream_payload_lines
+from sessionloom.sources.payloads import (
+    read_document_lines,
+    read_payload_lines,
+    stream_payload_lines,
+    stream_payload_table,
+)
 from sessionloom.sources.store import EventStore
-from sessionloom.streaming.ingest import stream_events, stream_payloads
+from sessionloom.streaming.ingest import (
+    gate_counts_by_minute,
+    recent_unique_events,
+    stream_events,
+    stream_payloads,
+    write_versions,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -208,33 +220,33 @@ def session_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def store_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a store that took the events in two appends and a repeated one."""
+    """Sessions of a store that took the events in three batches, one of them replayed."""
     store = EventStore.create(spark, work_dir(spark, "store"))
     arriving = _with_provenance(derived.arriving_events(spark, sf_dir))
     failed = F.col("event_type").endswith(".failed")
     original = F.col("session_id").startswith("s-")
-    store.append(arriving.filter(original & ~failed), ARRIVAL, "load", 0)
-    store.append(arriving.filter(original & ~failed), ARRIVAL, "load", 0)
-    store.append(arriving.filter(original), ARRIVAL)
-    store.append(arriving.filter(~original), ARRIVAL)
+    store.append(arriving.filter(original & ~failed), ARRIVAL, "load")
+    store.append(arriving.filter(original), ARRIVAL, "all")
+    store.append(arriving.filter(original & ~failed), ARRIVAL, "load")
+    store.append(arriving.filter(~original), ARRIVAL, "copies")
     return _session_texts(store.sessions())
 
 
 @registered
 def store_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per session left in a store after deleting completed sessions and compacting."""
-    store = EventStore.create(spark, work_dir(spark, "store"))
-    store.append(_with_provenance(_events(spark, sf_dir)), ARRIVAL)
-    store.delete_sessions(store.sessions().filter(F.col("state") == "completed"))
-    store.compact()
-    return store.events().groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
+    """Events per session left in a store after rewriting it without completed sessions."""
+    root = work_dir(spark, "store")
+    store = EventStore.create(spark, f"{root}/first")
+    store.append(_with_provenance(_events(spark, sf_dir)), ARRIVAL, "load")
+    left = store.rewrite(f"{root}/second", store.sessions().filter(F.col("state") == "completed"))
+    return left.events().groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
 
 
 @registered
 def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payload ingest into a store: counters of the gate and of what was stored."""
     store = EventStore.create(spark, work_dir(spark, "store"))
-    ingest_payloads(derived.raw_payloads(spark, sf_dir), store, QUERY_SALT)
+    ingest_payloads(derived.raw_payloads(spark, sf_dir), store, QUERY_SALT, "load")
     stored = store.events().agg(F.count(F.lit(1)).alias("events"))
     folded = store.sessions().agg(F.count(F.lit(1)).alias("sessions"))
     recorded = store.provenance().agg(F.count(F.lit(1)).alias("provenance_entries"))
@@ -242,13 +254,18 @@ def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.counters().join(stored).join(folded).join(recorded)
 
 
+def _landed_table(frame: DataFrame, root: str, files: int, *keys: str) -> str:
+    """Folder with a written copy of a frame, for a stream to read."""
+    path = f"{root}/landing"
+    frame.repartition(files, *keys).write.parquet(path)
+    return path
+
+
 @registered
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a store fed by a stream over a written copy of the arriving events."""
     root = work_dir(spark, "stream")
-    landing = f"{root}/landing"
-    arriving = _with_provenance(derived.arriving_events(spark, sf_dir))
-    arriving.repartition(4, "ingest_seq").write.parquet(landing)
+    landing = _landed_table(_with_provenance(derived.arriving_events(spark, sf_dir)), root, 4, "ingest_seq")
     reader = spark.readStream.schema(spark.read.parquet(landing).schema)
     # Copies arrive in the same micro-batch or a later one than their originals.
     stream = reader.option("maxFilesPerTrigger", 1000).parquet(landing)
@@ -258,6 +275,46 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session_texts(store.sessions())
 
 
+@registered
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected payloads of both signals kept by a stream over a written copy of all payloads."""
+    root = work_dir(spark, "stream-rejected")
+    landing = _landed_table(derived.raw_payloads(spark, sf_dir).select(*PAYLOAD_SCHEMA.names), root, 8, "payload_id")
+    store = EventStore.create(spark, f"{root}/store")
+    stream = stream_payload_table(spark, landing, max_files_per_trigger=4)
+    stream_payloads(stream, store, QUERY_SALT, "landing", f"{root}/checkpoint").awaitTermination()
+    return _texts(store.rejected(), "received_at")
+
+
+@registered
+def stream_gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted and rejected payloads per minute, counted by a watermarked stream."""
+    root = work_dir(spark, "stream-counts")
+    landing = _landed_table(derived.raw_payloads(spark, sf_dir).select(*PAYLOAD_SCHEMA.names), root, 8, "payload_id")
+    # All files are one micro-batch: a backfill in any order is never too late.
+    counts = gate_counts_by_minute(stream_payload_table(spark, landing))
+    write_versions(counts, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{root}/counts")
+    latest = F.struct("number", "accepted_payloads", "rejected_payloads")
+    newest = rows.groupBy("minute").agg(F.max(latest).alias("latest"))
+    return _texts(newest.select("minute", "latest.accepted_payloads", "latest.rejected_payloads"), "minute")
+
+
+@registered
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids left by stateful deduplication of the arriving events, whose state a watermark bounds."""
+    root = work_dir(spark, "stream-unique")
+    arriving = derived.arriving_events(spark, sf_dir).select("event_id", "received_at", "ingest_seq")
+    landing = _landed_table(arriving, root, 8, "ingest_seq")
+    reader = spark.readStream.schema(spark.read.parquet(landing).schema)
+    # The copies of an event are received with it, in this micro-batch or a later one.
+    stream = reader.option("maxFilesPerTrigger", 4).parquet(landing)
+    unique = recent_unique_events(stream, "3650 days").select("event_id")
+    writer = unique.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{root}/unique").awaitTermination()
+    return spark.read.schema("event_id string").parquet(f"{root}/unique")
+
+
 def _with_provenance(events: DataFrame) -> DataFrame:
     return sanitise_events(derived.spread(events), QUERY_SALT)
 
@@ -274,11 +331,15 @@ def _landed(bodies: DataFrame, purpose: str) -> str:
 
 @registered
 def payload_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of the gate over log payloads read from line-delimited files."""
-    bodies = derived.raw_payloads(spark, sf_dir).filter(F.col("signal") == "logs")
-    gated = gate.gate_payloads(read_payload_lines(spark, _landed(bodies, "payloads"), "logs"))
+    """Verdicts of the gate over payloads of both signals read from line-delimited files."""
+    payloads = derived.raw_payloads(spark, sf_dir)
+    read = [
+        read_payload_lines(spark, _landed(payloads.filter(F.col("signal") == signal), "payloads"), signal)
+        for signal in ("logs", "traces")
+    ]
+    gated = gate.gate_payloads(read[0].unionByName(read[1]))
     verdict = F.coalesce("error_code", "status")
-    return gated.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("payloads"))
+    return gated.groupBy("signal", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("payloads"))
 
 
 @registered

@@ -62,3 +62,28 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="sessionloom-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    path, files = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def numbered_folders(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the finished tables ``prefix<number>`` in a folder, in ascending order."""
+    path, files = _file_system(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    finished = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(
+        int(name.removeprefix(prefix))
+        for name in names
+        if name.startswith(prefix) and files.exists(finished(path, f"{name}/_SUCCESS"))
+    )

@@ -1,298 +1,250 @@
-"""Event store on plain Parquet folders: idempotent appends, mergeable sessions, deletion.
-
-Layout under the root, one folder per numbered batch:
-
-``events/batch=N/session_bucket=B``  sanitised events with their provenance
-``folds/batch=N``                    partial session folds of that batch's new events
-``deleted/batch=N``                  ids of sessions deleted by that batch
-``commits/batch=N``                  one row that makes batch N visible
-
-A batch is visible once its commit row exists, so a job that dies half-way leaves nothing
-behind that readers see, and its retry overwrites the same folders. A commit of kind ``base``
-stands for everything before it. There is one writer at a time.
+"""Event tables on plain Parquet folders: append once, upsert sessions, keep rejected payloads.
+
+Every write is an ordinary Spark job on a folder below the root. A batch has a name of its
+caller's choice, such as a stream and its micro-batch number, and writing it again replaces its
+folders, so a batch that is replayed after a failure is stored once:
+
+``events/batch=B/session_bucket=K``  sanitised events, the first of each id
+``ids/id_bucket=K/batch=B``          ids of those events, dealt by their hash
+``provenance/batch=B``               provenance of those events, one list per event
+``folds/batch=B``                    partial session folds of those events
+``rejected/batch=B``                 ids and codes of rejected payloads
+``counts/batch=B``                   numbers of accepted and rejected payloads
+``sessions/version=N``               all sessions after the N-th upsert
+
+There is one writer at a time. Readers that must not see a batch in progress, concurrent writers
+and deletion in place are the business of a table format; put the same frames into one instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.operators.privacy import provenance_rows
 from sessionloom.operators.query import without_sessions
-from sessionloom.operators.sessions import (
-    FOLD_INPUT,
-    deduplicate,
-    finish_sessions,
-    fold_events,
-    merge_folds,
-)
-from sessionloom.schemas import EVENT_SCHEMA, PROVENANCE_TYPE
-
-STORED_EVENT = T.StructType(
-    [*EVENT_SCHEMA.fields, T.StructField("provenance", PROVENANCE_TYPE)]
+from sessionloom.operators.sessions import FOLD_INPUT, deduplicate, finish_sessions, fold_events, merge_folds
+from sessionloom.schemas import EVENT_SCHEMA
+from sessionloom.session import delete_folder, numbered_folders
+
+_ORDER_TYPE = "nano: bigint, event_id: string, occurred_at: timestamp"
+TABLES = {
+    "events": T.StructType(
+        [*EVENT_SCHEMA.fields, T.StructField("batch", T.StringType()), T.StructField("session_bucket", T.IntegerType())]
+    ),
+    "ids": "event_id string, id_bucket int, batch string",
+    "provenance": "event_id string, session_id string, "
+    "provenance array<struct<path: string, action: string, reason: string>>, batch string",
+    "folds": f"session_id string, first struct<{_ORDER_TYPE}, schema_version: string, provider: string, tool: string>, "
+    f"last struct<{_ORDER_TYPE}, state: string>, event_count bigint, batch string",
+    "rejected": "payload_id string, signal string, received_at timestamp, error_code string, batch string",
+    "counts": "accepted_payloads bigint, rejected_payloads bigint, batch string",
+}
+SESSION_TYPE = (
+    "session_id string, schema_version string, provider string, tool string, state string, "
+    "started_at timestamp, completed_at timestamp, event_count bigint"
 )
-_ORDER_FIELDS = [
-    T.StructField("nano", T.LongType()),
-    T.StructField("event_id", T.StringType()),
-    T.StructField("occurred_at", T.TimestampType()),
-]
-STORED_FOLD = T.StructType(
-    [
-        T.StructField("session_id", T.StringType()),
-        T.StructField(
-            "first",
-            T.StructType(
-                _ORDER_FIELDS
-                + [T.StructField(name, T.StringType()) for name in ("schema_version", "provider", "tool")]
-            ),
-        ),
-        T.StructField("last", T.StructType([*_ORDER_FIELDS, T.StructField("state", T.StringType())])),
-        T.StructField("event_count", T.LongType()),
-    ]
-)
-STORED_DELETION = T.StructType([T.StructField("session_id", T.StringType())])
-_COMMIT = (
-    "kind string, buckets int, source string, source_batch bigint, "
-    "accepted_payloads bigint, rejected_payloads bigint, sources map<string,bigint>"
-)
-
-
-def _write_commit(spark: SparkSession, root: str, batch: int, **values) -> None:
-    row = spark.createDataFrame([values], _COMMIT).coalesce(1)
-    row.write.mode("overwrite").parquet(f"{root}/commits/batch={batch}")
 
 
 class EventStore:
-    """Stored events and sessions under one root folder on shared storage."""
+    """Events, their provenance and sessions under one root folder on shared storage."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = self._commits()[0].buckets
+        self.buckets = spark.read.schema("buckets int").parquet(f"{self.root}/settings").first().buckets
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, buckets: int = 16) -> EventStore:
-        """Start an empty store.
+        """Start empty tables.
 
-        ``buckets`` sets for good how finely events are partitioned by session. A lookup of one
-        session reads one bucket; about one bucket per few GB of events is a fair choice.
+        ``buckets`` sets for good how finely events are partitioned by session, and ids by their
+        hash. A lookup of one session reads one bucket; about one per few GB of events is a fair
+        choice.
         """
-        _write_commit(spark, root.rstrip("/"), 0, kind="created", buckets=buckets)
+        root = root.rstrip("/")
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{root}/settings")
+        for name, schema in TABLES.items():
+            spark.createDataFrame([], schema).write.partitionBy("batch").parquet(f"{root}/{name}")
         return cls(spark, root)
 
-    # --- batches -----------------------------------------------------------------------
-
-    def _commits(self) -> list:
-        """Commit rows in order; one small row for the base and for each batch after it."""
-        commits = self.spark.read.schema(f"{_COMMIT}, batch bigint").parquet(f"{self.root}/commits")
-        return commits.orderBy("batch").collect()
-
-    def _commit(self, batch: int, **values) -> None:
-        _write_commit(self.spark, self.root, batch, **values)
-
-    @staticmethod
-    def _visible(commits: list, *kinds: str) -> list[int]:
-        base = max([row.batch for row in commits if row.kind == "base"], default=0)
-        return [row.batch for row in commits if row.batch >= base and row.kind in kinds]
-
-    def _table(self, name: str, batches: list[int]) -> DataFrame | None:
-        if not batches:
-            return None
-        schema = {"events": STORED_EVENT, "folds": STORED_FOLD, "deleted": STORED_DELETION}[name]
-        columns = [*schema.fields, T.StructField("batch", T.LongType())]
-        if name == "events":
-            columns.append(T.StructField("session_bucket", T.IntegerType()))
-        reader = self.spark.read.option("basePath", f"{self.root}/{name}").schema(T.StructType(columns))
-        return reader.parquet(*[f"{self.root}/{name}/batch={batch}" for batch in batches])
-
     # --- reading -----------------------------------------------------------------------
 
-    def _deleted(self, commits: list) -> DataFrame | None:
-        rows = self._table("deleted", self._visible(commits, "delete"))
-        if rows is None:
-            return None
-        return rows.groupBy(F.col("session_id").alias("deleted_id")).agg(F.max("batch").alias("deleted_at"))
-
-    @staticmethod
-    def _surviving(rows: DataFrame, deleted: DataFrame | None) -> DataFrame:
-        if deleted is None:
-            return rows
-        gone = (F.col("session_id") == F.col("deleted_id")) & (F.col("batch") < F.col("deleted_at"))
-        return rows.join(deleted, gone, "left_anti")
-
-    def _events(self, commits: list) -> DataFrame:
-        rows = self._table("events", self._visible(commits, "base", "events"))
-        if rows is None:
-            empty = self.spark.createDataFrame([], STORED_EVENT)
-            return empty.withColumns({"batch": F.lit(0), "session_bucket": F.lit(0)})
-        return self._surviving(rows, self._deleted(commits))
-
-    def _folds(self, commits: list) -> DataFrame:
-        batches = self._visible(commits, "base", "events")
-        rows = self._table("folds", batches)
-        if rows is None:
-            return fold_events(self._events(commits))
-        surviving = self._surviving(rows, self._deleted(commits)).drop("batch")
-        # One batch holds one fold per session; nothing is left to merge after compaction.
-        return surviving if len(batches) == 1 else merge_folds(surviving)
+    def table(self, name: str) -> DataFrame:
+        """All batches of one table, with the batch each row came in."""
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
 
     def events(self) -> DataFrame:
-        """Stored events with their provenance."""
-        return self._events(self._commits()).drop("batch", "session_bucket")
+        """Stored events."""
+        return self.table("events").drop("batch", "session_bucket")
 
     def session_events(self, session_id: str) -> DataFrame:
         """Events of one session in event-time order; reads one bucket of the event table."""
-        bucket = F.pmod(F.xxhash64(F.lit(session_id)), F.lit(self.buckets)).cast("int")
-        rows = self._events(self._commits()).filter(
-            (F.col("session_bucket") == bucket) & (F.col("session_id") == session_id)
-        )
+        bucket = _bucket(F.lit(session_id), self.buckets)
+        rows = self.table("events").filter((F.col("session_bucket") == bucket) & (F.col("session_id") == session_id))
         return rows.drop("batch", "session_bucket").orderBy("occurred_at_unix_nano", "event_id")
 
     def sessions(self) -> DataFrame:
-        """Current sessions, merged from the partial folds of all batches."""
-        return finish_sessions(self._folds(self._commits()))
+        """Sessions as of the last upsert."""
+        versions = self._versions()
+        if not versions:
+            return self.spark.createDataFrame([], SESSION_TYPE)
+        return self.spark.read.schema(SESSION_TYPE).parquet(f"{self.root}/sessions/version={versions[-1]}")
 
     def provenance(self) -> DataFrame:
         """One row per provenance entry of every stored event."""
-        return provenance_rows(self.events(), "event_id")
+        return provenance_rows(self.table("provenance"), "event_id")
 
-    def counters(self) -> DataFrame:
-        """Accepted and rejected payloads over all ingested batches."""
-        rows = self._commits()
-        totals = tuple(self._totals(rows).values())
-        return self.spark.createDataFrame([totals], "accepted_payloads bigint, rejected_payloads bigint")
+    def rejected(self) -> DataFrame:
+        """Rejected payloads: id, signal, time of receipt and error code, never their content."""
+        return self.table("rejected").drop("batch")
 
-    @staticmethod
-    def _totals(commits: list) -> dict[str, int]:
-        """Counters over the base, which carries those of the batches folded into it, and later batches."""
-        base = max([row.batch for row in commits if row.kind == "base"], default=0)
+    def counters(self) -> DataFrame:
+        """Accepted and rejected payloads over all batches."""
         names = ("accepted_payloads", "rejected_payloads")
-        return {name: sum(row[name] or 0 for row in commits if row.batch >= base) for name in names}
+        return self.table("counts").agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
 
-    @staticmethod
-    def _sources(commits: list) -> dict[str, int]:
-        """The last committed batch number of every source."""
-        last: dict[str, int] = {}
-        for row in commits:
-            known = dict(row.sources or {})
-            if None not in (row.source, row.source_batch):
-                known[row.source] = row.source_batch
-            for source, number in known.items():
-                last[source] = max(number, last.get(source, number))
-        return last
-
-    def _empty(self, path: str) -> None:
-        self.spark.createDataFrame([], "session_id string").write.mode("overwrite").parquet(f"{self.root}/{path}")
+    def _versions(self) -> list[int]:
+        return numbered_folders(self.spark, f"{self.root}/sessions", "version=")
 
     # --- writing -----------------------------------------------------------------------
 
-    def append(
-        self,
-        events: DataFrame,
-        arrival: list[str],
-        source: str | None = None,
-        source_batch: int | None = None,
-        counters: Observation | None = None,
-    ) -> bool:
-        """Store the events whose ids are new and update the sessions they belong to.
+    def append(self, events: DataFrame, arrival: list[str], batch: str) -> None:
+        """Store the events whose ids are new and rebuild the sessions they belong to.
 
         ``events`` are sanitised and carry ``provenance``; ``arrival`` names the columns that
-        order them, the first event per id winning. A source numbers its batches upwards; one
-        that is not above the last committed one is skipped (the return value is then false),
-        which makes stream retries safe.
+        order them, the first event per id winning. Ids stored by other batches are ignored, also
+        under another session.
         """
-        commits = self._commits()
-        if None not in (source, source_batch) and source_batch <= self._sources(commits).get(source, source_batch - 1):
-            return False
-        batch = commits[-1].batch + 1
-        # The batch is used twice below. A written copy cuts its lineage, so neither use runs
-        # the adapters again and a lost executor costs only a re-read.
-        staging = f"{self.root}/staging"
-        deduplicate(events, arrival).select(*STORED_EVENT.names).write.mode("overwrite").parquet(staging)
-        staged = self.spark.read.schema(STORED_EVENT).parquet(staging)
-        self._write_events(self._new_only(staged, commits), batch)
-        fold_events(self._batch_events(batch)).write.mode("overwrite").parquet(
-            f"{self.root}/folds/batch={batch}"
-        )
-        totals = counters.get if counters is not None else {}
-        self._commit(batch, kind="events", source=source, source_batch=source_batch, **totals)
-        self._empty("staging")
-        return True
+        self._store(self._staged(self._first(events, arrival), batch, "events"), batch)
+        delete_folder(self.spark, f"{self.root}/staging/{batch}")
 
-    def _new_only(self, staged: DataFrame, commits: list) -> DataFrame:
-        """Staged events that are not stored yet.
+    def append_payloads(self, rows: DataFrame, arrival: list[str], batch: str) -> None:
+        """Store one batch of ingested payloads: new events, rejected payloads and counts.
 
-        The stored ids are first reduced to those in the batch. In that semi join the batch is
-        the side Spark may broadcast, so a batch under the broadcast limit leaves the large id
-        column unshuffled; the anti join that follows only sees ids of the batch.
+        ``rows`` has a sanitised event per row and at least one row per payload, with ``error_code``
+        and ``record_index``; a row without ``event_id`` stands for a payload without events. They
+        are evaluated once, for all three outputs.
         """
-        if not self._visible(commits, "base", "events"):
-            return staged
-        stored = self._events(commits).select("event_id")
-        known = stored.join(staged.select("event_id"), "event_id", "left_semi")
-        return staged.join(known, "event_id", "left_anti")
-
-    def _batch_events(self, batch: int) -> DataFrame:
-        return self._table("events", [batch]).select(*FOLD_INPUT)
+        staged = self._staged(rows, batch, "rows")
+        refused = F.col("error_code").isNotNull()
+        self._write(
+            staged.filter(refused).select("payload_id", "signal", "received_at", "error_code"), "rejected", batch
+        )
+        one_per_payload = staged.filter(F.coalesce("record_index", F.lit(0)) == 0)
+        counts = one_per_payload.agg(
+            F.count_if(~refused).alias("accepted_payloads"), F.count_if(refused).alias("rejected_payloads")
+        )
+        self._write(counts, "counts", batch)
+        events = self._first(staged.filter(F.col("event_id").isNotNull()), arrival)
+        self._store(self._staged(events, batch, "events"), batch)
+        delete_folder(self.spark, f"{self.root}/staging/{batch}")
 
-    def _write_events(self, events: DataFrame, batch: int) -> None:
-        """Write one batch partitioned by session bucket and sorted for row-group pruning.
+    def _staged(self, rows: DataFrame, batch: str, step: str) -> DataFrame:
+        """A written copy of rows that are used several times; a lost executor costs a re-read."""
+        path = f"{self.root}/staging/{batch}/{step}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
-        The rebalance hint lets Spark split a bucket that a hot session blows up over several
-        tasks and merge small ones.
-        """
-        bucket = F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int")
+    @staticmethod
+    def _first(events: DataFrame, arrival: list[str]) -> DataFrame:
+        """The first event of each id, with its provenance."""
+        order = [name for name in arrival if name not in EVENT_SCHEMA.names]
+        return deduplicate(events.select(*EVENT_SCHEMA.names, "provenance", *order), arrival).drop(*order)
+
+    def _store(self, staged: DataFrame, batch: str) -> None:
+        fresh = staged.join(self._known(staged, batch), "event_id", "left_anti")
+        bucket = _bucket(F.col("session_id"), self.buckets).alias("session_bucket")
+        path = f"{self.root}/events/batch={batch}"
+        # The rebalance hint lets Spark split a bucket that a hot session blows up and merge small ones.
         (
-            events.withColumn("session_bucket", bucket)
+            fresh.select(*EVENT_SCHEMA.names, bucket)
             .hint("rebalance", "session_bucket")
             .sortWithinPartitions("session_bucket", "session_id", "occurred_at_unix_nano")
             .write.mode("overwrite")
             .partitionBy("session_bucket")
-            .parquet(f"{self.root}/events/batch={batch}")
+            .parquet(path)
+        )
+        self._write(fresh.select("event_id", "session_id", "provenance"), "provenance", batch)
+        written = self.spark.read.schema(EVENT_SCHEMA).parquet(path)
+        self._write_ids(written, batch)
+        self._write(fold_events(written.select(*FOLD_INPUT)), "folds", batch)
+        self.upsert_sessions(batch)
+
+    def _known(self, staged: DataFrame, batch: str) -> DataFrame:
+        """Ids of the batch that other batches have stored; reads the buckets its own ids fall into."""
+        own = staged.select("event_id", _bucket(F.col("event_id"), self.buckets).alias("own_bucket"))
+        used = [row.own_bucket for row in own.select("own_bucket").distinct().collect()]
+        stored = self.table("ids").filter(F.col("id_bucket").isin(used) & (F.col("batch") != batch))
+        # The batch is the side Spark may broadcast, so a small one leaves the stored ids unshuffled.
+        return stored.select("event_id").join(own.select("event_id"), "event_id", "left_semi")
+
+    def _write(self, rows: DataFrame, name: str, batch: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+
+    def _write_ids(self, events: DataFrame, batch: str) -> None:
+        ids = events.select(
+            "event_id", _bucket(F.col("event_id"), self.buckets).alias("id_bucket"), F.lit(batch).alias("batch")
+        )
+        (
+            ids.hint("rebalance", "id_bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("id_bucket", "batch")
+            .parquet(f"{self.root}/ids")
         )
 
-    def delete_sessions(self, ids: DataFrame) -> int:
-        """Delete sessions with their events and provenance; returns how many existed.
+    def upsert_sessions(self, batch: str) -> None:
+        """Write the next version of the sessions: those the batch touches are merged anew.
 
-        They are invisible from the commit on; :meth:`compact` removes the bytes.
+        A touched session is merged from its folds of all batches, so doing it again after a
+        failure changes nothing. The version before stays for readers that have opened it.
         """
-        commits = self._commits()
-        batch = commits[-1].batch + 1
-        path = f"{self.root}/deleted/batch={batch}"
-        known = self._folds(commits).select("session_id")
-        ids.select("session_id").distinct().join(known, "session_id", "left_semi").write.mode(
-            "overwrite"
-        ).parquet(path)
-        found = self.spark.read.parquet(path).count()
-        if found:
-            self._commit(batch, kind="delete")
-        return found
-
-    def compact(self) -> None:
-        """Fold all batches into one base without deleted rows, then empty everything older.
-
-        The base takes over the counters and the last batch number of every source, so one commit
-        remains. If a run dies on the way, its leftovers are still listed and the next compaction
-        empties them.
-
-        The base's folds are range-sorted by start time, and with nothing left to merge, time
-        filters and page cursors on :meth:`sessions` are pushed down to the scan.
+        folds = self.table("folds")
+        touched = folds.filter(F.col("batch") == batch).select("session_id")
+        merged = finish_sessions(merge_folds(folds.drop("batch").join(touched, "session_id", "left_semi")))
+        self._write_sessions(self.sessions().join(touched, "session_id", "left_anti").unionByName(merged))
+
+    def _write_sessions(self, sessions: DataFrame) -> None:
+        versions = self._versions()
+        number = versions[-1] + 1 if versions else 0
+        sessions.sortWithinPartitions("started_at", "session_id").write.parquet(f"{self.root}/sessions/version={number}")
+        for old in versions[:-1]:
+            delete_folder(self.spark, f"{self.root}/sessions/version={old}")
+
+    def rewrite(self, root: str, deleted: DataFrame | None = None) -> EventStore:
+        """Copy everything into one batch of new tables at ``root``, without the deleted sessions.
+
+        Their events, ids, provenance and folds are left out, so the same events may be stored
+        again. The old folders are the caller's to remove once no reader uses them.
         """
-        commits = self._commits()
-        batch = commits[-1].batch + 1
-        self._write_events(self._events(commits).drop("batch", "session_bucket"), batch)
-        # Deletion removes whole sessions, so merging the surviving folds is enough.
-        folds = self._folds(commits).orderBy("first.occurred_at", "session_id")
-        folds.write.mode("overwrite").parquet(f"{self.root}/folds/batch={batch}")
-        self._commit(
-            batch, kind="base", buckets=self.buckets, sources=self._sources(commits), **self._totals(commits)
+        target = EventStore.create(self.spark, root, self.buckets)
+
+        def kept(rows: DataFrame) -> DataFrame:
+            return rows if deleted is None else without_sessions(rows, deleted)
+
+        bucket = _bucket(F.col("session_id"), self.buckets).alias("session_bucket")
+        events = kept(self.events()).select(*EVENT_SCHEMA.names, bucket)
+        path = f"{target.root}/events/batch=base"
+        (
+            events.hint("rebalance", "session_bucket")
+            .sortWithinPartitions("session_bucket", "session_id", "occurred_at_unix_nano")
+            .write.partitionBy("session_bucket")
+            .parquet(path)
         )
-        self._empty("staging")
-        for old in commits:
-            for name in {"created": (), "delete": ("deleted",)}.get(old.kind, ("events", "folds")):
-                self._empty(f"{name}/batch={old.batch}")
-            self._empty(f"commits/batch={old.batch}")
+        target._write_ids(self.spark.read.schema(EVENT_SCHEMA).parquet(path), "base")
+        target._write(kept(self.table("provenance").drop("batch")), "provenance", "base")
+        target._write(merge_folds(kept(self.table("folds").drop("batch"))), "folds", "base")
+        target._write(self.rejected(), "rejected", "base")
+        target._write(self.counters(), "counts", "base")
+        # Sorted over all files, so that time filters and cursors prune the scan.
+        target._write_sessions(kept(self.sessions()).repartitionByRange("started_at", "session_id"))
+        return target
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def delete_cascade(deleted: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:

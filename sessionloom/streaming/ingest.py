@@ -32,11 +32,12 @@ def stream_payloads(
 
     Each micro-batch goes through the batch plan. Late, repeated and out-of-order records need
     no watermark: ids are checked against the whole store and session folds merge in any order.
-    The micro-batch number is committed with the data, so a replayed one has no effect.
+    A micro-batch is stored under the stream's name and its number, so a replayed one replaces
+    what its first run left; Spark's checkpoint decides what is replayed.
     """
 
     def process(batch: DataFrame, number: int) -> None:
-        ingest_payloads(batch, store, salt, name, number, services)
+        ingest_payloads(batch, store, salt, f"{name}-{number}", services)
 
     return _start(payloads, process, checkpoint, trigger or {"availableNow": True})
 
@@ -47,7 +48,7 @@ def stream_events(
     """Ingest a stream of sanitised canonical events."""
 
     def process(batch: DataFrame, number: int) -> None:
-        store.append(batch, arrival, name, number)
+        store.append(batch, arrival, f"{name}-{number}")
 
     return _start(events, process, checkpoint, trigger or {"availableNow": True})
 
@@ -69,3 +70,16 @@ def gate_counts_by_minute(payloads: DataFrame, delay: str = "10 minutes") -> Dat
         F.count_if(F.col("status") == "accepted").alias("accepted_payloads"),
         F.count_if(F.col("status") == "rejected").alias("rejected_payloads"),
     ).select(F.col("window.start").alias("minute"), "accepted_payloads", "rejected_payloads")
+
+
+def write_versions(frame: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write every change of a streaming aggregate as rows of a table, with the number of its micro-batch.
+
+    The rows with the highest number of each key are the current state.
+    """
+
+    def process(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/number={number}")
+
+    writer = frame.writeStream.outputMode("update").foreachBatch(process)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

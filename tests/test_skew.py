@@ -82,7 +82,7 @@ def test_hot_session_is_salted_when_it_is_touched(spark):
 def test_one_payload_repeated_everywhere_is_one_event(spark, store):
     body = log_payload({"attributes": [pair("event.name", stringValue="x.created")], "timeUnixNano": "1"})
     rows = [(str(at), "logs", body) for at in range(300)]
-    ingest_payloads(payloads(spark, rows), store, SALT)
+    ingest_payloads(payloads(spark, rows), store, SALT, "load")
     assert store.events().count() == 1
     assert store.counters().first().accepted_payloads == 300
 

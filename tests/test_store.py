@@ -36,9 +36,9 @@ def expected(spark, rows):
 
 
 def test_appends_are_idempotent_and_merge_late_events(spark, store):
-    store.append(safe(spark, ROWS[1:]), ARRIVAL)
-    store.append(safe(spark, ROWS), ARRIVAL)
-    store.append(safe(spark, [("a2", "other", "x.failed", "2026-01-03T00:00:00")]), ARRIVAL)
+    store.append(safe(spark, ROWS[1:]), ARRIVAL, "1")
+    store.append(safe(spark, ROWS), ARRIVAL, "2")
+    store.append(safe(spark, [("a2", "other", "x.failed", "2026-01-03T00:00:00")]), ARRIVAL, "3")
     assert by(store.sessions(), "session_id") == expected(spark, ROWS)
     assert sorted(row.event_id for row in store.events().collect()) == ["a1", "a2", "b1"]
     assert [row.event_id for row in store.session_events("a").collect()] == ["a1", "a2"]
@@ -46,46 +46,71 @@ def test_appends_are_idempotent_and_merge_late_events(spark, store):
     assert "secret-like" not in str(stored)
     kinds = store.provenance().filter("path = 'provider_extensions.prompt'").select("event_id", "action").collect()
     assert [tuple(row) for row in kinds] == [("a2", "removed")]
+    entries = safe(spark, ROWS).agg(F.sum(F.size("provenance"))).first()[0]
+    assert store.provenance().count() == entries
 
 
-def test_source_batches_are_applied_once(spark, store):
-    assert store.append(safe(spark, ROWS[:1]), ARRIVAL, "stream", 7)
-    assert not store.append(safe(spark, ROWS), ARRIVAL, "stream", 7)
-    assert store.events().count() == 1
+def test_a_replayed_batch_is_stored_once(spark, store):
+    for _ in range(2):
+        store.append(safe(spark, ROWS), ARRIVAL, "load")
+    assert store.events().count() == 3 and store.table("ids").count() == 3
+    assert by(store.sessions(), "session_id") == expected(spark, ROWS)
+
+
+def state(spark, store):
+    return (
+        by(store.sessions(), "session_id"),
+        sorted(row.event_id for row in store.events().collect()),
+        sorted(row.event_id for row in store.table("ids").collect()),
+        store.provenance().count(),
+        store.counters().first(),
+        sorted(store.rejected().collect()),
+    )
 
 
-def test_uncommitted_work_is_invisible_and_overwritten(spark, store, monkeypatch):
-    store.append(safe(spark, ROWS[:1]), ARRIVAL)
+@pytest.mark.parametrize("step", ["_write_ids", "_write_sessions"])
+def test_a_batch_that_died_is_completed_by_its_replay(spark, store, tmp_path, monkeypatch, step):
+    def rows(*numbers):
+        return payloads(spark, [(f"p{number}", "logs", good(number)) for number in numbers] + [("bad", "logs", "{")])
 
     def lost(*args, **values):
         raise RuntimeError("driver lost")
 
+    whole = EventStore.create(spark, str(tmp_path / "whole"), buckets=3)
+    for target in (whole, store):
+        ingest_payloads(rows(1, 2), target, SALT, "s-0")
+    ingest_payloads(rows(2, 3), whole, SALT, "s-1")
     with monkeypatch.context() as patch:
-        patch.setattr(EventStore, "_commit", lost)
+        patch.setattr(EventStore, step, lost)
         with pytest.raises(RuntimeError):
-            store.append(safe(spark, ROWS[1:]), ARRIVAL)
-    assert by(store.sessions(), "session_id") == expected(spark, ROWS[:1])
-    store.delete_sessions(spark.createDataFrame([("a",)], "session_id string"))
-    assert store.events().count() == 0
-    store.append(safe(spark, ROWS), ARRIVAL)
-    assert by(store.sessions(), "session_id") == expected(spark, ROWS)
+            ingest_payloads(rows(2, 3), store, SALT, "s-1")
+    ingest_payloads(rows(2, 3), store, SALT, "s-1")
+    assert state(spark, store) == state(spark, whole)
+
+
+def test_known_ids_are_read_from_the_buckets_of_the_batch(spark, store):
+    store.append(safe(spark, ROWS), ARRIVAL, "1")
+    plan = store._known(safe(spark, ROWS[:1]), "2")._jdf.queryExecution().executedPlan().toString()
+    filters = next(part.partition("]")[0] for part in plan.split("PartitionFilters: [")[1:])
+    assert "id_bucket" in filters and "NOT (batch" in filters
+
 
+def test_rejected_payloads_are_kept_without_their_content(spark, store):
+    rows = [("ok", "logs", good(1)), ("cut", "logs", '{"secret":'), ("type", "logs", log_payload({"timeUnixNano": 1})), ("none", "traces", "{}")]
+    ingest_payloads(payloads(spark, rows), store, SALT, "b")
+    assert by(store.rejected(), "payload_id", "signal", "error_code") == {
+        "cut": ("logs", "malformed_payload"),
+        "type": ("logs", "normalization_failed"),
+        "none": ("traces", "invalid_payload"),
+    }
+    assert store.rejected().columns == ["payload_id", "signal", "received_at", "error_code"]
+    assert "secret" not in stored_bytes(spark, store)
 
-def test_delete_then_compact_removes_the_bytes(spark, store):
-    store.append(safe(spark, ROWS), ARRIVAL)
-    ids = spark.createDataFrame([("a",), ("none",)], "session_id string")
-    assert store.delete_sessions(ids) == 1
-    assert store.delete_sessions(ids) == 0
-    assert by(store.sessions(), "session_id") == expected(spark, ROWS[2:])
-    assert [row.event_id for row in store.events().collect()] == ["b1"]
-    assert store.provenance().filter("event_id <> 'b1'").count() == 0
-    store.compact()
-    assert by(store.sessions(), "session_id") == expected(spark, ROWS[2:])
-    raw = spark.read.option("recursiveFileLookup", "true").parquet(f"{store.root}/events")
-    assert raw.filter("session_id = 'a'").count() == 0
-    # A deleted session's events may be sent again.
-    store.append(safe(spark, ROWS[:1]), ARRIVAL)
-    assert by(store.sessions(), "session_id") == expected(spark, [ROWS[0], ROWS[2]])
+
+def test_empty_batch(spark, store):
+    store.append(safe(spark, ROWS).limit(0), ARRIVAL, "none")
+    assert store.events().count() == 0 and store.sessions().count() == 0
+    assert store.counters().first().asDict() == {"accepted_payloads": 0, "rejected_payloads": 0}
 
 
 def stored_bytes(spark, store):
@@ -94,40 +119,41 @@ def stored_bytes(spark, store):
     return " ".join(str(row) for row in rows.collect())
 
 
-def test_no_file_keeps_deleted_events(spark, store, monkeypatch):
-    store.append(safe(spark, ROWS), ARRIVAL, "stream", 4)
-    assert "a1" in stored_bytes(spark, store)
-    store.delete_sessions(spark.createDataFrame([("a",)], "session_id string"))
+def test_rewrite_leaves_no_deleted_bytes(spark, store, tmp_path):
+    store.append(safe(spark, ROWS[:2]), ARRIVAL, "1")
+    store.append(safe(spark, ROWS[2:]), ARRIVAL, "2")
+    gone = spark.createDataFrame([("a",), ("none",)], "session_id string")
+    left = store.rewrite(str(tmp_path / "left"), gone)
+    assert by(left.sessions(), "session_id") == expected(spark, ROWS[2:])
+    assert [row.event_id for row in left.events().collect()] == ["b1"]
+    assert left.provenance().filter("event_id <> 'b1'").count() == 0
+    assert "a1" not in stored_bytes(spark, left) and "b1" in stored_bytes(spark, left)
+    # The source is as it was, and a deleted session's events may be sent again.
+    assert by(store.sessions(), "session_id") == expected(spark, ROWS)
+    left.append(safe(spark, ROWS[:1]), ARRIVAL, "3")
+    assert by(left.sessions(), "session_id") == expected(spark, [ROWS[0], ROWS[2]])
 
-    def lost(*args, **values):
-        raise RuntimeError("driver lost")
 
-    with monkeypatch.context() as patch:
-        patch.setattr(EventStore, "_empty", lost)
-        with pytest.raises(RuntimeError):
-            store.compact()
-    store.compact()
-    assert "a1" not in stored_bytes(spark, store) and "b1" in stored_bytes(spark, store)
-    assert len(store._commits()) == 1
-    # A retried stream batch is still known after its commit was folded into the base.
-    assert not store.append(safe(spark, ROWS), ARRIVAL, "stream", 4)
-    assert store.append(safe(spark, ROWS[:1]), ARRIVAL, "stream", 5)
+def test_only_the_last_two_versions_of_the_sessions_stay(spark, store):
+    for at, row in enumerate(ROWS):
+        store.append(safe(spark, [row]), ARRIVAL, str(at))
+    assert store._versions() == [1, 2]
+    assert by(store.sessions(), "session_id") == expected(spark, ROWS)
 
 
 def test_session_lookup_reads_one_bucket(spark, store):
-    store.append(safe(spark, ROWS), ARRIVAL)
+    store.append(safe(spark, ROWS), ARRIVAL, "1")
     plan = store.session_events("a")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(session_bucket" in plan and "EqualTo(session_id,a)" in plan
 
 
-def test_time_filters_reach_the_scan_after_compaction(spark, store):
-    store.append(safe(spark, ROWS[:2]), ARRIVAL)
-    store.append(safe(spark, ROWS[2:]), ARRIVAL)
-    store.compact()
+def test_time_filters_reach_the_scan(spark, store):
+    store.append(safe(spark, ROWS[:2]), ARRIVAL, "1")
+    store.append(safe(spark, ROWS[2:]), ARRIVAL, "2")
     wanted = SessionFilter(started_after=utc("2026-01-02T10:30:00"))
     page = list_sessions(store.sessions(), wanted)
     plan = page._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(first.occurred_at" in plan and "Aggregate" not in plan
+    assert "GreaterThanOrEqual(started_at" in plan and "Aggregate" not in plan
     assert [row.session_id for row in page.collect()] == ["b"]
     by_model = list_sessions(store.sessions(), SessionFilter(model="m"), store.events())
     assert "EqualTo(model,m)" in by_model._jdf.queryExecution().executedPlan().toString()
@@ -154,7 +180,7 @@ def test_ingest_counts_in_the_same_pass(spark, store):
             ("6", "traces", '{"resourceSpans":[{}]}'),
         ],
     )
-    ingest_payloads(batch, store, SALT)
+    ingest_payloads(batch, store, SALT, "load")
     assert store.counters().first().asDict() == {"accepted_payloads": 4, "rejected_payloads": 2}
     assert [row.state for row in store.sessions().collect()] == ["completed"]
 
@@ -185,7 +211,7 @@ def test_stream_equals_batch_and_restarts(spark, store, tmp_path):
     land(3, 4)
     run()
     batch = EventStore.create(spark, str(tmp_path / "batch"), buckets=2)
-    ingest_payloads(spark.read.schema(PAYLOAD_SCHEMA).parquet(landing), batch, SALT)
+    ingest_payloads(spark.read.schema(PAYLOAD_SCHEMA).parquet(landing), batch, SALT, "load")
     assert by(store.sessions(), "session_id") == by(batch.sessions(), "session_id")
     assert store.sessions().count() == 4
     assert store.counters().collect() == batch.counters().collect()
