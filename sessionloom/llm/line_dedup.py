@@ -9,6 +9,10 @@ pairs are verified on the words.
 Rarity is counted over all words in a fixed number of hash buckets. That order is the same for all
 lines, which is all the join needs to be exact; it only decides how many pairs share a prefix word.
 Words are compared as 64-bit hashes, whose high bits are replaced by the rank of their bucket.
+
+Pairs are verified where they meet: each candidate pair keeps its rarest shared prefix word, and
+the words of a set are sent once to each such word, not once per pair. Sets that share a word with
+very many others are dealt to blocks, so that no task compares all of them.
 """
 
 from __future__ import annotations
@@ -25,12 +29,17 @@ PERCENT = 80
 BUCKET_BITS = 16
 # Document keys (about 40 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+# Sets with one prefix word that meet in one task; more are dealt to blocks of about this size.
+CROWD = 1_024
 # Sets smaller than this can only be similar to equal ones.
 LEAST_SIZE = 100 // (100 - PERCENT) - 1
 
 
-def rarity_ranks(texts: DataFrame) -> Column:
-    """The rank of every hash bucket by the number of words in it, as one constant array."""
+def rarity(texts: DataFrame) -> tuple[Column, int]:
+    """The rank of every hash bucket by the number of words in it, as one constant array.
+
+    Also returns the first rank whose bucket holds ``CROWD`` words.
+    """
     counted = (
         texts.select(F.explode(words(F.col("text"))).alias("word"))
         .groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("bucket"))
@@ -41,7 +50,12 @@ def rarity_ranks(texts: DataFrame) -> Column:
     ranks = [0] * len(counts)
     for rank, bucket in enumerate(sorted(counts, key=lambda at: (counts[at], at))):
         ranks[bucket] = rank
-    return F.from_json(F.lit(json.dumps(ranks)), "array<bigint>")
+    frequent = sum(count < CROWD for count in counts.values())
+    return F.from_json(F.lit(json.dumps(ranks)), "array<bigint>"), frequent
+
+
+def rarity_ranks(texts: DataFrame) -> Column:
+    return rarity(texts)[0]
 
 
 def token_ids(of_words: Column, ranks: Column) -> Column:
@@ -67,21 +81,21 @@ def _prefix_length(size: Column) -> Column:
 
 
 def _line_rows(source: DataFrame, ranks: Column) -> DataFrame:
-    """Rows (id, node, line, h1, h2, size, bits0, bits1, prefix) for lines with words, h1 and h2 of the set."""
+    """Rows (id, node, line, h1, h2, size, bits, prefix) for lines with words, h1 and h2 of the set."""
     lines = source.select("id", "node", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     split = evaluate_once(lines, {"line_words": words(F.col("body"))}).where(F.size("line_words") > 0)
     tokens = evaluate_once(
         split.select("id", "node", "line", "line_words"), {"tokens": token_ids(F.col("line_words"), ranks)}
     )
-    # Each word flips one bit of 128, so two bitmaps differ in at most as many bits as the sets in words.
-    one = lambda token: F.call_function("shiftleft", F.lit(1).cast("bigint"), token.bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda number: F.aggregate(
+    size = F.size("tokens")
+    joined = size >= LEAST_SIZE
+    # Each word flips one bit of 64, so two bitmaps differ in at most as many bits as the sets in words.
+    one = F.lit(1).cast("bigint")
+    bits = F.aggregate(
         "tokens",
         F.lit(0).cast("bigint"),
-        lambda bits, token: F.when(token.bitwiseAND(F.lit(64)) == number, bits.bitwiseXOR(one(token))).otherwise(bits),
+        lambda seen, token: seen.bitwiseXOR(F.call_function("shiftleft", one, token.bitwiseAND(F.lit(63)).cast("int"))),
     )
-    size = F.size("tokens")
-    joined = size >= LEAST_SIZE
     return tokens.select(
         "id",
         "node",
@@ -89,8 +103,7 @@ def _line_rows(source: DataFrame, ranks: Column) -> DataFrame:
         F.xxhash64("tokens").alias("h1"),
         F.xxhash64(F.lit(PERCENT), "tokens").alias("h2"),
         size.alias("size"),
-        F.when(joined, half(0)).otherwise(0).alias("bits0"),
-        F.when(joined, half(64)).otherwise(0).alias("bits1"),
+        F.when(joined, bits).alias("bits"),
         # The upper halves of the words are enough to meet; the filters and the words decide.
         F.when(
             joined,
@@ -102,58 +115,59 @@ def _line_rows(source: DataFrame, ranks: Column) -> DataFrame:
     )
 
 
-def _candidate_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set hashes that prefix, length, positional and bitmap filters admit."""
-    entries = sets.where("prefix is not null").select(
-        "h1", "size", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token")
-    )
+def _meetings(rows: DataFrame, crowded: DataFrame, admitted: Column) -> DataFrame:
+    """Pairs (l, r) of rows with one token and l's number the smaller, for which ``admitted`` holds.
+
+    ``crowded`` names tokens with many rows and a number of ``blocks`` for each: one side is dealt
+    to the blocks, the other goes to all of them.
+    """
+    joined = (F.col("l.token") == F.col("r.token")) & (F.col("l.number") < F.col("r.number")) & admitted
+    if crowded.isEmpty():
+        return rows.alias("l").join(rows.alias("r"), joined).select("l.token", F.col("l.number").alias("a"), F.col("r.number").alias("b"))
+    few = rows.join(crowded, "token", "left_anti")
+    many = rows.join(crowded, "token")
+    dealt = many.withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
+    everywhere = many.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = [
+        few.alias("l").join(few.alias("r"), joined),
+        dealt.alias("l").join(everywhere.alias("r"), joined & (F.col("l.block") == F.col("r.block"))),
+    ]
+    found = [pair.select("l.token", F.col("l.number").alias("a"), F.col("r.number").alias("b")) for pair in pairs]
+    return found[0].union(found[1])
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Tokens with more than ``CROWD`` rows and the number of blocks for them, as a written table."""
+    counted = rows.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > CROWD)
+    return written(counted.select("token", F.ceil(F.col("rows") / CROWD).cast("int").alias("blocks")), "crowded")
+
+
+def _candidate_pairs(sets: DataFrame, frequent: int) -> DataFrame:
+    """Pairs (a, b) of set numbers that prefix, length, positional and bitmap filters admit.
+
+    ``token`` is the rarest prefix word at which they meet.
+    """
+    entries = sets.where("prefix is not null").select("number", "size", "bits", F.posexplode("prefix").alias("pos", "token"))
     # Size and place in one number keep the shuffled rows small.
-    entries = entries.select("token", "h1", "bits0", "bits1", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR(F.col("pos")).alias("at"))
-    left, right = entries.alias("l"), entries.alias("r")
+    entries = entries.select("token", "number", "bits", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR(F.col("pos")).alias("at"))
+    # A word with many rows is in a bucket with many words, so only those are counted.
+    rank = F.shiftright("token", 32 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1))
+    crowded = _crowded(entries.where(rank >= frequent))
     sizes = [F.shiftright(f"{side}.at", 32) for side in "lr"]
     rests = [size - F.col(f"{side}.at").bitwiseAND(F.lit(0xFFFFFFFF)) for side, size in zip("lr", sizes)]
     small, large = F.least(*sizes), F.greatest(*sizes)
     need, rest = _needed_overlap(*sizes), F.least(*rests)
-    apart = sum(
-        (F.bit_count(F.col(f"l.{bits}").bitwiseXOR(F.col(f"r.{bits}"))) for bits in ("bits0", "bits1")), F.lit(0)
-    )
-    met = left.join(
-        right,
-        (F.col("l.token") == F.col("r.token"))
-        & (F.col("l.h1") < F.col("r.h1"))
-        & (small * 100 >= large * PERCENT)
-        & (rest >= need)
-        & (apart <= sizes[0] + sizes[1] - need * 2),
-    )
-    return met.select(F.col("l.h1").alias("a"), F.col("r.h1").alias("b")).distinct()
+    apart = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits")))
+    admitted = (small * 100 >= large * PERCENT) & (rest >= need) & (apart <= sizes[0] + sizes[1] - need * 2)
+    return _meetings(entries, crowded, admitted).groupBy("a", "b").agg(F.min("token").alias("token"))
 
 
-def similar_lines(source: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Line rows and, for sets with a similar other set, (h1, h2, links, earliest).
-
-    ``source`` has id, node (a hash of the text) and text. The place of a line is (id, null ids
-    last, node, line number), ``earliest`` the smallest place of a similar line.
-    """
-    ranks = rarity_ranks(source)
-    lines = written(_line_rows(source, ranks), "lines")
-    place = F.struct(F.col("id").isNull().alias("unknown"), "id", "node", "line")
-    sets = written(
-        lines.groupBy("h1", "h2").agg(
-            F.min(place).alias("place"),
-            F.first("size").alias("size"),
-            F.first("bits0").alias("bits0"),
-            F.first("bits1").alias("bits1"),
-            F.first("prefix").alias("prefix"),
-        ),
-        "sets",
-    )
-    pairs = written(_candidate_pairs(sets), "pairs")
-    # The words of one line of every set in a pair, read again from the documents that hold them.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    located = written(sets.join(wanted, "h1").select("h1", "h2", "place", "size"), "located")
+def _set_words(source: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (number, set): the words of the wanted sets, read again from a document that holds them."""
+    located = written(sets.join(wanted, "number").select("number", "place"), "located")
     per_document = located.groupBy(
         F.col("place.id").alias("of_id"), F.col("place.node").alias("of_node")
-    ).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "h1", "h2", "place")).alias("wanted"))
+    ).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "number")).alias("wanted"))
     if located.count() <= BROADCAST_ROWS:
         per_document = F.broadcast(per_document)
     holders = source.join(
@@ -162,31 +176,45 @@ def similar_lines(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     picked = holders.select(
         F.inline(
             F.transform(
-                "wanted",
-                lambda item: F.struct(
-                    item["h1"].alias("h1"), item["h2"].alias("h2"), item["place"].alias("place"),
-                    F.get("parts", item["line"]).alias("body"),
-                ),
+                "wanted", lambda item: F.struct(item["number"].alias("number"), F.get("parts", item["line"]).alias("body"))
             )
         )
     )
-    bodies = written(
-        picked.select("h1", "h2", "place", F.array_distinct(words(F.col("body"))).alias("set")).dropDuplicates(["h1", "h2"]),
-        "bodies",
+    # A repeated row of a document gives its lines again.
+    return picked.select("number", F.array_distinct(words(F.col("body"))).alias("set")).dropDuplicates(["number"])
+
+
+def similar_lines(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Line rows and, for every set, (h1, h2, links, first).
+
+    ``source`` has id, node (a hash of the text) and text. The place of a line is (id, null ids
+    last, node, line number), ``first`` the smallest place of the set and of sets similar to it.
+    """
+    ranks, frequent = rarity(source)
+    lines = written(_line_rows(source, ranks), "lines")
+    place = F.struct(F.col("id").isNull().alias("unknown"), "id", "node", "line")
+    grouped = lines.groupBy("h1", "h2").agg(
+        F.min(place).alias("place"),
+        F.first("size").alias("size"),
+        F.first("bits").alias("bits"),
+        F.first("prefix").alias("prefix"),
     )
-    left, right = bodies.alias("l"), bodies.alias("r")
-    joined = pairs.join(left, F.col("a") == F.col("l.h1")).join(right, F.col("b") == F.col("r.h1"))
+    sets = written(grouped.withColumn("number", F.monotonically_increasing_id()), "sets")
+    pairs = written(_candidate_pairs(sets, frequent), "pairs")
+    ends = F.explode(F.array("a", "b")).alias("number")
+    bodies = _set_words(source, sets, pairs.select(ends).distinct())
+    meeting = written(pairs.select("token", ends).distinct().join(bodies, "number"), "meeting")
     shared = F.size(F.array_intersect("l.set", "r.set"))
     total = F.size("l.set") + F.size("r.set")
-    links = joined.where(shared * (100 + PERCENT) >= total * PERCENT).select(
-        F.struct("l.h1", "l.h2", "l.place").alias("x"), F.struct("r.h1", "r.h2", "r.place").alias("y")
-    )
-    ends = links.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
-    found = ends.select("e.x.h1", "e.x.h2", F.col("e.y.place").alias("place")).groupBy("h1", "h2").agg(
+    similar = (shared * (100 + PERCENT) >= total * PERCENT)
+    links = _meetings(meeting, _crowded(meeting), similar).select("a", "b").distinct()
+    both = links.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))))
+    places = sets.select(F.col("number").alias("y"), "place")
+    found = both.join(places, "y").groupBy(F.col("x").alias("number")).agg(
         F.count("*").alias("links"), F.min("place").alias("earliest")
     )
-    own = sets.select("h1", "h2", "place")
-    return lines, own.join(found, ["h1", "h2"], "left").select(
+    own = sets.select("number", "h1", "h2", "place")
+    return lines, own.join(found, "number", "left").select(
         "h1", "h2", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.least("place", "earliest"), "place").alias("first")
     )
 
@@ -206,11 +234,16 @@ def removed_lines(frame: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     source = source.select("id", F.xxhash64("text").alias("node"), "text")
     lines, sets = similar_lines(source)
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "node", "line")
-    judged = lines.select("id", "node", "line", "h1", "h2").distinct().join(sets, ["h1", "h2"])
-    return judged.groupBy("id", "node").agg(
-        F.count("*").alias("lines"),
-        F.sum("links").alias("links"),
-        F.sort_array(F.collect_list(F.when(place > F.col("first"), F.col("line")))).alias("removed"),
+    judged = lines.select("id", "node", "line", "h1", "h2").join(sets, ["h1", "h2"])
+    # A set, since the lines of a repeated row come again.
+    line = F.struct("line", "links", (place > F.col("first")).alias("gone"))
+    per_document = judged.groupBy("id", "node").agg(F.sort_array(F.collect_set(line)).alias("judged"))
+    return per_document.select(
+        "id",
+        "node",
+        F.size("judged").alias("lines"),
+        F.aggregate("judged", F.lit(0).cast("bigint"), lambda total, line: total + line["links"]).alias("links"),
+        F.transform(F.filter("judged", lambda line: line["gone"]), lambda line: line["line"]).alias("removed"),
     )
 
 

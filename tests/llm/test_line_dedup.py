@@ -84,3 +84,35 @@ def test_order_is_rarity_with_most_buckets_in_use(spark):
     whole = spark.createDataFrame([(line,)], "line array<string>").select(token_ids(F.col("line"), ranks).alias("ids")).first().ids
     assert whole == sorted(row.token for row in one)
     assert max(one, key=lambda row: row.token).word == "often"
+
+
+def brute_links(rows):
+    """Other word sets that the lines of each (id, text) are linked to, summed over its lines."""
+    lines = {row: [frozenset(line.split()) for line in (row[1] or "").split("\n") if line.split()] for row in set(rows)}
+    every = {own for sets in lines.values() for own in sets}
+    similar = lambda a, b: a != b and len(a & b) * 180 >= (len(a) + len(b)) * 80
+    links = {own: sum(similar(own, other) for other in every) for own in every}
+    return {row: sum(links[own] for own in sets) for row, sets in lines.items()}
+
+
+def test_crowded_words_are_dealt_to_blocks(spark, monkeypatch):
+    """A word in all lines and prefix words of many similar lines meet block by block."""
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    draw = random.Random(3)
+    base = [f"x{at}" for at in range(12)]
+    data = [(at, " ".join(["all", *base[:11], f"y{draw.randrange(9)}"]) + "\nall " + " ".join(f"z{draw.randrange(40)}" for _ in range(5))) for at in range(40)]
+    data += rows()[:30]
+    want, links = brute(data), brute_links(data)
+    frame = spark.createDataFrame([(*row, "n", "k") for row in data], SCHEMA).repartition(3)
+    for row in dedup_lines(frame).collect():
+        key = (row.row.doc_id, row.row.text)
+        assert row.n_removed == len(want[key]) and row.links == links[key]
+    assert sum(links.values()) > 400
+
+
+def test_very_long_line_and_text(spark):
+    long = " ".join(f"w{at}" for at in range(20_000))
+    many = "\n".join(f"line {at} of a long text" for at in range(3_000))
+    data = [(1, long), (2, long + " more"), (3, many), (4, "line 7 of a long text")]
+    got = dedup_lines(spark.createDataFrame([(*row, "", "") for row in data], SCHEMA)).collect()
+    assert sorted((row.id, row.n_lines, row.n_removed) for row in got) == [(1, 1, 0), (2, 1, 1), (3, 3000, 0), (4, 1, 1)]
