@@ -188,71 +188,45 @@ def licence_passages(
     )
     # A bigram has one word more than its place says, a template of one word has none.
     wide = lambda one: F.when(F.get(one["pairs"], F.lit(0)).contains(" "), 1).otherwise(0)
-    own = lambda one: F.filter(
-        "hits", lambda at: F.array_contains(one["pairs"], F.when(wide(one) == 1, pair(at)).otherwise(word(at)))
+    every = F.sequence(F.lit(0), F.size("all_words") - 1)
+    # For every place the last one before it with the same bigram, -1 for none.
+    by_pair = F.array_sort(F.transform(every, lambda at: F.struct(pair(at).alias("pair"), at.alias("at"))))
+    found = evaluate_once(found.select("id", "body", "all_words", "near"), {"by_pair": by_pair})
+    same = lambda one, at: F.get(F.col("by_pair"), at - 1)["pair"].eqNullSafe(one["pair"])
+    before = F.transform(
+        "by_pair",
+        lambda one, at: F.struct(
+            one["at"].alias("at"), F.when(same(one, at), F.get(F.col("by_pair"), at - 1)["at"]).otherwise(-1).alias("last")
+        ),
     )
-    places = F.transform(
-        "near", lambda one: F.struct(one.alias("one"), wide(one).alias("wide"), own(one).alias("at"))
+    found = evaluate_once(found.select("id", "body", "all_words", "near", "by_pair"), {"before": F.array_sort(before)})
+    own = lambda one: F.transform(
+        every, lambda at: F.array_contains(one["pairs"], F.when(wide(one) == 1, pair(at)).otherwise(word(at)))
     )
-    found = evaluate_once(found.select("id", "body", "all_words", "hits", "near"), {"places": places})
-
-    def windows(place: Column) -> Column:
-        one = place["one"]
-
-        def starting(start: Column, number: Column) -> Column:
-            ends = F.filter(F.slice(place["at"], number + 1, one["high"]), lambda end: end - start < one["high"])
-            spans = F.transform(
-                ends,
-                lambda end, before: F.struct(
-                    one["template"].alias("template"), start.alias("start"), (end + place["wide"]).alias("end"),
-                    (before + 1).alias("hits"),
-                ),
-            )
-            return F.filter(spans, lambda span: span["hits"] >= one["low"])
-
-        return F.flatten(F.transform(place["at"], starting))
-
-    spans = F.flatten(F.transform("places", windows))
-    found = evaluate_once(found.select("id", "body", "all_words", "near", "places"), {"spans": spans})
-
-    def scored(span: Column) -> Column:
-        one = F.get(F.filter("near", lambda other: other["template"] == span["template"]), F.lit(0))
-        pairs = bigrams(F.slice("all_words", span["start"] + 1, span["end"] - span["start"] + 1))
-        return F.struct(
-            F.size(F.array_intersect(pairs, one["pairs"])).alias("shared"),
-            (F.size(pairs) + F.size(one["pairs"])).alias("total"),
-            one["licence"].alias("licence"), span.alias("span"),
-        )
-
+    places = F.transform("near", lambda one: F.struct(one.alias("one"), wide(one).alias("wide"), own(one).alias("own")))
     found = evaluate_once(
-        found.select("id", "body", "all_words", "near", "spans").where(F.size("spans") > 0),
-        {"scores": F.transform("spans", scored)},
+        found.select("id", "body", "all_words", "near", F.transform("before", lambda one: one["last"]).alias("last")),
+        {"places": places},
     )
+    spans = F.flatten(F.transform("places", lambda place: _windows(place, percent)))
+    found = evaluate_once(found.select("id", "body", "all_words", "last", "places"), {"spans": spans})
+    found = found.where(F.size("spans") > 0)
     ranked = F.transform(
-        F.filter("scores", lambda one: one["shared"] * 200 >= one["total"] * percent),
+        "spans",
         lambda one: F.struct(
             (-one["shared"] / one["total"]).alias("worse"), (-one["shared"]).alias("fewer"),
-            one["span"]["start"].alias("start"), one["span"]["end"].alias("end"),
-            one["span"]["template"].alias("template"), one["licence"].alias("licence"), one["total"].alias("total"),
+            one["start"].alias("start"), one["end"].alias("end"),
+            one["template"].alias("template"), one["licence"].alias("licence"), one["total"].alias("total"),
         ),
     )
-    found = evaluate_once(found.select("id", "body", "scores"), {"ranked": F.sort_array(ranked)}).where(
-        F.size("ranked") > 0
-    )
-    apart = lambda kept, one: ~F.exists(
-        kept,
-        lambda other: (other["licence"] == one["licence"])
-        & (other["start"] <= one["end"])
-        & (one["start"] <= other["end"]),
-    )
-    best = F.aggregate(
-        "ranked",
-        F.slice("ranked", F.lit(1), F.lit(0)),
-        lambda kept, one: F.when(apart(kept, one), F.concat(kept, F.array(one))).otherwise(kept),
+    found = evaluate_once(
+        found.select("id", "body", F.size("all_words").alias("n"), "spans"), {"ranked": F.sort_array(ranked)}
     )
+    licences = F.array_distinct(F.transform("ranked", lambda one: one["licence"]))
+    best = F.flatten(F.transform(licences, _best_apart))
     lines = F.split("body", "\n")
     found = evaluate_once(
-        found.select("id", "body", "ranked"),
+        found.select("id", "body", "n", "ranked"),
         {"best": best, "parts": F.transform(lines, lambda line: F.split(normalised(line), " "))},
     )
     numbers = F.flatten(
@@ -261,17 +235,31 @@ def licence_passages(
         )
     )
     found = evaluate_once(found.select("id", "best", "parts"), {"line_of": numbers})
-    found = found.select("id", "parts", "line_of", F.explode("best").alias("one"))
-    first, last = (F.get("line_of", F.col(f"one.{side}")) for side in ("start", "end"))
-    found = evaluate_once(found, {"place": F.struct(first.alias("first"), last.alias("last"))})
-    whole = evaluate_once(found, {"line_pairs": bigrams(F.get("parts", F.col("place.first")))})
-    told = F.exists(
-        listed,
-        lambda other: (other["licence"] == F.col("one.licence")) & _reaches(F.col("line_pairs"), other, percent),
+    line_of = lambda place: F.get(F.col("line_of"), place)
+    inside = F.filter("best", lambda one: line_of(one["start"]) == line_of(one["end"]))
+    held = F.array_distinct(F.transform(inside, lambda one: line_of(one["start"])))
+    # The licences that a line with a passage in it reaches as a whole; each such line is judged once.
+    cut = F.transform(
+        held, lambda line: F.struct(line.alias("line"), bigrams(F.get(F.col("parts"), line)).alias("pairs"))
     )
-    return whole.where((F.col("place.first") != F.col("place.last")) | ~told).select(
+    told = F.transform(
+        cut,
+        lambda line: F.struct(
+            line["line"].alias("line"),
+            F.transform(
+                F.filter(listed, lambda one: _reaches(line["pairs"], one, percent)), lambda one: one["licence"]
+            ).alias("licences"),
+        ),
+    )
+    found = evaluate_once(found.select("id", "best", "parts", "line_of"), {"told": told})
+    found = found.select("id", "line_of", "told", F.explode("best").alias("one"))
+    first, last = line_of(F.col("one.start")), line_of(F.col("one.end"))
+    left = F.exists(
+        "told", lambda line: (line["line"] == first) & F.array_contains(line["licences"], F.col("one.licence"))
+    )
+    return found.where((first != last) | ~left).select(
         "id",
-        (F.col("place.first") + 1).cast("bigint").alias("line"),
+        (first + 1).cast("bigint").alias("line"),
         F.col("one.template").alias("template"),
         F.col("one.licence").alias("licence"),
         (-F.col("one.fewer")).cast("bigint").alias("shared"),
@@ -279,6 +267,55 @@ def licence_passages(
     )
 
 
+def _windows(place: Column, percent: int) -> Column:
+    """The windows of one template that reach the threshold, with their shared and total bigrams.
+
+    From a start, the places that are the first with their bigram number the distinct bigrams of every
+    window, and those of them in the template the shared ones, so all ends are scored in one pass.
+    A window that ends with a bigram it holds before has the score of the shorter one at best and
+    is left out: it overlaps that one, and whatever overlaps that one.
+    """
+    one = place["one"]
+    reach = F.when(place["wide"] == 1, one["high"] - 1).otherwise(0)
+    limit = F.size("all_words") - 1 - place["wide"]
+
+    def starting(start: Column) -> Column:
+        firsts = F.filter(
+            F.sequence(start, F.least(start + reach, limit)), lambda at: F.get(F.col("last"), at) < start
+        )
+        numbered = F.transform(firsts, lambda at, number: F.struct(at.alias("at"), (number + 1).alias("distinct")))
+        mine = F.filter(numbered, lambda item: F.get(place["own"], item["at"]))
+        spans = F.transform(
+            mine,
+            lambda item, number: F.struct(
+                one["template"].alias("template"), one["licence"].alias("licence"), start.alias("start"),
+                (item["at"] + place["wide"]).alias("end"), (number + 1).alias("shared"),
+                (item["distinct"] + F.size(one["pairs"])).alias("total"),
+            ),
+        )
+        return F.filter(spans, lambda span: span["shared"] * 200 >= span["total"] * percent)
+
+    starts = F.filter(F.sequence(F.lit(0), limit), lambda at: F.get(place["own"], at))
+    return F.when(limit >= 0, F.flatten(F.transform(starts, starting)))
+
+
+def _best_apart(licence: Column) -> Column:
+    """Of the ranked windows of one licence, those that overlap no better one that is kept."""
+    own = F.filter("ranked", lambda one: one["licence"] == licence)
+    start = F.struct(
+        F.slice("ranked", F.lit(1), F.lit(0)).alias("kept"), F.array_repeat(F.lit(False), F.col("n")).alias("taken")
+    )
+
+    def step(state: Column, one: Column) -> Column:
+        overlaps = F.array_contains(F.slice(state["taken"], one["start"] + 1, one["end"] - one["start"] + 1), F.lit(True))
+        taken = F.transform(state["taken"], lambda used, at: used | at.between(one["start"], one["end"]))
+        return F.when(overlaps, state).otherwise(
+            F.struct(F.concat(state["kept"], F.array(one)).alias("kept"), taken.alias("taken"))
+        )
+
+    return F.aggregate(own, start, step, lambda state: state["kept"])
+
+
 def licence_notices(frame: DataFrame, **settings) -> DataFrame:
     """The rows of ``licence_lines`` and, for notices that no line holds as a whole, of ``licence_passages``."""
     return licence_lines(frame, **settings).unionByName(licence_passages(frame, **settings))

@@ -134,3 +134,17 @@ def test_passages_equal_brute_force(spark):
         want = sorted((at, *row) for at, text in enumerate(texts, 1) for row in brute(text, percent))
         got = notices(spark, list(enumerate(texts, 1)), licence_passages, templates=templates, percent=percent)
         assert got == want and len(want) > 50
+
+
+def test_very_long_texts_full_of_notices(spark):
+    """100 kB of wrapped notices, one after the other, and a line of as many words; each is found once."""
+    long = [text for _, text in TEMPLATES if len(text) > 200]
+    names = [name for name, text in TEMPLATES if len(text) > 200]
+    wrapped = "\n".join("\n".join(textwrap.wrap(long[at % 2], 70)) for at in range(280))
+    assert len(wrapped) > 90_000
+    filler = " ".join(f"word{at}" for at in range(20_000))
+    got = notices(spark, [(1, wrapped), (2, filler + " " + long[0] + " " + filler)])
+    whole = [row for row in got if row[0] == 1]
+    assert len(whole) == 280 and {row[2] for row in whole} == set(names[:2])
+    assert all(row[3] * 2 == row[4] for row in whole)
+    assert [(row[0], row[2]) for row in got if row[0] == 2] == [(2, names[0])]
