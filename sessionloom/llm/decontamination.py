@@ -25,6 +25,7 @@ BIN_BITS = 2
 # Items of fewer runs are met by all runs of the documents instead of their signatures.
 FEW_RUNS = 12
 # Rows of item signatures (about 40 bytes each) that may be broadcast; more are joined by a shuffle.
+# There is one for each distinct run of a distinct item, so they also bound the items' own runs.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -148,10 +149,11 @@ def contained_items(
             inside = _short_runs(documents, lengths).join(near(single), "value").select("node", "item")
             pairs = pairs.union(inside).distinct()
     candidates = written(pairs, "candidates")
+    # Repeated items are verified once; their ids are joined to what was found.
     of_items = evaluate_once(
-        queries.select("item_id", F.col("node").alias("item"), "text"), {"item_words": words(F.col("text"))}
+        queries.select(F.col("node").alias("item"), "text").distinct(), {"item_words": words(F.col("text"))}
     )
-    of_items = of_items.select("item_id", "item", "item_words", shingles(F.col("item_words")).alias("item_runs"))
+    of_items = of_items.select("item", "item_words", shingles(F.col("item_words")).alias("item_runs"))
     # Only candidate documents are cut into runs again; each with all its candidate items.
     of_documents = evaluate_once(documents.join(candidates, "node"), {"doc_words": words(F.col("text"))})
     both = of_documents.select("id", "node", "item", "doc_words").join(near(of_items), "item")
@@ -166,7 +168,7 @@ def contained_items(
         doc_runs = F.when(length < SHINGLE_WORDS, own).otherwise(doc_runs)
     both = evaluate_once(both, {"doc_runs": doc_runs})
     counted = evaluate_once(
-        both.select("id", "node", "item_id", "item_runs", "doc_runs"),
+        both.select("id", "node", "item", "item_runs", "doc_runs"),
         {
             "found": F.struct(
                 F.size("item_runs").cast("bigint").alias("item_runs"),
@@ -174,14 +176,29 @@ def contained_items(
             )
         },
     )
-    return counted.select("id", "item_id", "node", "found.*").where(
+    found = counted.select("id", "item", "node", "found.*").where(
         F.col("shared_runs") * 100 >= F.col("item_runs") * percent
     )
+    ids = queries.select("item_id", F.col("node").alias("item"))
+    return found.join(ids, "item").select("id", "item_id", "node", "item_runs", "shared_runs")
 
 
-def drop_contaminated(frame: DataFrame, items: DataFrame, *, text: str = "text", **names: str | bool) -> DataFrame:
-    """The rows whose text contains no item, with all columns."""
-    found = contained_items(frame, items, text=text, **names).select("node").distinct()
+def drop_contaminated(
+    frame: DataFrame,
+    items: DataFrame,
+    *,
+    text: str = "text",
+    item_text: str = "text",
+    least_words: int = 1,
+    **names: str | bool,
+) -> DataFrame:
+    """The rows whose text contains no item of ``least_words`` or more words, with all columns.
+
+    With ``short_inside`` a one-word item drops every document with that word; ``least_words`` keeps
+    such items out. Where they are, and in which documents, ``contained_items`` tells.
+    """
+    telling = items.where(F.size(words(F.col(f"`{item_text}`"))) >= least_words)
+    found = contained_items(frame, telling, text=text, item_text=item_text, **names).select("node").distinct()
     rows = frame.select(
         F.struct(*[f"`{name}`" for name in frame.columns]).alias("_row"),
         F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node"),
@@ -205,23 +222,25 @@ WITH texts AS (
 ), split AS (
   SELECT kind, row_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS parts FROM texts
 ), tokens AS (
-  SELECT kind, row_id, unnest(parts) AS w1, unnest(generate_series(1, len(parts))) AS pos
-  FROM split WHERE len(parts) >= 5
-), runs AS (
-  SELECT DISTINCT kind, row_id, run
-  FROM (
-    SELECT kind, row_id,
-           w1 || ' ' || lead(w1) OVER w || ' ' || lead(w1, 2) OVER w || ' ' || lead(w1, 3) OVER w || ' ' ||
-           lead(w1, 4) OVER w AS run
-    FROM tokens WINDOW w AS (PARTITION BY kind, row_id ORDER BY pos)
-  ) WHERE run IS NOT NULL
-  UNION ALL
-  SELECT kind, row_id, array_to_string(parts, ' ') FROM split WHERE len(parts) BETWEEN 1 AND 4
+  SELECT kind, row_id, unnest(parts) AS w1, unnest(generate_series(1, len(parts))) AS pos FROM split WHERE len(parts) >= 1
+), grams AS (
+  SELECT kind, row_id, w1, w1 || ' ' || lead(w1) OVER w AS g2,
+         w1 || ' ' || lead(w1) OVER w || ' ' || lead(w1, 2) OVER w AS g3,
+         w1 || ' ' || lead(w1) OVER w || ' ' || lead(w1, 2) OVER w || ' ' || lead(w1, 3) OVER w AS g4,
+         w1 || ' ' || lead(w1) OVER w || ' ' || lead(w1, 2) OVER w || ' ' || lead(w1, 3) OVER w || ' ' ||
+         lead(w1, 4) OVER w AS g5
+  FROM tokens WINDOW w AS (PARTITION BY kind, row_id ORDER BY pos)
 ), items AS (
-  SELECT row_id, run, count(*) OVER (PARTITION BY row_id) AS size FROM runs WHERE kind = 'item'
+  SELECT row_id, run, count(*) OVER (PARTITION BY row_id) AS size FROM (
+    SELECT DISTINCT row_id, g5 AS run FROM grams WHERE kind = 'item' AND g5 IS NOT NULL
+    UNION ALL SELECT row_id, array_to_string(parts, ' ') FROM split WHERE kind = 'item' AND len(parts) BETWEEN 1 AND 4)
+), runs AS (
+  -- An item of fewer than five words is one run of its own length.
+  SELECT row_id, unnest([w1, g2, g3, g4, g5]) AS run FROM grams WHERE kind = 'doc'
 ), met AS (
   SELECT d.row_id AS doc_row, i.row_id AS item_row, any_value(i.size) AS item_runs, count(*) AS shared_runs
-  FROM runs d JOIN items i ON d.run = i.run AND d.kind = 'doc' GROUP BY d.row_id, i.row_id
+  FROM (SELECT DISTINCT row_id, run FROM runs WHERE run IN (SELECT run FROM items)) d JOIN items i ON d.run = i.run
+  GROUP BY d.row_id, i.row_id
 )
 SELECT d.id AS doc_id, i.id AS item_id, CAST(met.item_runs AS BIGINT) AS item_runs,
        CAST(met.shared_runs AS BIGINT) AS shared_runs

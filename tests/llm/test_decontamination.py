@@ -112,3 +112,19 @@ def test_registered_query_finds_short_items(spark, tmp_path):
     spark.createDataFrame([(7, "two words", "")], ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
     got = decontamination.op7_containment(spark, str(tmp_path)).collect()
     assert [tuple(row) for row in got] == [(1, 7, 1, 1)]
+
+
+def test_items_below_the_least_words_drop_nothing(spark):
+    docs = ["plain words here", "the answer is here", "it is so", "so it is"]
+    frame = spark.createDataFrame([(at, text, "n", "i") for at, text in enumerate(docs)], DOCS)
+    benchmark = spark.createDataFrame([(1, "is", "d"), (2, "answer is here", "d"), (3, None, "d")], ITEMS)
+    kept = lambda least: {row.doc_id for row in drop_contaminated(frame, benchmark, short_inside=True, least_words=least).collect()}
+    assert (kept(1), kept(2), kept(4)) == ({0}, {0, 2, 3}, {0, 1, 2, 3})
+
+
+def test_repeated_items_are_reported_under_each_id(spark):
+    item = "a b c d e f g h"
+    frame = spark.createDataFrame([(1, f"x y {item} z", "n", "i")], DOCS)
+    benchmark = spark.createDataFrame([(at % 7, item, "d") for at in range(300)], ITEMS)
+    got = [row.item_id for row in contained_items(frame, benchmark).collect()]
+    assert len(got) == 300 and set(got) == set(range(7))
