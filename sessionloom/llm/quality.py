@@ -20,12 +20,26 @@ MAX_REPEATED_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
-# Frequent function words of English, German, French and Spanish.
+# Frequent function words of languages in the Latin script. The first lines are English,
+# German, French and Spanish, then Italian, Portuguese, Dutch, Swedish, Danish and Norwegian, Polish,
+# Czech, Finnish, Hungarian, Romanian, Turkish and Indonesian.
 STOP_WORDS = (
     "the be to of and that have with is in it for as "
     "der die und das von mit ist nicht den ein zu "
     "le la les de des et que un une en est pour "
-    "el los las y del se con por"
+    "el los las y del se con por "
+    "il di che per non sono della "
+    "os da do em para uma "
+    "het van een niet dat op "
+    "och att som det av "
+    "og er til ikke "
+    "na nie jest oraz "
+    "je se ne "
+    "ja on ei se "
+    "az egy hogy nem "
+    "si sa cu nu "
+    "ve bir bu ile "
+    "yang dan di dengan untuk"
 ).split()
 
 
@@ -43,7 +57,8 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 200, 1200),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 10),
-    Rule("stop_word_share", "n_stop_words", "n_words", 2, None),
+    # Only words with a basic Latin letter are judged: texts in other scripts have no stop words here.
+    Rule("stop_word_share", "n_stop_words", "n_latin_words", 2, None),
     Rule("duplicate_line_share", "n_dup_lines", "n_lines", None, 60),
 )
 
@@ -71,19 +86,24 @@ def quality_columns(frame: DataFrame, text: str = "text", rules: tuple[Rule, ...
 
     Counts (long): n_words; word_chars, code points in words; n_symbols; n_lines, lines with a
     word; n_dup_lines, those equal to an earlier one; n_repeat_words, words inside a run of three
-    words that occurs twice or more in the text; n_stop_words. ``base_failed`` is true below 50
+    words that occurs twice or more in the text; n_stop_words; n_latin_words, words with a letter of
+    A to Z in either case. ``base_failed`` is true below 50
     words or when more than half of the words are repeated. ``kept`` is false for those, else the
     verdict of the rules. A null or empty text has only zeros and fails. Other columns are kept;
     input columns with the names added here are replaced.
 
+    The stop-word rule asks for two of a hundred words with a basic Latin letter. A text in another
+    script is not judged by it; one in a Latin-script language that shares none of the listed words
+    is rejected.
+
     Repeated runs: windows of three words are hashed and sorted as whole numbers together with
     their place; only windows whose hash prefix occurs twice are compared as text, so the result is
     exact while the sort stays primitive.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
+    added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_latin_words"]
     keep = [f"`{name}`" for name in frame.columns if name not in (*added, "base_failed", "kept")]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    stops = [form for word in STOP_WORDS for form in (word, word.capitalize(), word.upper())]
+    stops = sorted({form for word in STOP_WORDS for form in (word, word.capitalize(), word.upper())})
     rows = frame.select(F.struct(*keep).alias("_row"), body.alias("_body"))
     rows = evaluate_once(
         rows,
@@ -106,6 +126,7 @@ def quality_columns(frame: DataFrame, text: str = "text", rules: tuple[Rule, ...
         {
             "_packed": F.when(fits, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")),
             "n_stop_words": F.size(F.filter("_words", lambda word: word.isin(stops))).cast("bigint"),
+            "n_latin_words": F.size(F.filter("_words", lambda word: word.rlike("[A-Za-z]"))).cast("bigint"),
             "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
             "n_lines": F.size("_lines").cast("bigint"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
@@ -149,10 +170,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         "n_lines",
         "n_stop_words",
+        "n_latin_words",
     )
 
 
-_STOPS_SQL = ", ".join(f"'{form}'" for word in STOP_WORDS for form in (word, word.capitalize(), word.upper()))
+_STOPS_SQL = ", ".join(sorted({f"'{form}'" for word in STOP_WORDS for form in (word, word.capitalize(), word.upper())}))
 
 QUALITY_SQL = rf"""
 WITH texts AS (
@@ -175,7 +197,8 @@ WITH texts AS (
 ), word_counts AS (
   SELECT row_id, count(*) AS n_words, sum(length(word)) AS word_chars,
          count(*) FILTER (WHERE inside) AS n_repeat_words,
-         count(*) FILTER (WHERE word IN ({_STOPS_SQL})) AS n_stop_words
+         count(*) FILTER (WHERE word IN ({_STOPS_SQL})) AS n_stop_words,
+         count(*) FILTER (WHERE regexp_matches(word, '[A-Za-z]')) AS n_latin_words
   FROM covered GROUP BY row_id
 ), lines AS (
   SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM texts
@@ -189,7 +212,8 @@ WITH texts AS (
          CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-         CAST(coalesce(n_stop_words, 0) AS BIGINT) AS n_stop_words
+         CAST(coalesce(n_stop_words, 0) AS BIGINT) AS n_stop_words,
+         CAST(coalesce(n_latin_words, 0) AS BIGINT) AS n_latin_words
   FROM texts LEFT JOIN word_counts USING (row_id) LEFT JOIN line_counts USING (row_id)
 ), judged AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM counts
@@ -197,7 +221,7 @@ WITH texts AS (
 SELECT *, NOT base_failed
   AND 100 * word_chars BETWEEN 200 * n_words AND 1200 * n_words
   AND 100 * n_symbols <= 10 * n_words
-  AND 100 * n_stop_words >= 2 * n_words
+  AND 100 * n_stop_words >= 2 * n_latin_words
   AND 100 * n_dup_lines <= 60 * n_lines AS kept
 FROM judged
 """

@@ -23,6 +23,7 @@ def counts(text):
         "n_lines": len(lines),
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": len(inside),
+        "n_latin_words": sum(bool(re.search("[A-Za-z]", token)) for token in tokens),
     }
 
 
@@ -72,3 +73,21 @@ def test_repeats_at_the_end(spark, words):
     text = "p q r s t " + " ".join("abcd"[:words]) + " k " + " ".join("abcd"[:words])
     row = quality_columns(spark.createDataFrame([(1, text, "", "")], SCHEMA)).first()
     assert row.n_repeat_words == counts(text)["n_repeat_words"]
+
+
+def test_stop_words_judge_texts_in_the_latin_script(spark):
+    """Texts in other scripts have no listed words and are left to the other rules."""
+    letters = {"ru": "привет мир как дела друг слово", "el": "καλημέρα κόσμε λόγος φίλος", "ar": "سلام عالم كلمة صديق"}
+    texts = {name: " ".join(f"{word}{at}" for at in range(15) for word in words.split()) for name, words in letters.items()}
+    texts["pl"] = " ".join(f"zupa{at} nie stoi{at} na stole{at}" for at in range(15))
+    texts["it"] = " ".join(f"pane{at} che non costa{at} di notte{at}" for at in range(15))
+    texts["letters"] = " ".join(f"xq{at} zr{at} kt{at} bn{at}" for at in range(15))
+    frame = spark.createDataFrame([(at, text, name, "") for at, (name, text) in enumerate(texts.items())], SCHEMA)
+    rows = quality_columns(frame.withColumnRenamed("kept", "name")).collect()
+    assert {row.name for row in rows if row.kept} == {"ru", "el", "ar", "pl", "it"}
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"the{number} of and word{number}" for number in range(50_000))
+    row = quality_columns(spark.createDataFrame([(1, text, "", "")], SCHEMA)).first()
+    assert row.n_words == 200_000 and row.kept and row.n_repeat_words == 0
