@@ -1,10 +1,15 @@
 """Mixing sources to target weights.
 
 Each source's words are packed, document after document, into blocks of a fixed number of words.
-Every output shard draws its number of slots per source from a multinomial distribution. The slots
-of a source are numbered through the shards and mapped to its blocks by a pseudorandom permutation
-of the block numbers, a new one for every pass over the source, and are joined with the blocks by
-that number.
+Every output shard draws how many of its slots each source gets from a multinomial distribution:
+each slot falls on a number below the sum of all sources' slots, and a source owns as many numbers
+as it has slots. What a source was drawn above its target, at pseudorandom places, goes to sources
+that were drawn too seldom, so every target is met and every shard keeps its size. The slots of a
+source are mapped to its blocks by a pseudorandom permutation of the block numbers, a new one for
+every pass over the source, and are joined with the blocks by that number.
+
+Sums over all sources or shards in order are partial per range of them; only the sums of the ranges
+meet in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.evaluate import evaluate_once
@@ -26,6 +31,8 @@ SHARD_SLOTS = 4096
 SEED = 17
 # Documents packed by one task; the packing of a larger source is divided.
 PACK_ROWS = 2_000
+# Shards whose counts are summed together when a source's slots are numbered.
+SHARD_RANGE = 1_024
 FEISTEL_ROUNDS = 4
 # Source rows (about 60 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
@@ -33,6 +40,30 @@ BROADCAST_SOURCES = 100_000
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
+def running_before(frame: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Add for each name the sum of its value over all rows before a row; ``order`` is a total order.
+
+    Rows are dealt to ranges of the order. Sums run within a range, and start from the sums of the
+    ranges before it; there is one such sum for each shuffle partition.
+    """
+    named = {f"_{name}": value for name, value in values.items()}
+    ranged = frame.withColumns(named).repartitionByRange(*order)
+    ranged = written(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_range").agg(*[F.sum(name).alias(name) for name in named])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = [F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_start{name}") for name in named]
+    known = F.broadcast(sums.select("_range", *starts))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.join(known, "_range").select(
+        *frame.columns,
+        *[
+            (F.col(f"_start{name}") + F.coalesce(F.sum(name).over(inside), F.lit(0))).alias(name[1:])
+            for name in named
+        ],
+    )
+    return summed
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
     """Add ``rank``, ``weight`` and ``target`` to sources (source, source_size); one row per source.
 
@@ -41,26 +72,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     weight among the others until none is above. That ends where all uncapped sources get the same
     amount per unit of weight, and the capped ones are those with the least size per weight.
     """
-    named = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.withColumn("rank", F.row_number().over(named) - 1)
-    listed = F.array(*[F.lit(float(weight)) for weight in weights])
-    weighted = ranked.withColumn("weight", F.get(listed, F.col("rank") % len(weights)))
-    limit = F.col("source_size") * float(most)
-    by_room = Window.orderBy(limit / F.col("weight"), "rank")
-    before, whole = by_room.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    exact = lambda value: value.cast("decimal(30,6)")
+    ranked = running_before(sizes, [F.col("source").isNull(), F.col("source")], {"rank": F.lit(1).cast("bigint")})
+    listed = F.array(*[F.lit(weight) for weight in weights])
+    weight = exact(F.get(listed, (F.col("rank") % len(weights)).cast("int")))
+    limit = exact(F.col("source_size") * F.lit(most))
+    weighted = ranked.withColumns({"rank": F.col("rank").cast("int"), "weight": weight, "limit": limit})
+    room = F.col("limit").cast("double") / F.col("weight").cast("double")
+    levelled = running_before(
+        weighted.withColumn("room", room),
+        [F.col("room"), F.col("rank")],
+        {"limit_before": F.col("limit"), "weight_before": F.col("weight")},
     )
-    levelled = weighted.withColumns({"_limit": limit, "_level": level})
-    capped = F.col("_limit") < F.col("_level") * F.col("weight")
-    common = F.min(F.when(~capped, F.struct("_position", "_level"))).over(whole)["_level"]
-    placed = levelled.withColumn("_position", F.row_number().over(by_room))
-    return placed.withColumn("_common", common).select(
+    levelled = written(levelled, "levels")
+    whole = levelled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left = F.lit(whole["size"] or 0).cast("double") - F.col("limit_before").cast("double")
+    level = left / (F.lit(whole["weight"] or 1).cast("double") - F.col("weight_before").cast("double"))
+    open_sources = levelled.withColumn("level", level).where(F.col("room") >= F.col("level"))
+    common = open_sources.agg(F.min_by("level", F.struct("room", "rank"))).first()[0]
+    share = F.lit(common).cast("double") * F.col("weight").cast("double")
+    return levelled.select(
         "source",
         "source_size",
         "rank",
-        "weight",
-        F.coalesce(F.least("_limit", F.col("_common") * F.col("weight")), F.lit(0.0)).alias("target"),
+        F.col("weight").cast("double").alias("weight"),
+        F.coalesce(F.least(F.col("limit").cast("double"), share), F.lit(0.0)).alias("target"),
     )
 
 
@@ -86,41 +122,87 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draw_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Multinomial counts of every source's slots over the shards; shards without slots get no row."""
-    for batch in batches:
-        for row in batch.itertuples():
-            generator = np.random.default_rng([SEED, int(row.rank)])
-            if row.slots < row.shards:
-                counts = np.bincount(generator.integers(0, row.shards, row.slots), minlength=row.shards)
-            else:
-                counts = generator.multinomial(row.slots, np.full(row.shards, 1.0 / row.shards))
-            shards = np.flatnonzero(counts)
-            first = np.cumsum(counts)[shards] - counts[shards]
-            same = {name: getattr(row, name) for name in ("rank", "blocks", "slots", "last_words", "cut")}
-            yield pd.DataFrame({"shard": shards, "first": first, "drawn": counts[shards], **same})
+def _shown(rank: int, slot: np.ndarray, row, block_words: int) -> pd.DataFrame:
+    """Block, pass and words of slots of one source; ``row`` has its blocks, slots, last_words and cut."""
+    turn, at = slot // row.blocks, slot % row.blocks
+    block = at.copy()
+    for one in np.unique(turn):
+        # The last, possibly short block ends every pass.
+        moved = (turn == one) & (at < row.blocks - 1)
+        block[moved] = permuted(at[moved], row.blocks - 1, (int(rank) << 8) + int(one) + SEED)
+    take = np.where(block == row.blocks - 1, row.last_words, block_words)
+    take[slot == row.slots - 1] = row.cut
+    return pd.DataFrame({"rank": rank, "block": block, "slot": slot, "pass": turn, "take": take})
+
+
+SLOT_SCHEMA = "rank int, block bigint, shard bigint, slot bigint, pass bigint, take bigint, unit bigint"
 
 
 def _expand_slots(block_words: int):
+    """Slots of each source and shard from its count; those above the source's target become units to give away."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                slot = np.arange(row.first, row.first + row.drawn)
-                turn, at = slot // row.blocks, slot % row.blocks
-                block = at.copy()
-                for one in np.unique(turn):
-                    # The last, possibly short block ends every pass.
-                    moved = (turn == one) & (at < row.blocks - 1)
-                    block[moved] = permuted(at[moved], row.blocks - 1, (int(row.rank) << 8) + int(one) + SEED)
-                take = np.where(block == row.blocks - 1, row.last_words, block_words)
-                take[slot == row.slots - 1] = row.cut
-                yield pd.DataFrame(
-                    {"rank": row.rank, "block": block, "shard": row.shard, "slot": slot, "pass": turn, "take": take}
-                )
+                number = permuted(np.arange(row.first, row.first + row.drawn), row.total_drawn, (int(row.rank) << 8) + 255 + SEED)
+                kept = number[number < row.slots]
+                yield _shown(row.rank, kept, row, block_words).assign(shard=row.shard, unit=pd.array([None] * len(kept), "Int64"))
+                unit = number[number >= row.slots] - row.slots + row.surplus_before
+                if len(unit):
+                    yield pd.DataFrame({"rank": row.rank, "shard": row.shard, "unit": unit}).reindex(
+                        columns=["rank", "block", "shard", "slot", "pass", "take", "unit"]
+                    ).astype({name: "Int64" for name in ("block", "slot", "pass", "take")})
 
     return run
 
 
+def _fill_slots(block_words: int):
+    """Slots for the units that sources drawn too seldom take over."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rank, rows in batch.groupby("rank"):
+                one = next(rows.itertuples())
+                shown = _shown(rank, rows["slot"].to_numpy(), one, block_words)
+                yield shown.assign(shard=rows["shard"].to_numpy(), unit=rows["unit"].to_numpy())
+
+    return run
+
+
+def drawn_counts(planned: DataFrame, total: int, shard_slots: int) -> DataFrame:
+    """Rows (shard, rank, drawn): multinomial counts of the sources over the slots of every shard.
+
+    ``planned`` has the number of ``slots`` of each source and of those ``before`` it. Each of the
+    shard's slots, all but the last shard's being ``shard_slots``, falls on a number below ``total``;
+    numbers meet the sources that own them in buckets, of which there are more than sources.
+    """
+    sources = planned.count()
+    width = max(1, total // max(4_096, 4 * sources))
+    owned = planned.where("slots > 0").select(
+        "rank",
+        F.col("before").alias("low"),
+        (F.col("before") + F.col("slots")).alias("high"),
+        F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("before") + F.col("slots") - 1) / width))).alias("bucket"),
+    )
+    fallen = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(1, total)))
+    draws = planned.sparkSession.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), fallen.alias("on"))
+    draws = draws.withColumn("bucket", F.floor(F.col("on") / width))
+    met = draws.join(owned, "bucket").where((F.col("on") >= F.col("low")) & (F.col("on") < F.col("high")))
+    return met.groupBy("shard", "rank").agg(F.count("*").alias("drawn"))
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """Add ``first``, the source's slots in the shards before; ranges of shards are summed first."""
+    ranged = counts.withColumn("range", F.floor(F.col("shard") / SHARD_RANGE))
+    before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("rank", "range").agg(F.sum("drawn").alias("sum"))
+    starts = sums.select("rank", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("rank", "range").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("first", F.coalesce(F.sum("drawn").over(inside), F.lit(0)))
+    joined = within.join(starts, ["rank", "range"])
+    return joined.select("rank", "shard", "drawn", (F.col("first") + F.col("start")).alias("first"))
+
+
 def _slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
     """Rows (rank, block, shard, slot, pass, take): which block each slot of a source shows.
 
@@ -140,17 +222,35 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
         last_words.alias("last_words"),
         F.when(rest > 0, rest - (extra - 1) * block_words).otherwise(last_words).alias("cut"),
     )
-    whole_mix = planned.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / shard_slots)).cast("bigint").alias("shards"))
-    drawn = planned.withColumn("shards", F.lit(whole_mix.first()[0] or 1)).where("slots > 0").mapInPandas(
-        _draw_counts,
-        "shard bigint, first bigint, drawn bigint, rank int, blocks bigint, slots bigint, last_words bigint, cut bigint",
+    planned = written(running_before(planned, [F.col("rank")], {"before": F.col("slots")}), "planned")
+    total = planned.agg(F.sum("slots")).first()[0] or 0
+    counts = written(drawn_counts(planned, total, shard_slots), "drawn")
+    drawn = counts.groupBy("rank").agg(F.sum("drawn").alias("total_drawn"))
+    settled = planned.drop("before").join(drawn, "rank", "left")
+    settled = settled.withColumn("total_drawn", F.coalesce("total_drawn", F.lit(0)))
+    over = F.col("total_drawn") - F.col("slots")
+    settled = written(
+        running_before(
+            settled,
+            [F.col("rank")],
+            {"surplus_before": F.greatest(over, F.lit(0)), "missing_before": F.greatest(-over, F.lit(0))},
+        ),
+        "settled",
     )
-    return (
-        drawn.repartition("shard", "rank")
-        .mapInPandas(
-            _expand_slots(block_words), "rank int, block bigint, shard bigint, slot bigint, pass bigint, take bigint"
-        )
+    own = ["blocks", "slots", "last_words", "cut"]
+    expanded = _numbered(counts).join(settled, "rank").select(
+        "rank", "shard", "drawn", "first", "total_drawn", "surplus_before", *own
+    )
+    expanded = written(expanded.repartition("shard", "rank").mapInPandas(_expand_slots(block_words), SLOT_SCHEMA), "slots")
+    missing = settled.where("total_drawn < slots").select(
+        "rank", *own, "total_drawn", "missing_before", F.explode(F.sequence(F.lit(0), F.col("slots") - F.col("total_drawn") - 1)).alias("nth")
+    )
+    missing = missing.select(
+        "rank", *own, (F.col("total_drawn") + F.col("nth")).alias("slot"), (F.col("missing_before") + F.col("nth")).alias("unit")
     )
+    given = expanded.where("unit is not null").select("unit", "shard")
+    filled = missing.join(given, "unit").mapInPandas(_fill_slots(block_words), SLOT_SCHEMA)
+    return expanded.where("unit is null").unionByName(filled).drop("unit")
 
 
 def mix_documents(

@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
 
-from sessionloom.llm.mixing import mix_documents, permuted, source_targets
+from pyspark.sql import functions as F
+
+from sessionloom.llm import mixing
+from sessionloom.llm.mixing import drawn_counts, mix_documents, permuted, running_before, source_targets
 
 SCHEMA = "doc_id bigint, text string, source string, rank int, start string"
 
@@ -84,3 +87,58 @@ def test_mix(spark):
 def test_empty_table(spark):
     placed, mixed = mix_documents(spark.createDataFrame([], SCHEMA))
     assert placed.count() == 0 and mixed.count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    frame = spark.range(500).select((F.col("id") * 7919 % 503).alias("key")).repartition(5)
+    got = running_before(frame, [F.col("key")], {"before": F.col("key"), "rank": F.lit(1)}).orderBy("key").collect()
+    keys = [row.key for row in got]
+    assert keys == sorted(keys) and [row["rank"] for row in got] == list(range(500))
+    assert [row.before for row in got] == [sum(keys[:at]) for at in range(500)]
+
+
+def test_every_shard_draws_its_own_counts(spark):
+    """Counts per shard add up to its size and scatter around the shares as multinomial counts do."""
+    slots = [4000, 900, 60, 0, 40]
+    planned = [(at, own, sum(slots[:at])) for at, own in enumerate(slots)]
+    frame = spark.createDataFrame(planned, "rank int, slots bigint, before bigint")
+    rows = drawn_counts(frame, sum(slots), 128).collect()
+    table = np.zeros((-(-5000 // 128), 5))
+    for row in rows:
+        table[row.shard, row["rank"]] = row.drawn
+    assert list(table.sum(axis=1)) == [128] * 39 + [8] and table[:, 3].sum() == 0
+    share = np.array(slots) / 5000
+    spread = table[:39].std(axis=0)[:2] / np.sqrt(128 * share * (1 - share))[:2]
+    assert (abs(table[:39].mean(axis=0) - 128 * share) < 4).all() and ((0.7 < spread) & (spread < 1.3)).all()
+    assert len({tuple(row) for row in table[:39]}) > 30
+
+
+def test_shards_are_full_and_slots_are_shown_once(spark):
+    frame = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    pieces = mix_documents(frame, block_words=16, shard_slots=64)[1].collect()
+    slots = {(piece.rank, piece.slot): piece.shard for piece in pieces}
+    sizes = np.bincount(list(slots.values()))
+    assert set(sizes[:-1]) == {64} and 0 < sizes[-1] <= 64
+    for rank in {rank for rank, _ in slots}:
+        own = sorted(slot for of, slot in slots if of == rank)
+        assert own == list(range(len(own)))
+    places = [(piece.rank, piece.start, piece["pass"], piece.first_word) for piece in pieces]
+    assert len(places) == len(set(places))
+
+
+def test_many_sources(spark):
+    """More sources than slots of a shard; each source's words come to its target."""
+    data = [(at, " ".join(["w"] * (1 + at % 7)), f"s{at:04}", 0, "") for at in range(700)]
+    placed, mixed = mix_documents(spark.createDataFrame(data, SCHEMA), block_words=4, shard_slots=16)
+    taken = {row["rank"]: row.n for row in mixed.groupBy("rank").agg(F.sum("n_words").alias("n")).collect()}
+    for row in placed.collect():
+        assert abs(taken.get(row["rank"], 0) - row.target) <= 1
+
+
+def test_very_long_text(spark):
+    data = [(1, "long " * 60_000, "a", 0, ""), (2, "short text", "b", 0, "")]
+    placed, mixed = mix_documents(spark.createDataFrame(data, SCHEMA))
+    taken = {row.id: row.n for row in mixed.groupBy("id").agg(F.sum("n_words").alias("n")).collect()}
+    target = {row.id: row.target for row in placed.collect()}
+    assert abs(taken[1] - target[1]) <= 1 and taken[2] == 6
+    assert mixing.MOST_PASSES == 3
