@@ -1,6 +1,7 @@
 """WARC archives by way of a chunked record table.
 
-A payload becomes rows (record_id, chunk, body) of bounded size; every row is written as one WARC
+A payload becomes rows (record_no, chunk, part) of bounded size, cut one after the other from the value
+that the table holds and passed on in batches of bounded size; every row is written as one WARC
 record, the first as ``response``, the following ones as ``continuation`` segments with
 WARC-Segment-Number and WARC-Segment-Origin-ID, the last of several with WARC-Segment-Total-Length.
 A payload that equals an earlier one is written as ``revisit`` without a body. Reading cuts archives
@@ -24,6 +25,8 @@ from sessionloom.llm.text import written
 from sessionloom.session import work_dir
 
 CHUNK_BYTES = 1 << 20
+# Bytes of chunks that a task puts into one batch of rows.
+BATCH_BYTES = 4 << 20
 REVISIT_BYTES = 100
 # Revisits (about 40 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -115,21 +118,30 @@ def chunk_table(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
         for batch in batches:
             heads = batch.drop_columns(["body"])
             roles, bodies = batch.column("role").to_pylist(), batch.column("body")
-            rows, numbers, counts, parts = [], [], [], []
+            rows: list[tuple[int, int, int, bytes]] = []
+            held = 0
+
+            def made() -> pa.RecordBatch:
+                at, numbers, counts, parts = zip(*rows)
+                chunked = heads.take(pa.array(at, pa.int32()))
+                columns = [pa.array(numbers, pa.int32()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())]
+                return pa.RecordBatch.from_arrays(
+                    [*chunked.columns, *columns], [*chunked.schema.names, "chunk", "chunks", "part"]
+                )
+
             for at, role in enumerate(roles):
                 body = memoryview(bodies[at].as_buffer() or b"") if role == "response" else memoryview(b"")
                 ends, start = _cuts(body, chunk_bytes), 0
                 for number, end in enumerate(ends, 1):
-                    rows.append(at)
-                    numbers.append(number)
-                    counts.append(len(ends))
-                    parts.append(bytes(body[start:end]))
+                    # A batch of rows that is full goes on before the next chunk is cut.
+                    if rows and held + end - start > BATCH_BYTES:
+                        yield made()
+                        rows, held = [], 0
+                    rows.append((at, number, len(ends), bytes(body[start:end])))
+                    held += end - start
                     start = end
-            chunked = heads.take(pa.array(rows, pa.int32()))
-            columns = [pa.array(numbers, pa.int32()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [*chunked.columns, *columns], [*chunked.schema.names, "chunk", "chunks", "part"]
-            )
+            if rows:
+                yield made()
 
     columns = [field.split()[0] for field in CHUNK_SCHEMA.split(", ")]
     ordered = [name for name in columns if name not in ("chunk", "chunks", "part")]

@@ -2,9 +2,11 @@ import gzip
 import hashlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom.llm import warc
 from sessionloom.llm.warc import VERSION, read_payload_digests, read_records, write_warc
 
 SCHEMA = "page_id bigint, url string, html string, record_no int, chunk string"
@@ -67,3 +69,29 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "archives")
     write_warc(spark.createDataFrame([], SCHEMA), path)
     assert read_payload_digests(spark, path).count() == 0
+
+
+def test_chunk_rows_come_in_bounded_batches(spark, monkeypatch):
+    """Batches of chunk rows stay below the bound, whatever the payloads; the rows are the same."""
+    bodies = [b"x" * 5_000, b"", b"y" * 10, b"z" * 12_345] * 3
+    schema = "record_no bigint, page_id bigint, url string, role string, refers_no bigint, refers_to bigint, payload_bytes bigint, payload_digest string, body binary"
+    rows = [(at, at, "u", "response", None, None, len(body), "d", bytearray(body)) for at, body in enumerate(bodies)]
+    seen = []
+    frame = spark.createDataFrame(rows, schema).coalesce(1)
+
+    class Table:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            seen.extend(run(iter(frame.toArrow().combine_chunks().to_batches())))
+            return seen
+
+    monkeypatch.setattr(warc, "BATCH_BYTES", 4_000)
+    warc.chunk_table(Table(), chunk_bytes=1_000)
+    assert max(sum(len(part.as_py()) for part in batch.column("part")) for batch in seen) <= 4_000
+    joined = {}
+    for batch in seen:
+        for row in batch.to_pylist():
+            joined[row["record_no"]] = joined.get(row["record_no"], b"") + row["part"]
+    assert [joined[at] for at in range(len(bodies))] == bodies
