@@ -17,6 +17,9 @@ from sessionloom.llm.quality import quality_columns
 from sessionloom.llm.sharding import shard_by_bytes
 from sessionloom.llm.text import documents_table, written
 
+# A benchmark item of one or two words would drop every document in which they stand.
+LEAST_ITEM_WORDS = 3
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -29,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_inside=True)
+    """Documents without benchmark items of at least ``LEAST_ITEM_WORDS`` words."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return drop_contaminated(docs, benchmark, short_inside=True, least_words=LEAST_ITEM_WORDS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
