@@ -1,6 +1,6 @@
-"""The two recursive helpers: built-in functions cannot walk JSON of unbounded depth.
+"""The recursive helpers: built-in functions cannot walk JSON of unbounded depth.
 
-Both run as Arrow-batched functions on one JSON text per row. Nested higher-order expressions
+They run as Arrow-batched functions on one JSON text per row. Nested higher-order expressions
 up to a fixed depth were measured as the alternative: two to eight times slower per row,
 seconds of planning per query, and inexact below the depth they were built for.
 """
@@ -13,7 +13,9 @@ import json
 import sys
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +39,12 @@ REDACTED = "[REDACTED]"
 SANITISED_TYPE = (
     T.StructType().add("value", T.StringType()).add("provenance", PROVENANCE_TYPE)
 )
+PATHS_TYPE = T.ArrayType(
+    T.StructType()
+    .add("path", T.StringType())
+    .add("action", T.StringType())
+    .add("reason", T.StringType())
+)
 FIELDS_TYPE = T.ArrayType(
     T.StructType()
     .add("path", T.StringType())
@@ -90,12 +98,13 @@ def _hash_text(value: object) -> str:
     return "<nil>" if value is None else _dump(value)
 
 
-def _list_of_structs(rows: list[list[tuple]], names: list[str]) -> pa.Array:
+def _list_of_structs(rows: list[list[tuple]], names: list[str], numbers: tuple[str, ...] = ()) -> pa.Array:
     offsets = [0]
     for row in rows:
         offsets.append(offsets[-1] + len(row))
     flat = [entry for row in rows for entry in row]
-    columns = [pa.array([entry[at] for entry in flat], pa.string()) for at in range(len(names))]
+    types = [pa.int32() if name in numbers else pa.string() for name in names]
+    columns = [pa.array([entry[at] for entry in flat], kind) for at, kind in enumerate(types)]
     return pa.ListArray.from_arrays(
         pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names)
     )
@@ -104,8 +113,9 @@ def _list_of_structs(rows: list[list[tuple]], names: list[str]) -> pa.Array:
 def sanitiser(salt: bytes) -> Callable[[Column, Column], Column]:
     """Function of (JSON text, path prefix) giving the safe JSON and its provenance.
 
-    Provenance is listed depth first over sorted keys. The salt travels only inside the
-    serialised function, never in the query plan.
+    Provenance is listed depth first over sorted keys, each entry by its step from the entry of the
+    object around it, so that deep objects do not repeat their whole path in every entry. The salt
+    travels only inside the serialised function, never in the query plan.
     """
     check_salt(salt)
 
@@ -124,29 +134,36 @@ def sanitiser(salt: bytes) -> Callable[[Column, Column], Column]:
         digest = hmac.new(salt, _hash_text(value).encode("utf-8", "surrogatepass"), hashlib.sha256)
         return "hmac-sha256:" + digest.hexdigest()
 
-    def clean(value: object, path: str, rows: list[tuple]) -> object:
+    def clean(value: object, around: int, lead: str, rows: list[tuple]) -> object:
+        """``around`` is the entry of the object that holds the value, ``lead`` the path from there on.
+
+        ``lead`` is None below an entry with an empty path.
+        """
         if isinstance(value, list):
-            return [clean(item, f"{path}[{at}]", rows) for at, item in enumerate(value)]
+            return [clean(item, around, f"{lead or ''}[{at}]", rows) for at, item in enumerate(value)]
         if not isinstance(value, dict):
             return value
         safe = {}
         for key in sorted(value):
-            here = _child_path(path, key)
+            step = key if lead is None else f"{lead}.{key}"
+            up = 0 if around < 0 else len(rows) - around
             # In an attribute pair the name under "key" decides about "value".
             pair = value.get("key") if key == "value" else None
             named = isinstance(pair, str) and pair != ""
             name = pair if named else key
             action = action_of(name)
             if action == "retained":
-                rows.append((here, action, "operational_metadata"))
-                safe[key] = clean(value[key], here, rows)
+                # A step without text only ever begins at the top, so its path is empty too.
+                inside = len(rows) if step else -1
+                rows.append((up, step, action, "operational_metadata"))
+                safe[key] = clean(value[key], inside, "" if step else None, rows)
             elif action == "removed":
-                rows.append((f"{here}.attribute_value" if named else here, action, removal_reason(name)))
+                rows.append((up, f"{step}.attribute_value" if named else step, action, removal_reason(name)))
                 if named:
                     safe[key] = {}
             else:
                 text = keyed_hash(value[key]) if action == "hashed" else REDACTED
-                rows.append((here, action, "file_path" if action == "hashed" else "command_arguments"))
+                rows.append((up, step, action, "file_path" if action == "hashed" else "command_arguments"))
                 safe[key] = {"stringValue": text} if named else text
         return safe
 
@@ -156,16 +173,36 @@ def sanitiser(salt: bytes) -> Callable[[Column, Column], Column]:
         values, provenance = [], []
         for text, prefix in zip(texts.to_pylist(), prefixes.to_pylist()):
             rows: list[tuple] = []
-            values.append(None if text is None else _dump(clean(json.loads(text), prefix, rows)))
+            values.append(None if text is None else _dump(clean(json.loads(text), -1, prefix or None, rows)))
             provenance.append(rows)
         return pa.StructArray.from_arrays(
-            [pa.array(values, pa.string()), _list_of_structs(provenance, ["path", "action", "reason"])],
+            [pa.array(values, pa.string()), _list_of_structs(provenance, ["up", "step", "action", "reason"], ("up",))],
             ["value", "provenance"],
         )
 
     return sanitise
 
 
+@F.arrow_udf(PATHS_TYPE)
+def provenance_paths(entries: pa.Array) -> pa.Array:
+    """Provenance with whole paths, put together level by level over a batch of lists."""
+    offsets = pa.concat_arrays([pa.array([0]), pc.cumulative_sum(pc.fill_null(pc.list_value_length(entries), 0)).cast("int64")])
+    flat = entries.flatten()
+    up = flat.field("up").to_numpy()
+    paths = flat.field("step").to_numpy(zero_copy_only=False)
+    around = np.arange(len(up)) - up
+    done = up == 0
+    while not done.all():
+        ready = np.flatnonzero(~done)
+        ready = ready[done[around[ready]]]
+        paths[ready] = paths[around[ready]] + paths[ready]
+        done[ready] = True
+    columns = [pa.array(paths, pa.string()), flat.field("action"), flat.field("reason")]
+    return pa.ListArray.from_arrays(
+        offsets.cast("int32"), pa.StructArray.from_arrays(columns, ["path", "action", "reason"])
+    )
+
+
 def _fields(value: object, path: str, name: str | None, rows: list[tuple]) -> None:
     rows.append((path, name, value if isinstance(value, str) else None))
     if isinstance(value, dict):

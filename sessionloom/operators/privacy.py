@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.json_walk import sanitiser
+from sessionloom.functions.json_walk import provenance_paths, sanitiser
 from sessionloom.schemas import EVENT_SCHEMA
 
 # The envelope of a canonical event in key order. All its names are retained.
@@ -54,7 +54,8 @@ def sanitise_events(events: DataFrame, salt: bytes) -> DataFrame:
     for name in ENVELOPE_FIELDS:
         run.append(
             F.struct(
-                F.lit(name).alias("path"),
+                F.lit(0).alias("up"),
+                F.lit(name).alias("step"),
                 F.lit("retained").alias("action"),
                 F.lit("operational_metadata").alias("reason"),
             )
@@ -70,7 +71,8 @@ def sanitise_events(events: DataFrame, salt: bytes) -> DataFrame:
 
 
 def provenance_rows(sanitised: DataFrame, *keys: str) -> DataFrame:
-    """One row per provenance entry with its position, next to the key columns."""
-    return sanitised.select(*keys, F.posexplode("provenance").alias("ord", "entry")).select(
+    """One row per provenance entry with its position and whole path, next to the key columns."""
+    paths = provenance_paths("provenance")
+    return sanitised.select(*keys, paths.alias("_paths")).select(*keys, F.posexplode("_paths").alias("ord", "entry")).select(
         *keys, "ord", "entry.path", "entry.action", "entry.reason"
     )

@@ -21,8 +21,9 @@ from sessionloom.schemas import MAX_PAYLOAD_BYTES
 QUERY_SALT = bytes(range(32))
 
 PAYLOAD_KINDS = 12
-DOCUMENT_KINDS = 11
+DOCUMENT_KINDS = 20
 CONTRACT_KINDS = 8
+SETTINGS_KINDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,8 +203,8 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOCUMENT = (
-    '{"fixture_version":1,"fixture_origin":"synthetic","provider":"<provider>","tool":"codex",<version>'
-    '"captured_at":"<captured>","sanitisation_reviewed":true,"payload":{<payload>}}'
+    '{"fixture_version":<number>,"fixture_origin":"<origin>","provider":"<provider>","tool":"<tool>",<version>'
+    '"captured_at":"<captured>","sanitisation_reviewed":<reviewed>,"payload":<payload>}'
 )
 ONE_SPAN = (
     '"resourceSpans":[{"scopeSpans":[{"spans":[{"name":"span.<event_type>","traceId":"t<user_id>",'
@@ -233,16 +234,24 @@ def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, '"resourceSpans":[{"scopeSpans":[{"spans":[]}]}]')
         .when(kind == 7, F.concat(fill(ONE_SPAN, **values), F.lit(',"notes":[{"Source-Code":1}]')))
         .when(kind == 8, F.concat(fill(ONE_SPAN, **values), F.lit(',"note":"bearer abcdefghijkl.0"')))
+        # Two faults; the first one in the order of keys counts.
+        .when(kind == 17, F.concat(fill(ONE_SPAN, **values), F.lit(',"c":{"token":1},"b":[{"x":"sk-abcdefghijklmnop"}]')))
         .otherwise(fill(ONE_SPAN, **values))
     )
     body = fill(
         DOCUMENT,
-        provider=F.when(kind == 3, "other").otherwise("openai"),
-        version=F.when(kind == 2, "").otherwise(fill('"tool_version":"v<k>",', k=F.col("k"))),
+        number=F.when(kind == 11, "2").otherwise("1"),
+        origin=F.when(kind == 12, "live").otherwise("synthetic"),
+        provider=F.when(kind == 3, "other").when(kind == 13, "  ").otherwise("openai"),
+        tool=F.when(kind == 14, "other").when(kind == 18, "").otherwise("codex"),
+        version=F.when(kind == 2, "")
+        .when(kind == 19, '"tool_version":" ",')
+        .otherwise(fill('"tool_version":"v<k>",', k=F.col("k"))),
+        reviewed=F.when(kind == 15, "false").otherwise("true"),
         captured=F.when(kind == 10, F.lit("2024-01-01 00:00:00")).otherwise(
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
         ),
-        payload=payload,
+        payload=F.when(kind == 16, "[]").otherwise(F.concat(F.lit("{"), payload, F.lit("}"))),
     )
     return rows.select(
         F.concat(F.lit("d-"), F.col("event_id").cast("string")).alias("document_id"),
@@ -259,10 +268,10 @@ EVENT_DOCUMENT = (
     '"attributes":<attributes>,"provider_extensions":{"vendor":{"shard":4}}<extra>}'
 )
 SETTINGS_DOCUMENT = (
-    '{"schema_version":"0.1.0","mode":"<mode>","collection":{"level":"<level>","prompts":<prompts>,'
-    '"responses":false,"source_code":false,"file_paths":"<paths>","command_arguments":"redact",'
-    '"tool_calls":true,"model_usage":true},"storage":{"destination":"local","retention_days":<days>},'
-    '"sharing":{"diagnostics":false,"anonymous_analytics":<anonymous>,"research_sessions":"explicit-only"<extra>}}'
+    '{"schema_version":"<schema>","mode":"<mode>","collection":{"level":"<level>","prompts":<prompts>,'
+    '"responses":<responses>,"source_code":<source>,"file_paths":"<paths>","command_arguments":"<arguments>",'
+    '"tool_calls":true,"model_usage":true},"storage":{"destination":"<destination>","retention_days":<days>},'
+    '"sharing":{"diagnostics":<diagnostics>,"anonymous_analytics":<anonymous>,"research_sessions":"<research>"<extra>}}'
 )
 POLICY_DOCUMENT = (
     '{"schema_version":"0.1.0","policy_id":"<policy>","policy_version":"1.<k>.0","outcome":"<outcome>",'
@@ -272,7 +281,8 @@ POLICY_DOCUMENT = (
 
 def contract_documents(spark: SparkSession, sf_dir: str, contract: str) -> DataFrame:
     """One event, settings or policy document per row with planted contract faults."""
-    rows = source_events(spread(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % CONTRACT_KINDS)
+    kinds = SETTINGS_KINDS if contract == "settings" else CONTRACT_KINDS
+    rows = source_events(spread(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % kinds)
     kind = F.col("kind")
 
     def either(number: int, faulty: str, sound: str) -> Column:
@@ -295,6 +305,13 @@ def contract_documents(spark: SparkSession, sf_dir: str, contract: str) -> DataF
     elif contract == "settings":
         body = fill(
             SETTINGS_DOCUMENT,
+            schema=either(8, "0.2.0", "0.1.0"),
+            responses=either(9, "true", "false"),
+            source=either(10, "true", "false"),
+            arguments=either(11, "keep", "redact"),
+            destination=either(12, "remote", "local"),
+            diagnostics=either(13, "true", "false"),
+            research=either(14, "always", "explicit-only"),
             mode=either(1, "cloud", "local-only"),
             level=either(2, "forensic", "operational"),
             prompts=either(3, "true", "false"),

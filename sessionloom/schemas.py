@@ -70,10 +70,13 @@ DOCUMENT_SCHEMA = T.StructType(
     ]
 )
 
+# An entry names its place by a step from the entry of the object around it, ``up`` entries before it
+# (0: the step is the whole path). Paths are put together when they are read.
 PROVENANCE_TYPE = T.ArrayType(
     T.StructType(
         [
-            T.StructField("path", T.StringType()),
+            T.StructField("up", T.IntegerType()),
+            T.StructField("step", T.StringType()),
             T.StructField("action", T.StringType()),
             T.StructField("reason", T.StringType()),
         ]

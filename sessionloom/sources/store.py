@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from sessionloom.operators.privacy import provenance_rows
 from sessionloom.operators.query import without_sessions
 from sessionloom.operators.sessions import FOLD_INPUT, deduplicate, finish_sessions, fold_events, merge_folds
-from sessionloom.schemas import EVENT_SCHEMA
+from sessionloom.schemas import EVENT_SCHEMA, PROVENANCE_TYPE
 from sessionloom.session import delete_folder, numbered_folders
 
 _ORDER_TYPE = "nano: bigint, event_id: string, occurred_at: timestamp"
@@ -35,7 +35,7 @@ TABLES = {
     ),
     "ids": "event_id string, id_bucket int, batch string",
     "provenance": "event_id string, session_id string, "
-    "provenance array<struct<path: string, action: string, reason: string>>, batch string",
+    f"provenance {PROVENANCE_TYPE.simpleString()}, batch string",
     "folds": f"session_id string, first struct<{_ORDER_TYPE}, schema_version: string, provider: string, tool: string>, "
     f"last struct<{_ORDER_TYPE}, state: string>, event_count bigint, batch string",
     "rejected": "payload_id string, signal string, received_at timestamp, error_code string, batch string",

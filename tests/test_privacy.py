@@ -15,8 +15,9 @@ from sessionloom.operators.privacy import ENVELOPE_FIELDS, provenance_rows, sani
 
 def safe(spark, value, salt=SALT):
     frame = spark.createDataFrame([(json.dumps(value),)], "text string").select(F.parse_json("text").alias("value"))
-    row = sanitise_column(frame, "value", salt).select(F.to_json("value").alias("value"), "provenance").first()
-    return json.loads(row.value), [tuple(entry) for entry in row.provenance]
+    sanitised = sanitise_column(frame, "value", salt)
+    rows = provenance_rows(sanitised).orderBy("ord").collect()
+    return json.loads(sanitised.select(F.to_json("value").alias("value")).first().value), [tuple(row)[1:] for row in rows]
 
 
 def hashed(text, salt=SALT):
@@ -126,6 +127,43 @@ def test_depth_is_unlimited(spark):
     assert "deep secret" not in row.value and '"kept":1' in row.value and row.n == 452
 
 
+def test_entries_of_deep_objects_do_not_repeat_their_path(spark):
+    """The stored entries grow with the object; the paths read from them are whole."""
+    depth = 300
+    text = '{"key_of_ten":[' * depth + '{"prompt":1}' + "]}" * depth
+    frame = spark.createDataFrame([(text,)], "text string").select(F.parse_json("text").alias("value"))
+    sanitised = sanitise_column(frame, "value", SALT)
+    entries = sanitised.first().provenance
+    assert sum(len(entry.step) for entry in entries) < 20 * depth
+    paths = [row.path for row in provenance_rows(sanitised).orderBy("ord").collect()]
+    assert paths == [".".join(["key_of_ten"] + ["[0].key_of_ten"] * at).replace(".[", "[") for at in range(depth)] + [
+        "key_of_ten[0]." * depth + "prompt"
+    ]
+
+
+def plain_paths(value, path=""):
+    """Paths of all retained and removed members, one object at a time."""
+    if isinstance(value, list):
+        return [found for at, item in enumerate(value) for found in plain_paths(item, f"{path}[{at}]")]
+    if not isinstance(value, dict):
+        return []
+    out = []
+    for key in sorted(value):
+        here = f"{path}.{key}" if path else key
+        out.append(here)
+        out += [] if key_action(key) == "removed" else plain_paths(value[key], here)
+    return out
+
+
+def test_odd_names_and_lists(spark):
+    for value in (
+        {"": {"": {"a": [{"b": 1}]}, "x": 2}, "[0]": {"c": 1}, "d.e": [[{"f": {"g": []}}], {}, [{}]]},
+        {"a": [[1, [{"b": [{"c": {}}]}]]], "prompt": {"z": 1}},
+        {"": [{"a": {"": 1}}]},
+    ):
+        assert [entry[0] for entry in safe(spark, value)[1]] == plain_paths(value)
+
+
 def test_whole_event_is_sanitised_with_envelope_provenance(spark):
     raw = events(spark, [("e", "s", "session.created", "2026-01-02T09:00:00", "m", {"prompt": "secret-like", "x": 1})])
     safe_events = sanitise_events(raw, SALT)
