@@ -35,7 +35,11 @@ WINDOW = 400
 ANCHOR = 100
 # Distinct segments of one anchor that one task indexes; larger groups are divided.
 GROUP_SEGMENTS = 2_000
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 20
+INDEX_ROWS = 256
+# Rows of one key that are joined in one task; the keys with more are broadcast, as many at most.
+HOT_ROWS = 10_000
+BROADCAST_ROWS = 100_000
 SCAN_BYTES = 1 << 20
 # Neighbouring windows per piece when a large group is divided, then divided again.
 DIVISIONS = (16, 1)
@@ -127,7 +131,8 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 class RunLengthIndex:
     """Run-length Burrows-Wheeler transform of a set of strings, sampled at the ends of its runs.
 
-    ``heads`` and ``tails`` are the text positions of the first and last suffix of every run and
+    Of the transform only its samples are kept, as many as it has runs: ``heads`` and ``tails`` are the
+    text positions of the first and last suffix of every run and
     ``lengths`` the common prefix of a run's first suffix with the suffix before it, the last one of
     the previous run. A suffix that starts a string is a run of its own.
     """
@@ -144,7 +149,6 @@ class RunLengthIndex:
         first = np.ones(len(order), dtype=bool)
         first[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
         at = np.flatnonzero(first)
-        self.symbols, self.run_lengths = before[at], np.diff(np.append(at, len(order)))
         self.heads, self.tails = order[at], order[np.append(at[1:], len(order)) - 1]
         self.lengths = np.zeros(len(at), dtype=np.int64)
         self.lengths[1:] = self._common(self.tails[:-1], self.heads[1:])
@@ -246,18 +250,20 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         arrays = [pa.array(list(column), pa.int64()) for column in (zip(*columns) if columns else [[]] * 4)]
         return pa.RecordBatch.from_arrays(arrays, ["anchor", "segment", "low", "high"])
 
+    names = ("grouping", "anchor", "segment", "low", "bytes")
     for batch in batches:
-        names = ("grouping", "anchor", "segment", "low", "bytes")
-        for row in zip(*[batch.column(name).to_pylist() for name in names]):
-            if row[0] != group:
-                if held >= INDEX_BYTES:
-                    yield marks()
-                    rows, held = [], 0
-                group = row[0]
-            elif rows and rows[-1][:4] == row[:4]:
-                continue  # the same piece from a repeated row
-            rows.append(row)
-            held += len(row[4])
+        for start in range(0, batch.num_rows, INDEX_ROWS):
+            part = batch.slice(start, INDEX_ROWS)
+            for row in zip(*[part.column(name).to_pylist() for name in names]):
+                if row[0] != group:
+                    if held >= INDEX_BYTES:
+                        yield marks()
+                        rows, held = [], 0
+                    group = row[0]
+                elif rows and rows[-1][:4] == row[:4]:
+                    continue  # the same piece from a repeated row
+                rows.append(row)
+                held += len(row[4])
     if rows:
         yield marks()
 
@@ -322,6 +328,19 @@ def _divider(span: int):
     return run
 
 
+def _joined(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Rows joined with ``keys``, which has the key, its number of ``rows`` and more.
+
+    Keys with many rows are broadcast, so their rows stay where they are: those with more than
+    ``HOT_ROWS`` rows, or with more than the hundred-thousandth part of the ``total``, which bounds their number.
+    """
+    least = max(HOT_ROWS, total // BROADCAST_ROWS)
+    hot = written(keys.where(F.col("rows") > least).drop("rows"), "hot-keys")
+    others = keys.where(F.col("rows") <= least).drop("rows")
+    cold = rows.join(F.broadcast(hot.select(*on).distinct()), on, "left_anti").join(others, on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def _indexed(pieces: DataFrame) -> DataFrame:
     """Marks from groups of pieces, each group indexed in one task."""
     return (
@@ -386,9 +405,10 @@ def repeated_spans(source: DataFrame, group_segments: int = GROUP_SEGMENTS) -> D
         segments.groupBy("anchor")
         .agg(F.count("*").alias("found"), F.min("segment").alias("first"), F.max("segment").alias("last"))
         .where("found > 1")
-        .select("anchor", (F.col("first") == F.col("last")).alias("same"))
+        .select("anchor", (F.col("first") == F.col("last")).alias("same"), F.col("found").alias("rows"))
     )
-    repeated = written(segments.join(anchors, "anchor"), "repeated")
+    total = segments.count()
+    repeated = written(_joined(segments, written(anchors, "anchors"), ["anchor"], total), "repeated")
     mixed = repeated.where("not same")
     end = F.col("windows") + (WINDOW - 1)
     distinct = written(
@@ -417,7 +437,10 @@ def repeated_spans(source: DataFrame, group_segments: int = GROUP_SEGMENTS) -> D
         "anchor", "segment", F.lit(0).cast("bigint").alias("low"), end.cast("bigint").alias("high")
     )
     inner = written(copied.union(_segment_marks(pieces, group_segments)).distinct(), "marks")
-    placed = mixed.select("anchor", "segment", "node", "size", "start").distinct().join(inner, ["anchor", "segment"])
+    # A segment has few marks, so what is broadcast is bounded by the number of segments with many copies.
+    counted = inner.join(distinct.select("anchor", "segment", F.col("copies").alias("rows")), ["anchor", "segment"])
+    places = written(mixed.select("anchor", "segment", "node", "size", "start").distinct(), "places")
+    placed = _joined(places, counted, ["anchor", "segment"], total)
     marks = (
         repeated.where("same")
         .select("node", "size", F.col("start").alias("low"), (F.col("start") + end).alias("high"))
