@@ -1,9 +1,12 @@
 import random
+from collections import Counter
 
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
 
 from sessionloom.llm import line_dedup
-from sessionloom.llm.line_dedup import dedup_lines, rarity_ranks, token_ids
+from sessionloom.llm.line_dedup import dedup_lines, line_sets, rarity, token_values
+from sessionloom.llm.text import text_bytes, word_hashes
 
 SCHEMA = "doc_id bigint, text string, node string, kept string"
 
@@ -66,24 +69,39 @@ def test_repeated_rows_are_one_document(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def hashed(words):
+    """Hash of each word."""
+    data, offsets = text_bytes(pa.array(words))
+    return word_hashes(data, offsets[:-1], offsets[1:])
+
+
 def test_order_is_rarity_with_most_buckets_in_use(spark):
     """A word in 300 texts comes last and the others by the count of their bucket, also beyond 32,768 buckets."""
-    texts = [(" ".join(f"u{at}" for at in range(start, start + 1000)),) for start in range(0, 150_000, 1000)]
-    texts += [("often " * 40 + "u1 u2 u3",)] * 300
-    source = spark.createDataFrame(texts, "text string")
-    bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << line_dedup.BUCKET_BITS) - 1))
-    every = source.select(F.explode(F.split("text", " ")).alias("word")).select("word", bucket.alias("bucket"))
-    counts = {row.bucket: row["count"] for row in every.groupBy("bucket").count().collect()}
+    texts = [" ".join(f"u{at}" for at in range(start, start + 1000)) for start in range(0, 150_000, 1000)]
+    texts += ["often " * 40 + "u1 u2 u3"] * 300
+    every = [word for text in texts for word in text.split()]
+    mask = np.uint64((1 << line_dedup.BUCKET_BITS) - 1)
+    counts = Counter((hashed(every) & mask).tolist())
     assert len(counts) > 40_000
+    ranks, frequent = rarity(spark.createDataFrame([(text,) for text in texts], "text string"))
     line = ["often", *(f"u{at}" for at in range(1, 150_000, 500))]
-    ranks = rarity_ranks(source)
-    words = spark.createDataFrame([(word,) for word in line], "word string")
-    one = words.select("word", bucket.alias("bucket"), token_ids(F.array("word"), ranks)[0].alias("token")).collect()
-    ordered = [counts[row.bucket] for row in sorted(one, key=lambda row: row.token)]
-    assert ordered == sorted(ordered)
-    whole = spark.createDataFrame([(line,)], "line array<string>").select(token_ids(F.col("line"), ranks).alias("ids")).first().ids
-    assert whole == sorted(row.token for row in one)
-    assert max(one, key=lambda row: row.token).word == "often"
+    tokens = token_values(hashed(line), ranks)
+    ordered = [counts[bucket] for bucket in (hashed(line) & mask)[np.argsort(tokens)].tolist()]
+    assert ordered == sorted(ordered) and line[int(tokens.argmax())] == "often"
+    assert len(set(token_values(hashed(every), ranks).tolist())) == len(set(every))
+    assert frequent == (1 << line_dedup.BUCKET_BITS) - sum(count >= line_dedup.CROWD for count in counts.values())
+
+
+def test_sets_of_lines():
+    """Sets, sizes and prefixes of each line; order, repetitions and white space do not matter."""
+    ranks = np.arange(1 << line_dedup.BUCKET_BITS)
+    texts = ["b a c a d e f\n\n \t\n f\x0be d c b a ", None, "", "x", "g h\n\ni"]
+    text, line, h1, h2, size, bits, prefix, length = line_sets(pa.array(texts), ranks)
+    assert list(zip(text.tolist(), line.tolist(), size.tolist())) == [(0, 0, 6), (0, 3, 6), (3, 0, 1), (4, 0, 2), (4, 2, 1)]
+    assert h1[0] == h1[1] and h2[0] == h2[1] and bits[0] == bits[1] and len(set(h1.tolist())) == 4
+    assert length.tolist() == [2, 2, 0, 0, 0]
+    own = sorted(token_values(hashed(["a", "b", "c", "d", "e", "f"]), ranks).tolist())
+    assert prefix.tolist() == [token >> 32 for token in own[:2]] * 2
 
 
 def brute_links(rows):
