@@ -73,7 +73,7 @@ PATTERN_HINTS = {
 SECRET_ALPHABET = r"\A[a-zA-Z0-9.+/=_-]{32,}\z"
 ENTROPY_LIMIT = 4.3
 
-_ASCII_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+ASCII_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
 # Names are compared in lower case, letter by letter. Besides the ASCII letters two others have an
@@ -89,7 +89,7 @@ def prohibited_document_name(name: Column) -> Column:
 
 def matches_pattern(text: Column, detector: str) -> Column:
     hint = text.rlike(PATTERN_HINTS[detector])
-    return hint & text.rlike(SECRET_PATTERNS[detector].replace("@B", _ASCII_BOUNDARY))
+    return hint & text.rlike(SECRET_PATTERNS[detector].replace("@B", ASCII_BOUNDARY))
 
 
 def shannon_entropy(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.evaluate import evaluate_once
+from sessionloom.functions.json_scan import document_scanner
 from sessionloom.functions.json_walk import json_fields
 from sessionloom.functions.sensitive import prohibited_document_name, secret_detector
 from sessionloom.functions.times import parse_rfc3339
@@ -98,19 +99,27 @@ def content_violation(fields: Column) -> Column:
 def audit_documents(documents: DataFrame) -> DataFrame:
     """Add ``document`` (VARIANT) and ``violation`` (path, code; NULL when clean).
 
-    Only documents whose metadata is in order are walked.
+    Only documents whose metadata is in order are walked. What the parser refuses is read by a
+    scanner without its limits: a document that is valid all the same gets the violation it has,
+    and no ``document``, since a VARIANT cannot hold it.
     """
     require_settings(documents.sparkSession)
     parsed = evaluate_once(documents, {"document": single_json(F.col("body"))})
-    broken_json = as_object(F.col("document")).isNull() & ~F.is_variant_null("document")
+    scanner = document_scanner(tuple(REQUIRED_METADATA))
+    scanned = parsed.withColumn("_scan", scanner(F.when(F.col("document").isNull(), F.col("body"))))
+    # The members of a scanned document are a small document of their own.
+    judged = F.coalesce(F.col("document"), single_json(F.col("_scan.members")))
+    scanned = evaluate_once(scanned, {"_judged": judged})
+    broken_json = as_object(F.col("_judged")).isNull() & ~F.is_variant_null("_judged")
     metadata = F.when(
-        F.col("document").isNull() | broken_json, _violation("", "invalid_json")
-    ).otherwise(metadata_violation(F.col("document")))
-    checked = evaluate_once(parsed, {"_metadata": metadata})
+        F.col("_judged").isNull() | broken_json, _violation("", "invalid_json")
+    ).otherwise(metadata_violation(F.col("_judged")))
+    checked = evaluate_once(scanned, {"_metadata": metadata})
     fields = json_fields(F.when(F.col("_metadata").isNull(), F.to_json("document")))
     walked = checked.withColumn("_fields", fields)
-    violation = F.coalesce(F.col("_metadata"), content_violation(F.col("_fields")))
-    return evaluate_once(walked, {"violation": violation}).drop("_metadata", "_fields")
+    scan_violation = F.when(F.col("_scan.code").isNotNull(), _violation(F.col("_scan.path"), F.col("_scan.code")))
+    violation = F.coalesce(F.col("_metadata"), content_violation(F.col("_fields")), scan_violation)
+    return evaluate_once(walked, {"violation": violation}).drop("_metadata", "_fields", "_scan", "_judged")
 
 
 def audit_report(audited: DataFrame) -> DataFrame:

@@ -22,7 +22,10 @@ ERROR_STATUS = {
     "invalid_payload": 400,
     "normalization_failed": 422,
 }
+# Nested deeper than the parser reads; such a payload is not called malformed.
+ERROR_STATUS["beyond_parser_limits"] = 422
 ACCEPTED_STATUS = 202
+PARSER_DEPTH = 1_000
 
 
 # A media type with parameters: name=token or name="quoted text", white space is blank or tab.
@@ -52,6 +55,23 @@ def _resources(payload: Column, signal: Column) -> Column:
     return F.when(F.size(members) == 1, as_array(F.try_element_at(members, expected)))
 
 
+def _too_deep(body: Column) -> Column:
+    """True for a text whose brackets close and are nested deeper than the parser reads.
+
+    Meant for bodies that the parser has refused; only those with enough brackets are looked at.
+    """
+    opening = F.length(body) - F.length(F.translate(body, "{[", ""))
+    brackets = F.regexp_replace(F.regexp_replace(body, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(depth: Column, mark: Column) -> Column:
+        now = depth["now"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(depth["most"], now).alias("most"))
+
+    closes = lambda depth: (depth["now"] == 0) & (depth["most"] >= PARSER_DEPTH)
+    return F.when(opening >= PARSER_DEPTH, F.aggregate(F.split(brackets, ""), start, step, closes)).otherwise(False)
+
+
 def gate_payloads(payloads: DataFrame) -> DataFrame:
     """Add ``payload`` (VARIANT), ``status``, ``error_code`` and ``http_status``.
 
@@ -67,6 +87,7 @@ def gate_payloads(payloads: DataFrame) -> DataFrame:
     code = (
         F.when(~_media_type_ok(F.col("content_type")), "unsupported_media_type")
         .when(F.octet_length("body") > MAX_PAYLOAD_BYTES, "payload_too_large")
+        .when(value.isNull() & _too_deep(F.col("body")), "beyond_parser_limits")
         .when(malformed, "malformed_payload")
         .when(resource_count < 1, "invalid_payload")
     )

@@ -142,7 +142,8 @@ def decode_traces(
     """Add ``trace_error`` (path, code; NULL when fine) and ``spans`` to audited documents.
 
     Expects the columns of :func:`sessionloom.operators.audit.audit_documents`. A document
-    that failed the audit keeps that violation as its error.
+    that failed the audit keeps that violation as its error; a clean one that is deeper or larger
+    than a VARIANT can be is ``beyond_parser_limits``.
     """
     document = F.col("document")
     pair_ok = F.lit(False)
@@ -156,6 +157,7 @@ def decode_traces(
     first_bad = F.get(F.filter("_rows", lambda row: row["error_code"].isNotNull()), F.lit(0))
     error = (
         F.when(F.col("violation").isNotNull(), F.col("violation"))
+        .when(F.col("document").isNull(), _error(F.lit(""), F.lit("beyond_parser_limits")))
         .when(F.col("_rows").isNull(), _error(F.lit("provider"), F.lit("unsupported_provider")))
         .otherwise(
             bind(

@@ -1,11 +1,16 @@
+import json
+import random
 import re
 
+import pytest
 from helpers import by, documents
 from pyspark.sql import functions as F
 
+from sessionloom.functions.json_scan import detector_of, scan_document
 from sessionloom.functions.sensitive import SECRET_PATTERNS, secret_detector, shannon_entropy
 from sessionloom.functions.times import parse_rfc3339, parse_unix_nanos
 from sessionloom.operators.audit import REQUIRED_METADATA, audit_documents, audit_report
+from sessionloom.operators.traces import decode_traces, rejected_documents
 from test_traces import SPAN, document, spans
 
 
@@ -118,3 +123,116 @@ def test_strict_times(spark):
     nanos = {"1": 1, "+5": 5, "-5": None, "0": None, " 12 ": None, "1.0": None, "9223372036854775807": 2**63 - 1, "9223372036854775808": None}
     frame = spark.createDataFrame([(text,) for text in nanos], "text string")
     assert by(frame.select("text", parse_unix_nanos(F.col("text")).alias("n")), "text", "n") == nanos
+
+
+KEPT = tuple(REQUIRED_METADATA)
+
+
+def test_scanner_admits_what_is_json():
+    draw = random.Random(5)
+    pieces = ['{', '}', '[', ']', ':', ',', '"a"', '"b\\u0041\\n"', "1", "-0.5e3", "01", "true", "null", " ", "\n", '"', "\x01", "nul", "-", "1."]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(1, 9))) for _ in range(30_000)]
+    texts += ["", " ", "null", " 1 ", "[]", "{}", '{"a":{}}', '{"a":[1,{"b":[]}]}x', '[1,]', '{"a":1,}', "[,1]", '{"a" 1}', "{1:2}", "[1 2]"]
+    strict = lambda text: json.loads(text, parse_constant=lambda name: 1 / 0)
+    for text in texts:
+        try:
+            strict(text)
+            valid = True
+        except (ValueError, ZeroDivisionError):
+            valid = False
+        assert (scan_document(text, KEPT) is not None) == valid, text
+
+
+def first_violation(value, path=""):
+    """The rule one value at a time, for documents that fit into memory."""
+    if isinstance(value, dict):
+        for key in sorted(value):
+            here = f"{path}.{key}" if path else key
+            if key in ("token", "File-Path"):
+                return here, "prohibited_field"
+            if found := first_violation(value[key], here):
+                return found
+    elif isinstance(value, list):
+        for at, item in enumerate(value):
+            if found := first_violation(item, f"{path}[{at}]"):
+                return found
+    elif isinstance(value, str) and detector_of(value):
+        return path, detector_of(value)
+    return None
+
+
+def test_scanner_finds_the_first_violation():
+    draw = random.Random(6)
+
+    def value(depth):
+        kind = draw.randrange(7 if depth else 3)
+        if kind > 4:
+            return {draw.choice(["a", "b", "z", "\u00e9", "File-Path", "token", "c", "d"]): value(depth - 1) for _ in range(draw.randrange(4))}
+        if kind > 2:
+            return [value(depth - 1) for _ in range(draw.randrange(4))]
+        return draw.choice([1, None, "plain", "plain", "sk-" + "x" * 20, "AKIA" + "A1" * 8])
+
+    kinds = set()
+    for _ in range(5_000):
+        document = {"x": value(5), "tool": value(1), "payload": value(2)}
+        members, path, code = scan_document(json.dumps(document, ensure_ascii=draw.random() < 0.5), KEPT)
+        want = first_violation(document)
+        assert (path, code) == (want or (None, None)), document
+        short = {name: type(document[name])() if isinstance(document[name], (dict, list)) else document[name] for name in ("tool", "payload")}
+        assert json.loads(members) == short
+        kinds.add(code)
+    assert kinds == {None, "prohibited_field", "service_key", "cloud_key_id"}
+    # A repeated name replaces the one before, with what it held.
+    assert scan_document('{"a":{"token":1},"a":{}}', KEPT) == ("{}", None, None)
+    assert scan_document('{"a":1,"a":{"token":1}}', KEPT) == ("{}", "a.token", "prohibited_field")
+
+
+def test_documents_beyond_the_limits_of_the_parser(spark):
+    """Deep, long and large documents get the verdict of small ones, not that of broken JSON."""
+    clean = json.dumps(document({"a": "<>"}))
+    head, tail = clean.split("<>")
+    deep = lambda inner, depth=1_500: '{"x":[' * depth + inner + "]}" * depth
+    small = {
+        "deep": clean.replace('"<>"', deep("1")),
+        "deep secret": clean.replace('"<>"', deep('"sk-' + "x" * 20 + '"')),
+        "deep name": clean.replace('"<>"', deep('{"b":1,"token":2}')),
+        "deep metadata": clean.replace('"<>"', deep("1")).replace('"synthetic"', '"live"'),
+        "deep broken": clean.replace('"<>"', deep("1") + "}"),
+        "too deep": clean.replace('"<>"', deep("1", 5_001)),
+    }
+    rows = documents(spark, small)
+    long = spark.range(1).select(
+        F.lit("long text").alias("document_id"), F.concat(F.lit(head), F.repeat(F.lit("word "), 4_200_000), F.lit(tail)).alias("body")
+    )
+    item = F.repeat(F.lit("large document "), 1 << 16)
+    large = spark.range(1).select(
+        F.lit("large").alias("document_id"),
+        F.concat(
+            F.lit(clean.replace('"<>"', "[")[: clean.index('"<>"') + 1]), F.lit('"'), F.array_join(F.array_repeat(item, 140), '","'),
+            F.lit('","AKIA' + "A1" * 8 + '"]}}'),
+        ).alias("body"),
+    )
+    audited = audit_documents(rows.unionByName(long).unionByName(large))
+    found = by(audit_report(audited), "document_id", "path", "code")
+    steps = ".".join(["payload.a"] + ["x[0]"] * 1_500)
+    assert found == {
+        "deep secret": (steps, "service_key"),
+        "deep name": (steps + ".token", "prohibited_field"),
+        "deep metadata": ("fixture_origin", "invalid_origin"),
+        "deep broken": ("", "invalid_json"),
+        "too deep": ("", "invalid_json"),
+        "large": ("payload.a[140]", "cloud_key_id"),
+    }
+    rejected = by(rejected_documents(decode_traces(audit_documents(documents(spark, {"deep": small["deep"]})))), "document_id", "error_code")
+    assert rejected == {"deep": "beyond_parser_limits"}
+
+
+@pytest.mark.parametrize("depth, code", [(300, None), (600, "beyond_parser_limits")])
+def test_deep_payloads_are_not_called_malformed(spark, depth, code):
+    from helpers import payloads
+
+    from sessionloom.operators.gate import gate_payloads
+
+    body = '{"resourceLogs":[' + '{"x":[' * depth + "]}" * depth + "]}"
+    rows = payloads(spark, [("deep", "logs", body), ("cut", "logs", body[:-1])])
+    assert by(gate_payloads(rows), "payload_id", "error_code") == {"deep": code, "cut": "malformed_payload"}
