@@ -100,17 +100,36 @@ def _screened(grades: np.ndarray, owner: np.ndarray, feature: np.ndarray) -> np.
     return (seen >= LEAST_ROWS) & (apart >= SCREEN_ERRORS)
 
 
+def ordinal_slopes(free: np.ndarray, grades: np.ndarray, owner: np.ndarray, feature: np.ndarray) -> tuple[float, np.ndarray]:
+    """Penalised mean negative log-likelihood of the grades, and its gradient.
+
+    ``free`` holds the weights, the first threshold and the logarithms of the gaps between thresholds;
+    ``owner`` and ``feature`` list the features present in each row.
+    """
+    rows, used = len(grades), len(free) - (GRADES - 1)
+    own, gaps = free[:used], np.exp(free[used + 1 :])
+    edges = np.concatenate([[-np.inf], free[used] + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
+    score = np.bincount(owner, weights=own[feature], minlength=rows)
+    upper, lower = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
+    mass = np.maximum(upper - lower, 1e-12)
+    up, low = upper * (1 - upper) / mass, lower * (1 - lower) / mass
+    pull = np.array([up[grades == k].sum() - low[grades == k + 1].sum() for k in range(GRADES - 1)])
+    slope_w = np.bincount(feature, weights=(up - low)[owner], minlength=used) + PENALTY * own
+    later = np.cumsum(pull[::-1])[::-1]
+    loss = (PENALTY * float(own @ own) / 2 - float(np.log(mass).sum())) / rows
+    return loss, np.concatenate([slope_w, -later[:1], -later[1:] * gaps]) / rows
+
+
 def fit_ordinal(grades: np.ndarray, owner: np.ndarray, feature: np.ndarray, iterations: int = ITERATIONS) -> Model:
     """Cumulative-link model with a ridge penalty, fitted by Adam steps.
 
     The first threshold and the logarithms of the gaps between thresholds are free, so the
     thresholds stay in order. Without features they are the smoothed shares of the grades.
     """
-    size, rows = 1 << FEATURE_BITS, len(grades)
     counts = np.bincount(grades, minlength=GRADES) + 0.5
     below = np.cumsum(counts)[:-1] / counts.sum()
     start = np.log(below / (1 - below))
-    weights = np.zeros(size)
+    weights = np.zeros(1 << FEATURE_BITS)
     if not len(owner):
         return Model(weights, start)
     used = np.flatnonzero(_screened(grades, owner, feature))
@@ -119,16 +138,7 @@ def fit_ordinal(grades: np.ndarray, owner: np.ndarray, feature: np.ndarray, iter
     free = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     first, second = np.zeros_like(free), np.zeros_like(free)
     for turn in range(1, iterations + 1):
-        own, gaps = free[: len(used)], np.exp(free[len(used) + 1 :])
-        edges = np.concatenate([[-np.inf], free[len(used)] + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
-        score = np.bincount(owner, weights=own[feature], minlength=rows)
-        upper, lower = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
-        mass = np.maximum(upper - lower, 1e-12)
-        up, low = upper * (1 - upper) / mass, lower * (1 - lower) / mass
-        pull = np.array([up[grades == k].sum() - low[grades == k + 1].sum() for k in range(GRADES - 1)])
-        slope_w = np.bincount(feature, weights=(up - low)[owner], minlength=len(used)) + PENALTY * own
-        later = np.cumsum(pull[::-1])[::-1]
-        slope = np.concatenate([slope_w, -later[:1], -later[1:] * gaps]) / rows
+        _, slope = ordinal_slopes(free, grades, owner, feature)
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope * slope
         free = free - STEP * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
@@ -140,7 +150,8 @@ def fit_ordinal(grades: np.ndarray, owner: np.ndarray, feature: np.ndarray, iter
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit the model on at most ``sample_rows`` labelled rows, chosen by a hash of their id.
 
-    Rows whose label or id is null are left out; of repeated ids the highest label counts.
+    Rows whose label or id is null are left out; of repeated ids the highest label and the smallest
+    text count, so that no table gives more rows than that.
     """
     chosen = (
         labels.where("toxic is not null and doc_id is not null")
@@ -149,7 +160,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    labelled = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = labelled.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
     sample = rows.mapInArrow(_feature_batches, "toxic int, features array<int>").toArrow()
     toxic = sample.column("toxic").to_numpy().astype(np.int64)
     lists = sample.column("features").combine_chunks()

@@ -9,6 +9,7 @@ from sessionloom.llm.toxicity import (
     Model,
     _distinct,
     fit_ordinal,
+    ordinal_slopes,
     score_documents,
     severity_grades,
     train,
@@ -84,3 +85,37 @@ def test_grades_follow_telling_words():
     assert grades[:50].max() == 0 and set(grades[50:60]) == {3} and set(grades[60:]) == {1}
     model = fit_ordinal(grades, owner, feature)
     assert np.isfinite(model.weights).all()
+
+
+def test_likelihood_and_gradient_equal_brute_force():
+    draw = np.random.default_rng(4)
+    rows, used = 60, 7
+    present = draw.random((rows, used)) < 0.4
+    owner, feature = np.nonzero(present)
+    grades = draw.integers(0, GRADES, rows)
+    free = draw.normal(0, 0.7, used + GRADES - 1)
+
+    def plain(values):
+        edges = [values[used]]
+        for gap in values[used + 1 :]:
+            edges.append(edges[-1] + np.exp(gap))
+        total = 0.1 * sum(w * w for w in values[:used])
+        for row, grade in zip(present, grades):
+            score = sum(w for w, on in zip(values, row) if on)
+            below = [0.0, *(1 / (1 + np.exp(score - edge)) for edge in edges), 1.0]
+            total -= np.log(below[grade + 1] - below[grade])
+        return total / rows
+
+    loss, slope = ordinal_slopes(free, grades, owner, feature)
+    assert abs(loss - plain(free)) < 1e-9
+    for at in range(len(free)):
+        step = np.eye(len(free))[at] * 1e-5
+        assert abs((plain(free + step) - plain(free - step)) / 2e-5 - slope[at]) < 1e-6
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark, labelled):
+    rows = [(at, text, None, 0) for at, text, _ in labelled[:300]]
+    labels = spark.createDataFrame([(at, toxic) for at, _, toxic in labelled[:300]], "doc_id bigint, toxic int")
+    once = train(spark.createDataFrame(rows, SCHEMA), labels)
+    often = train(spark.createDataFrame(rows + rows[:50] * 4, SCHEMA), labels)
+    assert np.allclose(once.thresholds, often.thresholds)
