@@ -42,6 +42,8 @@ MEMBERS_PER_SALT = 256
 # verified: 4.5 standard errors under the threshold.
 NIBBLE = 4
 ERRORS_BELOW = 4.5
+# A similarity is a sum of quotients; one that equals the threshold may come out this much below it.
+ROUNDING = 1e-9
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -204,7 +206,7 @@ def _verifier(threshold: float):
                 for of, salt, member, node, popularity, own in rows:
                     if not member:
                         current, pivot = (of, salt), own
-                    elif current == (of, salt) and similarity(pivot, own) >= threshold:
+                    elif current == (of, salt) and similarity(pivot, own) >= threshold - ROUNDING:
                         left.append(node)
                         right.append(of)
                         weight.append(popularity)

@@ -113,3 +113,14 @@ def test_components(spark):
     got = {row.node: row.root for row in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {got[at] for at in range(1, 6)} == {1} and got[11] == 10
     assert {got[at] for at in range(100, 141)} == {100} and 20 not in got
+
+
+def test_pairs_at_the_threshold_are_linked(spark):
+    """216 of 270 shared runs are a similarity of exactly 0.8, which a sum of quotients may miss."""
+    words = [f"w{at}" for at in range(248)]
+    one = " ".join(words)
+    other = " ".join(words[:220] + [f"x{at}" for at in range(26)])
+    runs = lambda text: {tuple(text.split()[at : at + 5]) for at in range(len(text.split()) - 4)}
+    assert (len(runs(one) & runs(other)), len(runs(one) | runs(other))) == (216, 270)
+    frame = spark.createDataFrame([(1, one), (2, other)], "doc_id bigint, text string")
+    assert [row.class_size for row in near_duplicate_classes(frame).collect()] == [2, 2]
