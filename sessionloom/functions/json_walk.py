@@ -7,7 +7,6 @@ seconds of planning per query, and inexact below the depth they were built for.
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import json
 import sys
@@ -39,12 +38,6 @@ REDACTED = "[REDACTED]"
 SANITISED_TYPE = (
     T.StructType().add("value", T.StringType()).add("provenance", PROVENANCE_TYPE)
 )
-PATHS_TYPE = T.ArrayType(
-    T.StructType()
-    .add("path", T.StringType())
-    .add("action", T.StringType())
-    .add("reason", T.StringType())
-)
 FIELDS_TYPE = T.ArrayType(
     T.StructType()
     .add("path", T.StringType())
@@ -52,6 +45,12 @@ FIELDS_TYPE = T.ArrayType(
     .add("text", T.StringType())
 )
 
+# What can be decided about a field, and why; entries are kept by their number until a batch ends.
+REASONS = {"retained": "operational_metadata", "hashed": "file_path", "redacted": "command_arguments"}
+DECISIONS = [*REASONS.items(), ("removed", "prohibited_content"), ("removed", "sensitive_value")]
+RETAINED, HASHED, REMOVED = 0, 1, (3, 4)
+NESTED = (dict, list)
+
 _FOLD = str.maketrans(FOLDED_LETTERS)
 _SEPARATORS = str.maketrans("", "", "_- .")
 
@@ -87,8 +86,12 @@ def removal_reason(name: str) -> str:
     return "prohibited_content" if content else "sensitive_value"
 
 
+# One encoder for all rows; json.dumps would build a new one for each.
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
 def _dump(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    return _ENCODER.encode(value)
 
 
 def _hash_text(value: object) -> str:
@@ -98,13 +101,12 @@ def _hash_text(value: object) -> str:
     return "<nil>" if value is None else _dump(value)
 
 
-def _list_of_structs(rows: list[list[tuple]], names: list[str], numbers: tuple[str, ...] = ()) -> pa.Array:
+def _list_of_structs(rows: list[list[tuple]], names: list[str]) -> pa.Array:
     offsets = [0]
     for row in rows:
         offsets.append(offsets[-1] + len(row))
     flat = [entry for row in rows for entry in row]
-    types = [pa.int32() if name in numbers else pa.string() for name in names]
-    columns = [pa.array([entry[at] for entry in flat], kind) for at, kind in enumerate(types)]
+    columns = [pa.array([entry[at] for entry in flat], pa.string()) for at in range(len(names))]
     return pa.ListArray.from_arrays(
         pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names)
     )
@@ -119,77 +121,89 @@ def sanitiser(salt: bytes) -> Callable[[Column, Column], Column]:
     """
     check_salt(salt)
 
-    actions: dict[str, str] = {}
+    decisions: dict[str, int] = {}
 
-    def action_of(name: str) -> str:
+    def decision_of(name: str) -> int:
         # Field names repeat from row to row; the cache is bounded against open-ended names.
-        known = actions.get(name)
+        known = decisions.get(name)
         if known is None:
-            if len(actions) >= 4096:
-                actions.clear()
-            known = actions[name] = key_action(name)
+            if len(decisions) >= 4096:
+                decisions.clear()
+            action = key_action(name)
+            reason = removal_reason(name) if action == "removed" else REASONS[action]
+            known = decisions[name] = DECISIONS.index((action, reason))
         return known
 
     def keyed_hash(value: object) -> str:
-        digest = hmac.new(salt, _hash_text(value).encode("utf-8", "surrogatepass"), hashlib.sha256)
-        return "hmac-sha256:" + digest.hexdigest()
+        return "hmac-sha256:" + hmac.digest(salt, _hash_text(value).encode("utf-8", "surrogatepass"), "sha256").hex()
 
-    def clean(value: object, around: int, lead: str, rows: list[tuple]) -> object:
+    def clean(value: dict | list, around: int, lead: str | None, rows: list[tuple]) -> dict | list:
         """``around`` is the entry of the object that holds the value, ``lead`` the path from there on.
 
-        ``lead`` is None below an entry with an empty path.
+        ``lead`` is None below an entry with an empty path. Scalars need no call.
         """
-        if isinstance(value, list):
-            return [clean(item, around, f"{lead or ''}[{at}]", rows) for at, item in enumerate(value)]
-        if not isinstance(value, dict):
-            return value
+        if type(value) is list:
+            return [
+                clean(item, around, f"{lead or ''}[{at}]", rows) if type(item) in NESTED else item
+                for at, item in enumerate(value)
+            ]
         safe = {}
         for key in sorted(value):
+            item = value[key]
             step = key if lead is None else f"{lead}.{key}"
             up = 0 if around < 0 else len(rows) - around
             # In an attribute pair the name under "key" decides about "value".
             pair = value.get("key") if key == "value" else None
-            named = isinstance(pair, str) and pair != ""
-            name = pair if named else key
-            action = action_of(name)
-            if action == "retained":
+            named = type(pair) is str and pair != ""
+            decision = decision_of(pair if named else key)
+            if decision == RETAINED:
                 # A step without text only ever begins at the top, so its path is empty too.
                 inside = len(rows) if step else -1
-                rows.append((up, step, action, "operational_metadata"))
-                safe[key] = clean(value[key], inside, "" if step else None, rows)
-            elif action == "removed":
-                rows.append((up, f"{step}.attribute_value" if named else step, action, removal_reason(name)))
+                rows.append((up, step, decision))
+                safe[key] = clean(item, inside, "" if step else None, rows) if type(item) in NESTED else item
+            elif decision in REMOVED:
+                rows.append((up, f"{step}.attribute_value" if named else step, decision))
                 if named:
                     safe[key] = {}
             else:
-                text = keyed_hash(value[key]) if action == "hashed" else REDACTED
-                rows.append((up, step, action, "file_path" if action == "hashed" else "command_arguments"))
+                text = keyed_hash(item) if decision == HASHED else REDACTED
+                rows.append((up, step, decision))
                 safe[key] = {"stringValue": text} if named else text
         return safe
 
     @F.arrow_udf(SANITISED_TYPE)
     def sanitise(texts: pa.Array, prefixes: pa.Array) -> pa.Array:
         _allow_deep_nesting()
-        values, provenance = [], []
+        # The entries of a whole batch in one list; ``ends`` says where those of a row stop.
+        values, rows, ends = [], [], [0]
         for text, prefix in zip(texts.to_pylist(), prefixes.to_pylist()):
-            rows: list[tuple] = []
-            values.append(None if text is None else _dump(clean(json.loads(text), -1, prefix or None, rows)))
-            provenance.append(rows)
-        return pa.StructArray.from_arrays(
-            [pa.array(values, pa.string()), _list_of_structs(provenance, ["up", "step", "action", "reason"], ("up",))],
-            ["value", "provenance"],
+            if text is None:
+                values.append(None)
+            else:
+                value = json.loads(text)
+                values.append(_dump(clean(value, -1, prefix or None, rows) if type(value) in NESTED else value))
+            ends.append(len(rows))
+        ups, steps, decided = zip(*rows) if rows else ((), (), ())
+        decided = pa.array(decided, pa.int32())
+        entries = [
+            pa.array(ups, pa.int32()),
+            pa.array(steps, pa.string()),
+            *[pa.array(names, pa.string()).take(decided) for names in zip(*DECISIONS)],
+        ]
+        provenance = pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.StructArray.from_arrays(entries, ["up", "step", "action", "reason"])
         )
+        return pa.StructArray.from_arrays([pa.array(values, pa.string()), provenance], ["value", "provenance"])
 
     return sanitise
 
 
-@F.arrow_udf(PATHS_TYPE)
-def provenance_paths(entries: pa.Array) -> pa.Array:
-    """Provenance with whole paths, put together level by level over a batch of lists."""
-    offsets = pa.concat_arrays([pa.array([0]), pc.cumulative_sum(pc.fill_null(pc.list_value_length(entries), 0)).cast("int64")])
-    flat = entries.flatten()
-    up = flat.field("up").to_numpy()
-    paths = flat.field("step").to_numpy(zero_copy_only=False)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def provenance_paths(ups: pa.Array, steps: pa.Array) -> pa.Array:
+    """Whole paths of provenance entries, put together level by level over a batch of lists."""
+    offsets = pa.concat_arrays([pa.array([0]), pc.cumulative_sum(pc.fill_null(pc.list_value_length(ups), 0)).cast("int64")])
+    up = ups.flatten().to_numpy()
+    paths = steps.flatten().to_numpy(zero_copy_only=False)
     around = np.arange(len(up)) - up
     done = up == 0
     while not done.all():
@@ -197,10 +211,7 @@ def provenance_paths(entries: pa.Array) -> pa.Array:
         ready = ready[done[around[ready]]]
         paths[ready] = paths[around[ready]] + paths[ready]
         done[ready] = True
-    columns = [pa.array(paths, pa.string()), flat.field("action"), flat.field("reason")]
-    return pa.ListArray.from_arrays(
-        offsets.cast("int32"), pa.StructArray.from_arrays(columns, ["path", "action", "reason"])
-    )
+    return pa.ListArray.from_arrays(offsets.cast("int32"), pa.array(paths, pa.string()))
 
 
 def _fields(value: object, path: str, name: str | None, rows: list[tuple]) -> None:

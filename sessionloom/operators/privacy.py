@@ -72,7 +72,11 @@ def sanitise_events(events: DataFrame, salt: bytes) -> DataFrame:
 
 def provenance_rows(sanitised: DataFrame, *keys: str) -> DataFrame:
     """One row per provenance entry with its position and whole path, next to the key columns."""
-    paths = provenance_paths("provenance")
-    return sanitised.select(*keys, paths.alias("_paths")).select(*keys, F.posexplode("_paths").alias("ord", "entry")).select(
+    # Only what makes up the paths goes through Python; actions and reasons stay where they are.
+    listed = sanitised.select(*keys, "provenance", provenance_paths("provenance.up", "provenance.step").alias("path"))
+    entries = F.arrays_zip(
+        F.col("path"), F.col("provenance.action").alias("action"), F.col("provenance.reason").alias("reason")
+    )
+    return listed.select(*keys, F.posexplode(entries).alias("ord", "entry")).select(
         *keys, "ord", "entry.path", "entry.action", "entry.reason"
     )
