@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.evaluate import evaluate_once
-from sessionloom.functions.variants import as_array, as_object, single_json
+from sessionloom.functions.variants import as_object, single_json
 from sessionloom.schemas import MAX_PAYLOAD_BYTES, SIGNAL_FIELDS
 from sessionloom.session import require_settings
 
@@ -43,16 +43,18 @@ def _media_type_ok(content_type: Column) -> Column:
     )
     settings = F.array_distinct(F.arrays_zip(names.alias("name"), values.alias("value")))
     unique = F.size(settings) == F.size(F.array_distinct(names))
-    return F.coalesce(content_type.rlike(_JSON_TYPE) & unique, F.lit(False))
+    no_parameters = ~content_type.contains(";")
+    return F.coalesce(content_type.rlike(_JSON_TYPE) & (no_parameters | unique), F.lit(False))
 
 
-def _resources(payload: Column, signal: Column) -> Column:
-    """The resource array of a payload with exactly that one key, else NULL."""
+def _has_resources(payload: Column, signal: Column) -> Column:
+    """True for a payload with exactly one key, that of the signal, and a filled array below it."""
     members = as_object(payload)
     expected = F.lit(None).cast("string")
     for name, field in SIGNAL_FIELDS.items():
         expected = F.when(signal == name, field).otherwise(expected)
-    return F.when(F.size(members) == 1, as_array(F.try_element_at(members, expected)))
+    first = F.when(F.size(members) == 1, F.try_variant_get(F.try_element_at(members, expected), "$[0]", "variant"))
+    return first.isNotNull()
 
 
 def _too_deep(body: Column) -> Column:
@@ -69,7 +71,9 @@ def _too_deep(body: Column) -> Column:
         return F.struct(now.alias("now"), F.greatest(depth["most"], now).alias("most"))
 
     closes = lambda depth: (depth["now"] == 0) & (depth["most"] >= PARSER_DEPTH)
-    return F.when(opening >= PARSER_DEPTH, F.aggregate(F.split(brackets, ""), start, step, closes)).otherwise(False)
+    # Short bodies are not counted: so many brackets that close take twice as many bytes.
+    long = F.octet_length(body) >= 2 * PARSER_DEPTH
+    return F.when(long & (opening >= PARSER_DEPTH), F.aggregate(F.split(brackets, ""), start, step, closes)).otherwise(False)
 
 
 def gate_payloads(payloads: DataFrame) -> DataFrame:
@@ -79,20 +83,22 @@ def gate_payloads(payloads: DataFrame) -> DataFrame:
     ``payload`` is NULL for rejected rows.
     """
     require_settings(payloads.sparkSession)
-    fits = _media_type_ok(F.col("content_type")) & (F.octet_length("body") <= MAX_PAYLOAD_BYTES)
-    parsed = evaluate_once(payloads, {"_parsed": F.when(fits, single_json(F.col("body")))})
+    typed = evaluate_once(payloads, {"_json": _media_type_ok(F.col("content_type"))})
+    fits = F.col("_json") & (F.octet_length("body") <= MAX_PAYLOAD_BYTES)
+    parsed = evaluate_once(typed, {"_parsed": F.when(fits, single_json(F.col("body")))})
     value = F.col("_parsed")
-    malformed = value.isNull() | (as_object(value).isNull() & ~F.is_variant_null(value))
-    resource_count = F.coalesce(F.size(_resources(value, F.col("signal"))), F.lit(0))
+    # A body that is one JSON value is an object when it begins like one; a cast would copy the value.
+    begins_object = F.col("body").rlike(r"\A[ \t\r\n]*\{")
+    malformed = value.isNull() | (~begins_object & ~F.is_variant_null(value))
     code = (
-        F.when(~_media_type_ok(F.col("content_type")), "unsupported_media_type")
+        F.when(~F.col("_json"), "unsupported_media_type")
         .when(F.octet_length("body") > MAX_PAYLOAD_BYTES, "payload_too_large")
         .when(value.isNull() & _too_deep(F.col("body")), "beyond_parser_limits")
         .when(malformed, "malformed_payload")
-        .when(resource_count < 1, "invalid_payload")
+        .when(~_has_resources(value, F.col("signal")), "invalid_payload")
     )
     coded = evaluate_once(parsed, {"error_code": code})
-    return _with_status(coded, F.col("_parsed")).drop("_parsed")
+    return _with_status(coded, F.col("_parsed")).drop("_parsed", "_json")
 
 
 def _with_status(coded: DataFrame, payload: Column) -> DataFrame:

@@ -17,6 +17,7 @@ from sessionloom.functions.times import timestamp_to_nanos
 from sessionloom.functions.variants import (
     absent,
     as_object,
+    bind,
     is_string,
     member,
     string_or_null,
@@ -137,18 +138,29 @@ def attribute_map(pairs: Column) -> Column:
     only counts when there is no scalar, the first complex one winning.
     """
 
-    def scalar(pair: Column) -> Column:
-        return F.coalesce(*[member(pair["value"], name) for name in SCALAR_VALUE_KEYS])
+    def read(pair: Column) -> Column:
+        """The pair with its scalar and, for want of one, its whole value if it is not empty."""
+        scalar = F.coalesce(*[member(pair["value"], name) for name in SCALAR_VALUE_KEYS])
+        return bind(
+            scalar,
+            lambda found: F.struct(
+                pair["key"].alias("key"),
+                found.alias("scalar"),
+                F.when(found.isNull() & (F.size(as_object(pair["value"])) > 0), pair["value"]).alias("whole"),
+            ),
+        )
+
+    def entries(read_pairs: Column, part: str) -> Column:
+        return F.transform(
+            F.filter(read_pairs, lambda pair: pair[part].isNotNull()),
+            lambda pair: F.struct(pair["key"].alias("key"), pair[part].alias("value")),
+        )
 
-    complex_pairs = F.filter(
-        pairs, lambda pair: scalar(pair).isNull() & (F.size(as_object(pair["value"])) > 0)
-    )
-    scalar_pairs = F.transform(
-        F.filter(pairs, lambda pair: scalar(pair).isNotNull()),
-        lambda pair: F.struct(pair["key"].alias("key"), scalar(pair).alias("value")),
-    )
     # Later entries win (spark.sql.mapKeyDedupPolicy = LAST_WIN).
-    return F.map_from_entries(F.concat(F.reverse(complex_pairs), scalar_pairs))
+    return bind(
+        F.transform(pairs, read),
+        lambda done: F.map_from_entries(F.concat(F.reverse(entries(done, "whole")), entries(done, "scalar"))),
+    )
 
 
 def _record(record: Column, body_text: Column) -> Column:
