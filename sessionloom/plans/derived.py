@@ -24,6 +24,7 @@ PAYLOAD_KINDS = 12
 DOCUMENT_KINDS = 20
 CONTRACT_KINDS = 8
 SETTINGS_KINDS = 16
+ROWS_A_TASK = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +34,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(frame: DataFrame) -> DataFrame:
     """Spread rows over all cores when a small table would be read by fewer tasks.
 
-    The views below turn flat rows into payloads of a thousand times their work. A table that
-    is already read by enough tasks is left as it is.
+    For tables of long texts, which are costly to shuffle: one that is already read by enough
+    tasks is left as it is.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
+def spread_rows(frame: DataFrame) -> DataFrame:
+    """Deal the rows of a flat table evenly over tasks of at most ``ROWS_A_TASK`` rows each.
+
+    How many tasks read a file says nothing about their rows: a row group of a million rows is read
+    by one task, and the views below make a gigabyte of payloads of them. Counting reads the
+    files' footers only, and the flat rows are small to shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(max(cores, -(-frame.count() // ROWS_A_TASK)))
+
+
 def source_events(rows: DataFrame) -> DataFrame:
     """The events table with its time as an instant and ``k`` taken out of ``props``."""
     return rows.select(
@@ -68,9 +80,13 @@ def _event_type(kind: Column) -> Column:
     return mapped
 
 
-def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One canonical event per row. Times are cut to the hour, so sessions have ties."""
-    rows = source_events(table(spark, sf_dir, "events")).withColumn("at", F.date_trunc("hour", "ts"))
+def canonical_events(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """One canonical event per row. Times are cut to the hour, so sessions have ties.
+
+    ``even`` deals the flat rows evenly, for events that are sanitised next.
+    """
+    flat = table(spark, sf_dir, "events")
+    rows = source_events(spread_rows(flat) if even else flat).withColumn("at", F.date_trunc("hour", "ts"))
     attributes = F.map_filter(
         F.create_map(F.lit("model"), _model(F.col("k")).cast("variant")),
         lambda name, value: value.isNotNull(),
@@ -97,9 +113,9 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("ingest_seq", F.substring_index("event_id", "-", -1).cast("bigint"))
 
 
-def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arriving_events(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
     """Every canonical event twice: the later copy claims another type and another session."""
-    first = canonical_events(spark, sf_dir)
+    first = canonical_events(spark, sf_dir, even)
     copy = first.withColumns(
         {
             "event_type": F.lit("session.abandoned"),
@@ -147,7 +163,7 @@ TRACES = (
 
 def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw payload per row in the payload schema, plus ``kind`` (which fault, if any)."""
-    rows = source_events(spread(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % PAYLOAD_KINDS)
+    rows = source_events(spread_rows(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % PAYLOAD_KINDS)
     model = F.when(F.col("k") % 7 == 0, "").otherwise(
         fill('{"key":"model","value":{"stringValue":"model-<m>"}},', m=F.col("k") % 5)
     )
@@ -174,8 +190,9 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = fill(LOGS, service=service, k=F.col("k"), records=records)
     kind = F.col("kind")
     # Kind 11 is "null", and one in 83 of those is a text of one byte more than the limit.
-    # Padded from a column, so that the long text does not become a constant of the plan.
-    oversized = F.rpad(F.concat(F.lit("{}"), F.substring("event_type", 1, 0)), MAX_PAYLOAD_BYTES + 1, " ")
+    # Repeated from a column, so that the long text does not become a constant of the plan.
+    blank = F.concat(F.substring("event_type", 1, 0), F.lit(" "))
+    oversized = F.concat(F.lit("{}"), F.repeat(blank, MAX_PAYLOAD_BYTES - 1))
     body = (
         F.when(kind == 3, F.expr("substring(logs, 1, length(logs) - 1)"))
         .when(kind == 4, F.concat("logs", F.lit(" {}")))
@@ -219,7 +236,7 @@ TWO_SPANS = (
 
 def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wrapped trace document per row, plus ``kind`` (which fault, if any)."""
-    rows = source_events(spread(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % DOCUMENT_KINDS)
+    rows = source_events(spread_rows(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % DOCUMENT_KINDS)
     kind = F.col("kind")
     values = {
         "event_type": F.col("event_type"),
@@ -282,7 +299,7 @@ POLICY_DOCUMENT = (
 def contract_documents(spark: SparkSession, sf_dir: str, contract: str) -> DataFrame:
     """One event, settings or policy document per row with planted contract faults."""
     kinds = SETTINGS_KINDS if contract == "settings" else CONTRACT_KINDS
-    rows = source_events(spread(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % kinds)
+    rows = source_events(spread_rows(table(spark, sf_dir, "events"))).withColumn("kind", F.col("event_id") % kinds)
     kind = F.col("kind")
 
     def either(number: int, faulty: str, sound: str) -> Column:

@@ -222,7 +222,7 @@ def session_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a store that took the events in three batches, one of them replayed."""
     store = EventStore.create(spark, work_dir(spark, "store"))
-    arriving = _with_provenance(derived.arriving_events(spark, sf_dir))
+    arriving = sanitise_events(derived.arriving_events(spark, sf_dir, even=True), QUERY_SALT)
     failed = F.col("event_type").endswith(".failed")
     original = F.col("session_id").startswith("s-")
     store.append(arriving.filter(original & ~failed), ARRIVAL, "load")
@@ -237,7 +237,7 @@ def store_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per session left in a store after rewriting it without completed sessions."""
     root = work_dir(spark, "store")
     store = EventStore.create(spark, f"{root}/first")
-    store.append(_with_provenance(_events(spark, sf_dir)), ARRIVAL, "load")
+    store.append(sanitise_events(derived.canonical_events(spark, sf_dir, even=True), QUERY_SALT), ARRIVAL, "load")
     left = store.rewrite(f"{root}/second", store.sessions().filter(F.col("state") == "completed"))
     return left.events().groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
 
@@ -254,21 +254,26 @@ def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.counters().join(stored).join(folded).join(recorded)
 
 
-def _landed_table(frame: DataFrame, root: str, files: int, *keys: str) -> str:
-    """Folder with a written copy of a frame, for a stream to read."""
+def _landed_table(frame: DataFrame, root: str, files: int, *keys: str) -> tuple[str, int]:
+    """Folder with a written copy of a frame, for a stream to read, and its number of files.
+
+    There are ``files`` of them, or more so that none holds more rows than one task should.
+    """
     path = f"{root}/landing"
+    files = max(files, -(-frame.count() // derived.ROWS_A_TASK))
     frame.repartition(files, *keys).write.parquet(path)
-    return path
+    return path, files
 
 
 @registered
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a store fed by a stream over a written copy of the arriving events."""
     root = work_dir(spark, "stream")
-    landing = _landed_table(_with_provenance(derived.arriving_events(spark, sf_dir)), root, 4, "ingest_seq")
+    arriving = sanitise_events(derived.arriving_events(spark, sf_dir, even=True), QUERY_SALT)
+    landing, files = _landed_table(arriving, root, 4, "ingest_seq")
     reader = spark.readStream.schema(spark.read.parquet(landing).schema)
     # Copies arrive in the same micro-batch or a later one than their originals.
-    stream = reader.option("maxFilesPerTrigger", 1000).parquet(landing)
+    stream = reader.option("maxFilesPerTrigger", max(1000, files)).parquet(landing)
     store = EventStore.create(spark, f"{root}/store")
     running = stream_events(stream, store, ARRIVAL, "arriving", f"{root}/checkpoint")
     running.awaitTermination()
@@ -279,9 +284,11 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected payloads of both signals kept by a stream over a written copy of all payloads."""
     root = work_dir(spark, "stream-rejected")
-    landing = _landed_table(derived.raw_payloads(spark, sf_dir).select(*PAYLOAD_SCHEMA.names), root, 8, "payload_id")
+    payloads = derived.raw_payloads(spark, sf_dir).select(*PAYLOAD_SCHEMA.names)
+    landing, files = _landed_table(payloads, root, 8, "payload_id")
     store = EventStore.create(spark, f"{root}/store")
-    stream = stream_payload_table(spark, landing, max_files_per_trigger=4)
+    # Two micro-batches, however many files there are.
+    stream = stream_payload_table(spark, landing, max_files_per_trigger=-(-files // 2))
     stream_payloads(stream, store, QUERY_SALT, "landing", f"{root}/checkpoint").awaitTermination()
     return _texts(store.rejected(), "received_at")
 
@@ -290,9 +297,10 @@ def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted and rejected payloads per minute, counted by a watermarked stream."""
     root = work_dir(spark, "stream-counts")
-    landing = _landed_table(derived.raw_payloads(spark, sf_dir).select(*PAYLOAD_SCHEMA.names), root, 8, "payload_id")
+    payloads = derived.raw_payloads(spark, sf_dir).select(*PAYLOAD_SCHEMA.names)
+    landing, files = _landed_table(payloads, root, 8, "payload_id")
     # All files are one micro-batch: a backfill in any order is never too late.
-    counts = gate_counts_by_minute(stream_payload_table(spark, landing))
+    counts = gate_counts_by_minute(stream_payload_table(spark, landing, max(1000, files)))
     write_versions(counts, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{root}/counts")
     latest = F.struct("number", "accepted_payloads", "rejected_payloads")
@@ -305,27 +313,23 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids left by stateful deduplication of the arriving events, whose state a watermark bounds."""
     root = work_dir(spark, "stream-unique")
     arriving = derived.arriving_events(spark, sf_dir).select("event_id", "received_at", "ingest_seq")
-    landing = _landed_table(arriving, root, 8, "ingest_seq")
+    landing, files = _landed_table(arriving, root, 8, "ingest_seq")
     reader = spark.readStream.schema(spark.read.parquet(landing).schema)
     # The copies of an event are received with it, in this micro-batch or a later one.
-    stream = reader.option("maxFilesPerTrigger", 4).parquet(landing)
+    stream = reader.option("maxFilesPerTrigger", -(-files // 2)).parquet(landing)
     unique = recent_unique_events(stream, "3650 days").select("event_id")
     writer = unique.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
     writer.trigger(availableNow=True).start(f"{root}/unique").awaitTermination()
     return spark.read.schema("event_id string").parquet(f"{root}/unique")
 
 
-def _with_provenance(events: DataFrame) -> DataFrame:
-    return sanitise_events(derived.spread(events), QUERY_SALT)
-
-
 # --- sources -------------------------------------------------------------------------------
 
 
 def _landed(bodies: DataFrame, purpose: str) -> str:
-    """Folder with a written line-delimited copy of the bodies."""
+    """Folder with a written line-delimited copy of the bodies, compressed as such files are kept."""
     path = f"{work_dir(bodies.sparkSession, purpose)}/lines"
-    bodies.select("body").write.option("lineSep", "\n").text(path)
+    bodies.select("body").write.option("lineSep", "\n").option("compression", "gzip").text(path)
     return path
 
 
