@@ -134,3 +134,65 @@ def test_very_long_line_and_text(spark):
     data = [(1, long), (2, long + " more"), (3, many), (4, "line 7 of a long text")]
     got = dedup_lines(spark.createDataFrame([(*row, "", "") for row in data], SCHEMA)).collect()
     assert sorted((row.id, row.n_lines, row.n_removed) for row in got) == [(1, 1, 0), (2, 1, 1), (3, 3000, 0), (4, 1, 1)]
+
+
+def test_long_lines_that_differ_are_no_candidates(spark, monkeypatch):
+    """Long lines with some rare words in common do not come to be verified."""
+    found, plain = [], line_dedup._candidate_pairs
+
+    def counted(*args):
+        pairs = plain(*args)
+        found.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "_candidate_pairs", counted)
+    draw = random.Random(5)
+    data = [(at, " ".join(f"v{word}" for word in draw.sample(range(3000), 160))) for at in range(80)]
+    data += [(100 + at, text.replace(" v", f" c{at} v", 1)) for at, (_, text) in enumerate(data[:10])]
+    links = brute_links(data)
+    got = dedup_lines(spark.createDataFrame([(*row, "n", "k") for row in data], SCHEMA)).collect()
+    assert {(row.row.doc_id, row.row.text): row.links for row in got} == links
+    assert sum(links.values()) == 20 and 10 <= found[0] <= 30
+
+
+def test_words_of_a_set_are_sent_to_few_places(spark, monkeypatch):
+    """Lines of a family that share different rare words meet at one place, not at each such word."""
+    met, plain = [], line_dedup._meetings
+
+    def counted(rows, *args):
+        met.append((rows.count(), rows.select("number").distinct().count()))
+        return plain(rows, *args)
+
+    monkeypatch.setattr(line_dedup, "_meetings", counted)
+    draw, data = random.Random(6), []
+    for family in range(6):
+        base = [f"f{family}w{at}" for at in range(100)]
+        for member in range(12):
+            line = list(base)
+            for at in draw.sample(range(100), 4):
+                line[at] = f"m{family}n{member}p{at}"
+            data.append((len(data), " ".join(line)))
+    links = brute_links(data)
+    got = dedup_lines(spark.createDataFrame([(*row, "n", "k") for row in data], SCHEMA)).collect()
+    assert {(row.row.doc_id, row.row.text): row.links for row in got} == links
+    rows, sets = met[-1]
+    assert sets == len(data) and rows <= 1.2 * sets
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_words():
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.randrange(300)}" for _ in range(draw.randrange(0, 250))) for _ in range(40)] + [None, ""]
+    sets, size, lanes = line_dedup.word_sets(pa.array(texts))
+    own = [set((text or "").split()) for text in texts]
+    assert size.tolist() == [len(words) for words in own] and [len(words) for words in sets.to_pylist()] == size.tolist()
+    ranks = np.arange(1 << line_dedup.BUCKET_BITS)
+    filled = [at for at, words in enumerate(own) if words]
+    _, _, _, _, _, bits, _, _, more = line_dedup._line_parts(pa.array(texts), ranks)
+    for i, a in enumerate(filled):
+        for j, b in enumerate(filled):
+            apart = len(own[a] ^ own[b])
+            assert len(set(sets[a].as_py()) ^ set(sets[b].as_py())) == apart
+            assert sum(int(lane[a] ^ lane[b]).__and__((1 << 64) - 1).bit_count() for lane in lanes) <= apart
+            second, first = int(more[i] ^ more[j]), int(bits[i] ^ bits[j])
+            both = [(second & ((1 << 64) - 1)), ((first ^ second) & ((1 << 64) - 1))]
+            assert sum(value.bit_count() for value in both) <= apart
