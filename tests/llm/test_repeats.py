@@ -100,3 +100,20 @@ def test_null_ids_and_empty_table(spark):
     frame = spark.createDataFrame([(None, text, 0, ""), (None, text, 0, ""), (3, "z", 0, "")], SCHEMA)
     assert sorted(row.n_removed for row in remove_repeats(frame).collect()) == [0, len(text), len(text)]
     assert remove_repeats(frame.where("false")).count() == 0
+
+
+def test_passages_of_fifty_words_go_from_400_bytes_on(spark):
+    """Planted passages lose all their bytes from 400 bytes on and none below; n_bytes stays the input's size."""
+    draw = random.Random(12)
+    word = lambda least: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(least, least + 4)))
+    prose = lambda count, least=4: " ".join(word(least) for _ in range(count))
+    long, short = [prose(55, 8) for _ in range(5)], [prose(52, 3) for _ in range(5)]
+    assert min(map(len, long)) >= 400 > max(map(len, short))
+    texts = [f"{prose(60)} #{at} {passage} {at}# {prose(60)}" for passage in long + short for at in range(2)]
+    texts += [prose(150) for _ in range(20)]
+    frame = spark.createDataFrame([(at, text, 1, "s") for at, text in enumerate(texts)], SCHEMA).repartition(3)
+    got = {row.id: row for row in remove_repeats(frame).collect()}
+    planted = [len(passage) + 2 for passage in long for _ in range(2)]
+    assert [got[at].n_removed for at in range(10)] == planted
+    assert all(got[at].n_removed == 0 for at in range(10, len(texts)))
+    assert all(got[at].n_bytes == len(text) for at, text in enumerate(texts))
