@@ -196,3 +196,50 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_words():
             second, first = int(more[i] ^ more[j]), int(bits[i] ^ bits[j])
             both = [(second & ((1 << 64) - 1)), ((first ^ second) & ((1 << 64) - 1))]
             assert sum(value.bit_count() for value in both) <= apart
+
+
+def test_pairs_of_a_family_are_in_no_table(spark, monkeypatch):
+    """Tables grow with the sets of a family, not with its pairs, and each pair is counted once."""
+    written, plain = [], line_dedup._landed
+
+    def counted(frame, *args, **kwargs):
+        table = plain(frame, *args, **kwargs)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "_landed", counted)
+    draw, data = random.Random(9), []
+    base = [f"w{at}" for at in range(60)]
+    for member in range(80):
+        line = list(base)
+        for at in draw.sample(range(60), draw.randrange(1, 5)):
+            line[at] = f"m{draw.randrange(9)}p{at}"
+        data.append((member, " ".join(line)))
+    want, links = brute(data), brute_links(data)
+    for crowd, words in ((1024, 16_384), (7, 5)):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        monkeypatch.setattr(line_dedup, "WORD_CROWD", words, raising=False)
+        written.clear()
+        got = dedup_lines(spark.createDataFrame([(*row, "n", "k") for row in data], SCHEMA).repartition(3)).collect()
+        assert {(row.row.doc_id, row.row.text): row.links for row in got} == links
+        assert {(row.row.doc_id, row.row.text): row.n_removed for row in got} == {row: len(gone) for row, gone in want.items()}
+        assert max(written) <= 4 * len(data) and sum(links.values()) > 30 * len(data)
+
+
+def test_a_text_is_cut_once_and_not_for_every_line(spark):
+    data = [(1, "a b c\nd e f\na b c"), (2, "c b a\nother words")]
+    found = dedup_lines(spark.createDataFrame([(*row, "", "") for row in data], SCHEMA)).select("kept")
+    assert "lambdafunction(split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(row.kept for row in found.collect()) == ["a b c\nd e f", "other words"]
+
+
+def test_order_by_group_and_value():
+    draw = np.random.default_rng(2)
+    for groups in (1, 2, 5000):
+        group = np.sort(draw.integers(0, groups, 3000))
+        # Values that differ in all bits, and some only in the lowest ones.
+        value = draw.integers(-(1 << 63), (1 << 63) - 1, 3000, dtype=np.int64)
+        for values in (value, np.where(value % 3 == 0, value >> 50, value)):
+            order = line_dedup._order(group, values)
+            want = np.lexsort((values, group))
+            assert (group[order] == group[want]).all() and (values[order] == values[want]).all()
